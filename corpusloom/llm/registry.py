@@ -5,6 +5,9 @@ from __future__ import annotations
 import importlib
 
 _QUERIES = {
+    "op2_quality_rules": "rules",
+    "op1_url_filter": "url_filter",
+    "op4_quality_scores": "quality",
     "op3_vector_sharding": "sharding",
     "op7_token_counts": "token_counts",
     "op8_best_fit_packing": "packing",
