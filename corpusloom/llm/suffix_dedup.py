@@ -5,8 +5,8 @@ The corpus is sorted as many small suffix arrays that together see every repeat:
 1. Anchors. Among the k-grams that a 200-byte window holds, the one of least hash is its anchor; suffixes smaller than
    their successors come first. Equal windows have equal anchors at the same place, so that windows need comparing
    only within the bucket of their anchor. Buckets of one occurrence drop out.
-2. Segments. The windows of one anchor are one segment of text. Segments are counted before any of them moves; one that
-   occurs twice is covered whole.
+2. Segments. The windows of one anchor are one segment of text. Segments are counted by hash before any byte moves; one
+   that occurs twice is covered whole. Of a bucket with several different ones, each sends its bytes once.
 3. Two-stage sorting. In a bucket of several different segments, only the suffixes at the anchors are sorted directly;
    those to the left are induced one byte at a time by a stable scan of the buckets of their first byte, and adjacent
    common prefixes follow by range minima. A common prefix of 200 bytes marks a repeated window.
@@ -90,8 +90,8 @@ def _anchor_counts(length: int, k: int):
     return scan
 
 
-def _segments(length: int, k: int, bitmap: np.ndarray):
-    """Occurrences of anchors in the bitmap; bytes come with the first of equal segments in a step."""
+def _occurrences(length: int, k: int, bitmap: np.ndarray):
+    """Occurrences of the anchors in the bitmap, each with its segment."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,23 +100,52 @@ def _segments(length: int, k: int, bitmap: np.ndarray):
                 p, h, s0, s1 = anchors(data, offsets, prefix, length, k)
                 keep = common.in_bitmap(bitmap, h)
                 p, h, s0, s1 = p[keep], h[keep], s0[keep], s1[keep]
-                if not len(p):
-                    continue
                 doc = np.searchsorted(offsets, s0, "right") - 1
-                sh = common.span_hash(prefix, s0, s1 + length)
-                _, once = np.unique(np.stack([h, sh, (p - s0).astype(np.uint64)], axis=1), axis=0, return_index=True)
-                whole = data.tobytes()
-                segs: list = [None] * len(p)
-                for i in once.tolist():
-                    segs[i] = whole[s0[i] : s1[i] + length]
                 take = pa.array(doc + rows.start)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(h.view(np.int64)), pa.array((p - s0).astype(np.int16)), pa.array((s1 + length - s0).astype(np.int16)), pa.array(sh.view(np.int64)),
-                        batch.column("t1").take(take), batch.column("t2").take(take), pa.array(p - offsets[doc]), pa.array(segs, pa.binary()),
-                    ],
-                    names=[*SEGMENT, "t1", "t2", "pos", "seg"],
-                )
+                cols = [h.view(np.int64), (p - s0).astype(np.int16), (s1 + length - s0).astype(np.int16), common.span_hash(prefix, s0, s1 + length).view(np.int64)]
+                own = [batch.column(c).take(take) for c in ("t1", "t2", "doc_id")]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), *own, pa.array(p - offsets[doc])], names=[*SEGMENT, "t1", "t2", "doc_id", "pos"])
+
+    return scan
+
+
+def _told_apart(doc_id: np.ndarray, pos: np.ndarray, sh: np.ndarray) -> np.ndarray:
+    mix = np.uint64(0x9E3779B97F4A7C15)
+    return common.mixed(common.mixed(doc_id.astype(np.uint64) * mix + pos.astype(np.uint64)) ^ sh.astype(np.uint64))
+
+
+def _bytes_of(length: int, k: int, bitmap: np.ndarray):
+    """(h, segment, bytes) of the occurrences in the bitmap: the one that stands for a segment, and a few by chance."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in common.steps(batch):
+                prefix = common.prefix_hash(data)
+                p, h, s0, s1 = anchors(data, offsets, prefix, length, k)
+                doc = np.searchsorted(offsets, s0, "right") - 1
+                sh = common.span_hash(prefix, s0, s1 + length)
+                ids = batch.column("doc_id").fill_null(-1).to_numpy()[rows]
+                keep = common.in_bitmap(bitmap, _told_apart(ids[doc].astype(np.int64).view(np.uint64), p - offsets[doc], sh)) if len(p) else np.zeros(0, bool)
+                p, h, s0, s1, sh = p[keep], h[keep], s0[keep], s1[keep], sh[keep]
+                whole = data.tobytes() if len(p) else b""
+                segs = [whole[a:b] for a, b in zip(s0.tolist(), (s1 + length).tolist(), strict=True)]
+                cols = [pa.array(h.view(np.int64)), pa.array((p - s0).astype(np.int16)), pa.array((s1 + length - s0).astype(np.int16)), pa.array(sh.view(np.int64)), pa.array(segs, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=[*SEGMENT, "seg"])
+
+    return scan
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        doc_id, pos, sh = (batch.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("doc_id", "pos", "sh"))
+        yield pa.RecordBatch.from_arrays([pa.array(_told_apart(doc_id, pos, sh).view(np.int64))], names=["place"])
+
+
+def _with_spans(bitmap: np.ndarray, wanted: bool):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = common.in_bitmap(bitmap, batch.column("t1").to_numpy().view(np.uint64)) if batch.num_rows else np.zeros(0, bool)
+            yield batch.filter(pa.array(hit == wanted))
 
     return scan
 
@@ -179,8 +208,6 @@ def _induced(length: int, k: int, at_once: int = 20_000):
     def solve(table: pa.Table) -> pa.RecordBatch:
         left = table.column("left").to_numpy().astype(np.int64)
         near, far = common_windows(np.unique(table.column("h").to_numpy(), return_inverse=True)[1], left, table.column("seg").to_pylist(), length, k)
-        twice = table.column("c").to_numpy() > 1
-        near, far = np.where(twice, length - (table.column("size").to_numpy() - left), near), np.where(twice, left, far)
         hit = np.flatnonzero(near >= 0)
         cols = [table.column(c).combine_chunks().take(pa.array(hit)) for c in SEGMENT]
         cols = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cols]
@@ -217,9 +244,9 @@ def _windows(length: int):
                 start = np.arange(len(seg)) - np.repeat(np.cumsum(n) - n, n) + offsets[seg]
                 take = pa.array(seg + rows.start)
                 left = batch.column("left").to_numpy()[rows].astype(np.int64)
-                cols = [batch.column(c).take(take) for c in [*SEGMENT, "c"]]
+                cols = [batch.column(c).take(take) for c in SEGMENT]
                 steps = left[seg] - (start - offsets[seg])
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(steps.astype(np.int16)), pa.array(common.span_hash(prefix, start, start + length).view(np.int64))], names=[*SEGMENT, "c", "step", "wh"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(steps.astype(np.int16)), pa.array(common.span_hash(prefix, start, start + length).view(np.int64))], names=[*SEGMENT, "step", "wh"])
 
     return scan
 
@@ -249,48 +276,51 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def repeated_spans(texts: DataFrame, length: int = 200, k: int = 64, most_in_bucket: int = 50_000, most_sent: int = 1_000_000) -> DataFrame:
-    """t1, t2 (key of a text), spans: array of (a, b), overlapping, not merged; texts has t1, t2 and text, a row per document."""
-    spark = texts.sparkSession
+def repeated_spans(texts: DataFrame, length: int = 200, k: int = 64, most_in_bucket: int = 50_000) -> DataFrame:
+    """t1, t2 (key of a text), spans: array of (a, b), overlapping, not merged; texts has t1, t2, doc_id, text, a row per document."""
     repeated = texts.select("text").mapInArrow(_anchor_counts(length, k), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
     repeated = common.handed_over(repeated, "anchors")
     bitmap = common.bitmap_of(repeated, "h")
-    found = texts.mapInArrow(_segments(length, k, bitmap), "h long, left short, size short, sh long, t1 long, t2 long, pos long, seg binary")
+    found = texts.mapInArrow(_occurrences(length, k, bitmap), "h long, left short, size short, sh long, t1 long, t2 long, doc_id long, pos long")
     if repeated.count() > len(bitmap) * 4:  # too many for the bitmap to tell
         found = found.join(repeated, "h", "left_semi")
-    found = common.handed_over(found, "segments")
-    counts = common.handed_over(found.groupBy(*SEGMENT).agg(F.count("*").alias("c")), "segment-counts")
+    found = common.handed_over(found, "occurrences")
+    one = F.struct(F.coalesce("doc_id", F.lit(-1)).cast("long").alias("doc_id"), "pos")
+    counts = found.groupBy(*SEGMENT).agg(F.count("*").alias("c"), F.min(one).alias("one"))
+    counts = common.handed_over(counts.select(*SEGMENT, "c", "one.doc_id", "one.pos"), "segment-counts")
+    whole = counts.filter("c > 1").select(*SEGMENT, (F.lit(length) - (F.col("size") - F.col("left"))).cast("short").alias("near"), F.col("left").alias("far"))
     buckets = common.handed_over(counts.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
-    sent = (lambda df: F.broadcast(df)) if buckets.count() <= most_sent else (lambda df: df)
-    whole = counts.filter("c > 1").join(sent(buckets.select("h")), "h", "left_anti").select(*SEGMENT, (F.lit(length) - (F.col("size") - F.col("left"))).cast("short").alias("near"), F.col("left").alias("far"))
-    several = (
-        found.filter("seg IS NOT NULL").select(*SEGMENT, "seg").join(sent(buckets), "h").dropDuplicates(SEGMENT).join(counts, SEGMENT)
-    )
-    several = common.handed_over(several, "several")
-    sorted_ones = several.filter(F.col("n") <= most_in_bucket).select(*SEGMENT, "c", "seg").repartition("h").sortWithinPartitions("h").mapInArrow(_induced(length, k), FOUND_DDL)
-    parts = [whole, sorted_ones]
-    if buckets.filter(F.col("n") > most_in_bucket).limit(1).count():
-        windows = several.filter(F.col("n") > most_in_bucket).select(*SEGMENT, "c", "seg").mapInArrow(_windows(length), "h long, left short, size short, sh long, c long, step short, wh long")
-        twice = windows.groupBy("h", "step", "wh").agg(F.sum("c").alias("n")).filter("n > 1").select("h", "step", "wh")
+    places = counts.join(buckets, "h", "left_semi").select("doc_id", "pos", "sh").mapInArrow(_places, "place long")
+    several = texts.mapInArrow(_bytes_of(length, k, common.bitmap_of(places, "place")), "h long, left short, size short, sh long, seg binary")
+    hot = buckets.filter(F.col("n") > most_in_bucket).select("h")
+    parts = [whole]
+    if hot.limit(1).count():
+        windows = several.join(hot, "h", "left_semi").dropDuplicates(SEGMENT).mapInArrow(_windows(length), "h long, left short, size short, sh long, step short, wh long")
+        twice = windows.groupBy("h", "step", "wh").agg(F.count("*").alias("n")).filter("n > 1").select("h", "step", "wh")
         parts.append(windows.join(twice, ["h", "step", "wh"]).groupBy(*SEGMENT).agg(F.min("step").alias("near"), F.max("step").alias("far")))
+        several = several.join(hot, "h", "left_anti")
+    parts.append(several.repartition("h").sortWithinPartitions("h").mapInArrow(_induced(length, k), FOUND_DDL))
     covered = parts[0]
     for part in parts[1:]:
         covered = covered.unionByName(part)
-    covered = common.handed_over(covered, "covered")
-    if covered.count() <= most_sent:
-        covered = F.broadcast(covered)
     return (
-        found.select(*SEGMENT, "t1", "t2", "pos").distinct().join(covered, SEGMENT)
+        found.join(common.handed_over(covered, "covered"), SEGMENT)
         .select("t1", "t2", F.struct((F.col("pos") - F.col("far")).alias("a"), (F.col("pos") - F.col("near") + length).alias("b")).alias("s"))
-        .groupBy("t1", "t2").agg(F.collect_list("s").alias("spans"))
+        .groupBy("t1", "t2").agg(F.collect_set("s").alias("spans"))
     )
 
 
 def deduped(docs: DataFrame, length: int = 200, **options) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes; docs needs doc_id and text."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes; docs needs doc_id and text.
+
+    Only texts that lose something, and the few that a fixed-size bitmap takes for them, are shuffled."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select("doc_id", *common.text_key(), "text")
-    spans = repeated_spans(texts.select("t1", "t2", "text"), length, **options)
-    return texts.join(spans, ["t1", "t2"], "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    spans = common.handed_over(repeated_spans(texts, length, **options), "spans")
+    bitmap = common.bitmap_of(spans, "t1")
+    hit, clean = (texts.mapInArrow(_with_spans(bitmap, wanted), texts.schema) for wanted in (True, False))
+    kind = dict(spans.dtypes)["spans"]
+    joined = hit.join(spans, ["t1", "t2"], "left").select("doc_id", "text", "spans").unionByName(clean.select("doc_id", "text", F.lit(None).cast(kind).alias("spans")))
+    return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
