@@ -141,11 +141,24 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(_told_apart(doc_id, pos, sh).view(np.int64))], names=["place"])
 
 
-def _with_spans(bitmap: np.ndarray, wanted: bool):
+def _in(bitmap: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+    return common.in_bitmap(bitmap, batch.column("t1").to_numpy().view(np.uint64)) if batch.num_rows else np.zeros(0, bool)
+
+
+def _with_spans(bitmap: np.ndarray):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_in(bitmap, batch)))
+
+    return scan
+
+
+def _without_spans(bitmap: np.ndarray):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = common.in_bitmap(bitmap, batch.column("t1").to_numpy().view(np.uint64)) if batch.num_rows else np.zeros(0, bool)
-            yield batch.filter(pa.array(hit == wanted))
+            rest = batch.filter(pa.array(~_in(bitmap, batch)))
+            none = pa.nulls(rest.num_rows, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
+            yield from _cut(iter([pa.RecordBatch.from_arrays([rest.column("doc_id"), rest.column("text"), none], names=["doc_id", "text", "spans"])]))
 
     return scan
 
@@ -317,10 +330,9 @@ def deduped(docs: DataFrame, length: int = 200, **options) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select("doc_id", *common.text_key(), "text")
     spans = common.handed_over(repeated_spans(texts, length, **options), "spans")
     bitmap = common.bitmap_of(spans, "t1")
-    hit, clean = (texts.mapInArrow(_with_spans(bitmap, wanted), texts.schema) for wanted in (True, False))
-    kind = dict(spans.dtypes)["spans"]
-    joined = hit.join(spans, ["t1", "t2"], "left").select("doc_id", "text", "spans").unionByName(clean.select("doc_id", "text", F.lit(None).cast(kind).alias("spans")))
-    return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    hit = texts.mapInArrow(_with_spans(bitmap), texts.schema).join(spans, ["t1", "t2"], "left").select("doc_id", "text", "spans")
+    return hit.mapInArrow(_cut, ddl).unionByName(texts.mapInArrow(_without_spans(bitmap), ddl))
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
