@@ -304,11 +304,11 @@ def repeated_spans(texts: DataFrame, length: int = 200, k: int = 64, most_in_buc
     whole = counts.filter("c > 1").select(*SEGMENT, (F.lit(length) - (F.col("size") - F.col("left"))).cast("short").alias("near"), F.col("left").alias("far"))
     buckets = common.handed_over(counts.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
     places = counts.join(buckets, "h", "left_semi").select("doc_id", "pos", "sh").mapInArrow(_places, "place long")
-    several = texts.mapInArrow(_bytes_of(length, k, common.bitmap_of(places, "place")), "h long, left short, size short, sh long, seg binary")
+    several = texts.mapInArrow(_bytes_of(length, k, common.bitmap_of(places, "place")), "h long, left short, size short, sh long, seg binary").dropDuplicates(SEGMENT)
     hot = buckets.filter(F.col("n") > most_in_bucket).select("h")
     parts = [whole]
     if hot.limit(1).count():
-        windows = several.join(hot, "h", "left_semi").dropDuplicates(SEGMENT).mapInArrow(_windows(length), "h long, left short, size short, sh long, step short, wh long")
+        windows = several.join(hot, "h", "left_semi").mapInArrow(_windows(length), "h long, left short, size short, sh long, step short, wh long")
         twice = windows.groupBy("h", "step", "wh").agg(F.count("*").alias("n")).filter("n > 1").select("h", "step", "wh")
         parts.append(windows.join(twice, ["h", "step", "wh"]).groupBy(*SEGMENT).agg(F.min("step").alias("near"), F.max("step").alias("far")))
         several = several.join(hot, "h", "left_anti")
@@ -316,6 +316,7 @@ def repeated_spans(texts: DataFrame, length: int = 200, k: int = 64, most_in_buc
     covered = parts[0]
     for part in parts[1:]:
         covered = covered.unionByName(part)
+    covered = covered.groupBy(*SEGMENT).agg(F.min("near").alias("near"), F.max("far").alias("far"))
     return (
         found.join(common.handed_over(covered, "covered"), SEGMENT)
         .select("t1", "t2", F.struct((F.col("pos") - F.col("far")).alias("a"), (F.col("pos") - F.col("near") + length).alias("b")).alias("s"))
