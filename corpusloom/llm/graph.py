@@ -1,0 +1,27 @@
+"""Connected components of an edge table, as joins and aggregations."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corpusloom.llm import common
+
+
+def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """node, label (the least node reachable) of every node in edges (a, b).
+
+    Labels fall to the least among the neighbours', then to the label of the label; each round is a written table."""
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = common.handed_over(both.distinct(), "edges")
+    labels = common.handed_over(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    for _ in range(most_rounds):
+        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("least"))
+        stepped = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("old"), F.least("label", "least").alias("mid"))
+        jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
+        new = common.handed_over(stepped.join(jump, "mid", "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("label")), "labels")
+        changed = new.filter("label != old").limit(1).count()
+        labels = new.select("node", "label")
+        if not changed:
+            return labels
+    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
