@@ -29,6 +29,8 @@ from corpusloom.llm import common, graph
 
 GROUPS = 128
 LEAF = 64
+#: Sets of more shingles also have a fine point, with about a group for every four shingles.
+FINE_FROM = 1024
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -94,11 +96,37 @@ def _points(percent: int, width: int):
                 keep = np.arange(len(s)) - first[d] < length[d]
                 keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(common.mixed(s[keep] ^ _M).view(np.int64)))
                 points = pa.FixedSizeBinaryArray.from_buffers(pa.binary(GROUPS), n_docs, [None, pa.py_buffer(counts.tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(rows.start, n_docs), pa.array(cid.view(np.int64)), pa.array(n), points, keys], names=["doc_id", "cid", "n", "point", "keys"])
+                fine = [_fine(s[first[i] : first[i] + n[i]]) if n[i] > FINE_FROM else None for i in range(n_docs)]
+                own = [batch.column("doc_id").slice(rows.start, n_docs), pa.array(cid.view(np.int64)), pa.array(n), points]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(fine, pa.binary()), keys], names=["doc_id", "cid", "n", "point", "fine", "keys"])
 
     return scan
 
 
+def _fine(s: np.ndarray) -> bytes:
+    groups = 1 << (len(s) // 4 - 1).bit_length()
+    return np.minimum(np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups), 255).astype(np.uint8).tobytes()
+
+
+def _fine_bound(p: np.ndarray, q: np.ndarray) -> int:
+    """Summed coordinate minima of two fine points; the finer folds onto the groups of the other."""
+    if p.max() == 255 or q.max() == 255:
+        return 1 << 62
+    groups = min(len(p), len(q))
+    p, q = (x.reshape(-1, groups).sum(axis=0, dtype=np.int64) for x in (p, q))
+    return int(np.minimum(p, q).sum())
+
+
+def _still_near(percent: int):
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            need = ((percent * (batch.column("na").to_numpy() + batch.column("nb").to_numpy())) / (100 + percent)).tolist()
+            keep = [_fine_bound(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) >= m - 1e-6 for x, y, m in zip(batch.column("fa"), batch.column("fb"), need, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return check
+
+
 def _hits(bitmap: np.ndarray, columns: list[str]):
     """A row with `columns` for each key of a class that is in the bitmap."""
 
@@ -266,8 +294,14 @@ def _linked(percent: int):
     return verify
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, percent: int, width: int) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, fine: DataFrame, percent: int, width: int) -> DataFrame:
+    """The links among pairs; of large sets only the pairs that their fine points let pass move whole sets."""
     pairs = common.handed_over(pairs.distinct(), "pairs")
+    sides = [fine.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"f{x}")) for x in "ab"]
+    large = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "na", "nb", "fa", "fb").mapInArrow(_still_near(percent), "a long, b long")
+    ids = fine.select("cid")
+    small = pairs.join(ids, pairs["a"] == ids["cid"], "left_anti").unionByName(pairs.join(ids, pairs["a"] == ids["cid"], "left_semi").join(ids, pairs["b"] == ids["cid"], "left_anti"))
+    pairs = common.handed_over(small.unionByName(large), "pairs-left")
     needed = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid")))
     sets = docs.select("text").mapInArrow(_sets(common.bitmap_of(needed, "cid"), width), "cid long, s binary").join(needed.distinct(), "cid", "left_semi").dropDuplicates(["cid"])
     sets = common.handed_over(sets, "sets")
@@ -278,7 +312,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int, width: int) -> Da
 def linked(docs: DataFrame, percent: int = 80, width: int = 5, most_in_bucket: int = 2000) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every document; docs needs doc_id and text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    points = common.handed_over(docs.mapInArrow(_points(percent, width), "doc_id long, cid long, n long, point binary, keys array<long>"), "points")
+    points = common.handed_over(docs.mapInArrow(_points(percent, width), "doc_id long, cid long, n long, point binary, fine binary, keys array<long>"), "points")
+    fine = common.handed_over(points.filter("fine IS NOT NULL").select("cid", "n", "fine").dropDuplicates(["cid"]), "fine-points")
     shared = points.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     shared = common.bitmap_of(common.handed_over(shared, "shared"), "key")
     members = points.select("cid", "keys").mapInArrow(_hits(shared, ["cid"]), "key long, cid long")
@@ -298,10 +333,10 @@ def linked(docs: DataFrame, percent: int = 80, width: int = 5, most_in_bucket: i
         rows = rows.select("key", "bi", "bj", "own", "cid", "n", "point", *(["label"] if full else []))
         return rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "cid").mapInArrow(_bucket_pairs(percent, full), "a long, b long")
 
-    first = _verified(docs, search(in_buckets, False), percent, width)
+    first = _verified(docs, search(in_buckets, False), fine, percent, width)
     labels = graph.components(first)
     labelled = in_buckets.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    second = _verified(docs, search(labelled, True), percent, width)
+    second = _verified(docs, search(labelled, True), fine, percent, width)
     if second.limit(1).count():
         labels = graph.components(first.unionByName(second))
     slim = points.select("doc_id", "cid", "n")
