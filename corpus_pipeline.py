@@ -1,5 +1,65 @@
-"""placeholder"""
-STAGES=[]
-ORACLE_SQL=None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+"""Corpus pipeline: quality classifier, line dedup, n-gram Jaccard join, benchmark decontamination, best-fit packing.
+
+STAGES are (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read
+again as the next one's docs. All but the last return the columns of documents. A row whose doc_id is null can't be named
+by a verdict and stays; an empty table passes through as one.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.llm import common, decontamination, jaccard_join, line_dedup, packing, quality
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+ORACLE_SQL = None  # SQL can't express the classifier, the latent search or the packing
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.join(common.handed_over(ids.select("doc_id").distinct(), "rejected"), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a quality score of 0.3 or more."""
+    scores = quality.scored(docs, common.table(spark, sf_dir, "labels"))
+    return _without(docs.select(*COLUMNS), scores.filter("score < 0.3"))
+
+
+def remove_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that ten sites or more share; n_chars follows."""
+    cleaned = line_dedup.cleaned(docs.select(*COLUMNS))
+    return cleaned.withColumn("n_chars", F.when(F.col("n_removed_lines") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*COLUMNS)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least id of each group of near copies; of rows that repeat, one."""
+    groups = jaccard_join.linked(docs)
+    kept = _without(docs.select(*COLUMNS), groups.filter("doc_id != component_id"))
+    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select(*COLUMNS)
+
+
+def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak no benchmark item."""
+    return _without(docs.select(*COLUMNS), decontamination.leaks(docs, common.table(spark, sf_dir, "benchmark")))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents that are left, in sequences of 2048 tokens."""
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("quality classifier", reject_low_quality),
+    ("line dedup", remove_boilerplate),
+    ("n-gram Jaccard join", keep_one_of_each_group),
+    ("benchmark decontamination", remove_leaks),
+    ("best-fit packing", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.handed_over(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
