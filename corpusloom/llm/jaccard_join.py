@@ -215,6 +215,7 @@ def _bucket_pairs(percent: int, full: bool):
         cols = [table.column(c).to_numpy() for c in ("key", "bi", "bj", "own", "cid", "n")]
         points = _wide(np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint8).reshape(-1, GROUPS))
         label = table.column("label").to_numpy() if full else None
+        fine = table.column("fine") if full else None
         key, bi, bj, own, cid, n = cols
         edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1]), [True]]))
         for lo, hi in zip(edge[:-1], edge[1:], strict=True):
@@ -236,7 +237,12 @@ def _bucket_pairs(percent: int, full: bool):
                 pairs = ((left[x], right[y]) for x, y in tree_pairs(Tree(p[left], m[left]), Tree(p[right], m[right]), percent))
             for x, y in pairs:
                 apart = label[lo:hi][x] != label[lo:hi][y]
-                yield c[x[apart]], c[y[apart]]
+                x, y = x[apart], y[apart]
+                large = (m[x] > FINE_FROM) & (m[y] > FINE_FROM)
+                for i in np.flatnonzero(large):
+                    p1, p2 = (np.frombuffer(fine[lo + int(z[i])].as_buffer(), np.uint8) for z in (x, y))
+                    large[i] = (100 + percent) * _fine_bound(p1, p2) < percent * int(m[x[i]] + m[y[i]])
+                yield c[x[~large]], c[y[~large]]
 
     def emit(table: pa.Table) -> Iterator[pa.RecordBatch]:
         found = [np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1) for x, y in of(table)]
@@ -322,7 +328,8 @@ def linked(docs: DataFrame, percent: int = 80, width: int = 5, most_in_bucket: i
     )
     kept = common.handed_over(same.filter("lo != hi").groupBy("c", "s1", "s2", "lo", "hi").agg(F.min("key").alias("key")).select("key", "c"), "buckets")
     blocks = F.greatest(F.ceil(F.col("c") / F.lit(most_in_bucket)), F.lit(1)).cast("int")
-    hits = points.select("cid", "n", "point", "keys").mapInArrow(_hits(common.bitmap_of(kept, "key"), ["cid", "n", "point"]), "key long, cid long, n long, point binary")
+    columns = ["cid", "n", "point", "fine"]
+    hits = points.select(*columns, "keys").mapInArrow(_hits(common.bitmap_of(kept, "key"), columns), "key long, cid long, n long, point binary, fine binary")
     in_buckets = hits.join(kept.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     in_buckets = common.handed_over(in_buckets, "in-buckets").dropDuplicates(["key", "cid"])
     block_pairs = F.expr("explode(sequence(0, blocks - 1))")
@@ -330,7 +337,7 @@ def linked(docs: DataFrame, percent: int = 80, width: int = 5, most_in_bucket: i
     def search(rows: DataFrame, full: bool) -> DataFrame:
         rows = rows.withColumn("other", block_pairs) if full else rows.withColumn("other", F.col("own"))
         rows = rows.withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other"))
-        rows = rows.select("key", "bi", "bj", "own", "cid", "n", "point", *(["label"] if full else []))
+        rows = rows.select("key", "bi", "bj", "own", "cid", "n", "point", *(["fine", "label"] if full else []))
         return rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "cid").mapInArrow(_bucket_pairs(percent, full), "a long, b long")
 
     first = _verified(docs, search(in_buckets, False), fine, percent, width)
