@@ -1,11 +1,248 @@
-"""The library's own queries by name, with their SQL."""
+"""The library's own queries by name, with their SQL.
+
+Records are documents (repository: source), vectors are embeddings, scans are orders, the job queue is events.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from corpusloom.operators import graph, knn
+from corpusloom.sources.tables import handed_over, table
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+NEAR = 0.35
+
+_HITS = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+s AS (SELECT a.vec_id AS q_id, b.vec_id AS m_id, list_cosine_similarity(a.e, b.e) AS score FROM v a, v b),
+r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY round(score, 12) DESC, m_id) AS r FROM s),
+hits AS (SELECT q_id, m_id, score FROM r WHERE r <= 10 AND score >= 0.35 AND q_id <> m_id)
+"""
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.knn_join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 10, NEAR)
+
+
+@query(_HITS + "SELECT q_id, m_id, round(score, 6) AS score FROM hits")
+def knn_topk(spark, sf_dir):
+    return _hits(spark, sf_dir).withColumn("score", F.round("score", 6))
+
+
+@query(_HITS + "SELECT least(q_id, m_id) AS a, greatest(q_id, m_id) AS b, round(max(score), 6) AS score FROM hits GROUP BY 1, 2")
+def candidate_pairs(spark, sf_dir):
+    return knn.candidate_pairs(_hits(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+@query()
+def entry_dupe_groups(spark, sf_dir):
+    """Vectors -> neighbours -> pairs -> cliques, never by transitivity -> members ranked by mean score."""
+    pairs = handed_over(knn.candidate_pairs(_hits(spark, sf_dir)), "pairs")
+    groups = knn.clique_cover(pairs, graph.components(pairs))
+    rank = F.row_number().over(Window.partitionBy("group_id").orderBy("member"))
+    return groups.select("group_id", "member", rank.alias("rank"), F.when(rank == 1, "MERGE").otherwise("CLOSE").alias("verdict"), F.round("avg_confidence", 6).alias("avg_confidence"))
+
+
+@query()
+def connected_components(spark, sf_dir):
+    return graph.components(knn.candidate_pairs(_hits(spark, sf_dir)))
+
+
+@query("SELECT md5(text) AS text_md5, min(doc_id) AS first_doc, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
+def exact_dup_groups(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy(F.md5("text").alias("text_md5")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).filter("n > 1")
+
+
+@query("SELECT doc_id, substr(sha256(coalesce(source, '') || '|' || coalesce(lang, '') || '|' || coalesce(text, '')), 1, 16) AS embed_hash FROM documents")
+def embed_hash(spark, sf_dir):
+    parts = F.concat(F.coalesce("source", F.lit("")), F.lit("|"), F.coalesce("lang", F.lit("")), F.lit("|"), F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.substring(F.sha2(parts, 256), 1, 16).alias("embed_hash"))
+
+
+@query("SELECT doc_id, regexp_replace(md5(source || '-' || doc_id || '-code'), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5') AS point_id FROM documents")
+def point_uuid(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.md5(F.concat_ws("-", "source", "doc_id", F.lit("code"))), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5").alias("point_id"))
+
+
+@query("SELECT doc_id, ceil(length(text) / 3.5)::BIGINT AS tokens_35, ceil(length(text) / 4.0)::BIGINT AS tokens_4 FROM documents")
+def token_heuristic(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.ceil(F.length("text") / F.lit(3.5)).alias("tokens_35"), F.ceil(F.length("text") / F.lit(4.0)).alias("tokens_4"))
+
+
+@query("SELECT doc_id, substr(text, 1, 200) AS label FROM documents")
+def label_truncate(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 200).alias("label"))
+
+
+@query("SELECT c_custkey, CASE WHEN length(c_name) > 4 THEN '****' || right(c_name, 4) ELSE c_name END AS redacted FROM customer")
+def redact(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", F.when(F.length("c_name") > 4, F.concat(F.lit("****"), F.expr("right(c_name, 4)"))).otherwise(F.col("c_name")).alias("redacted"))
+
+
+@query("SELECT c_custkey, count(o_orderkey) AS n, coalesce(max(o_orderkey) FILTER (WHERE o_orderstatus = 'O'), -1) AS active FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
+def repo_enrichment(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.max(F.when(F.col("o_orderstatus") == "O", F.col("o_orderkey"))).alias("active"))
+    c = table(spark, sf_dir, "customer")
+    return c.join(o, c.c_custkey == o.o_custkey, "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("active", F.lit(-1)).alias("active"))
+
+
+@query("SELECT o_custkey, o_orderkey, o_orderdate FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders WHERE o_orderstatus = 'F') WHERE r = 1")
+def latest_scan_per_repo(spark, sf_dir):
+    done = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'")
+    return done.groupBy("o_custkey").agg(F.max(F.struct("o_orderdate", "o_orderkey")).alias("m")).select("o_custkey", "m.o_orderkey", "m.o_orderdate")
+
+
+@query("SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders WHERE o_orderstatus NOT IN ('F', 'P') GROUP BY 1")
+def active_scan(spark, sf_dir):
+    return table(spark, sf_dir, "orders").filter(~F.col("o_orderstatus").isin("F", "P")).groupBy("o_custkey").agg(F.max("o_orderkey").alias("o_orderkey"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def stale_close(spark, sf_dir):
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def in_list_semi(spark, sf_dir):
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").filter("quality = 1"), "doc_id", "left_semi").select("doc_id", "source")
+
+
+@query("SELECT user_id, event_type, event_id, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def upsert_latest(spark, sf_dir):
+    e = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max(F.struct("ts", "event_id", "value")).alias("m"))
+    return e.select("user_id", "event_type", "m.event_id", "m.ts", "m.value")
+
+
+@query("SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-15 00:00:00'")
+def incremental_since(spark, sf_dir):
+    return table(spark, sf_dir, "events").filter("ts >= TIMESTAMP '2024-01-15 00:00:00'").select("event_id", "user_id")
+
+
+@query("SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS r FROM events WHERE ts <= TIMESTAMP '2024-01-20 00:00:00' AND value > 5) WHERE r = 1")
+def queue_claim(spark, sf_dir):
+    e = table(spark, sf_dir, "events").filter("ts <= TIMESTAMP '2024-01-20 00:00:00' AND value > 5")
+    return e.groupBy("event_type").agg(F.min(F.struct("ts", "event_id")).alias("m")).select("event_type", "m.event_id")
+
+
+@query("SELECT event_id, (CASE WHEN event_type = 'error' THEN 60000 ELSE 1000 END * pow(2, event_id % 4))::BIGINT AS delay_ms, event_id % 4 + 1 >= 3 AS exhausted FROM events")
+def retry_backoff(spark, sf_dir):
+    base = F.when(F.col("event_type").rlike("(?i)error"), 60000).otherwise(1000)
+    return table(spark, sf_dir, "events").select("event_id", (base * F.pow(F.lit(2), F.col("event_id") % 4)).cast("long").alias("delay_ms"), (F.col("event_id") % 4 + 1 >= 3).alias("exhausted"))
+
+
+@query("SELECT user_id, max_by(event_type, (ts, event_id)) AS status, count(*) AS n FROM events GROUP BY 1")
+def state_transitions(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), F.count("*").alias("n"))
+
+
+@query("""SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS click, count(*) FILTER (WHERE event_type = 'error') AS error,
+count(*) FILTER (WHERE event_type = 'purchase') AS purchase, count(*) FILTER (WHERE event_type = 'signup') AS signup, count(*) FILTER (WHERE event_type = 'view') AS view FROM events GROUP BY 1""")
+def token_usage_rollup(spark, sf_dir):
+    kinds = ["click", "error", "purchase", "signup", "view"]
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(*[F.count_if(F.col("event_type") == k).alias(k) for k in kinds])
+
+
+@query("""SELECT event_type, round(sum(json_extract(props, '$.k')::BIGINT) / 1e6 * coalesce(max(p), 0), 9) AS cost FROM events
+LEFT JOIN (VALUES ('click', 0.05), ('view', 0.4), ('purchase', 0.02)) t(kind, p) ON event_type = kind GROUP BY 1""")
+def cost_estimate(spark, sf_dir):
+    price = F.create_map(*[F.lit(x) for x in ("click", 0.05, "view", 0.4, "purchase", 0.02)])
+    e = table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k"))
+    return e.select("event_type", F.round(F.col("k") / 1e6 * F.coalesce(F.try_element_at(price, F.col("event_type")), F.lit(0.0)), 9).alias("cost"))
+
+
+@query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events")
+def json_decode(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long").getField("k").alias("k"))
+
+
+@query("""SELECT source, count(*) AS n, count(*) FILTER (WHERE r > 1) AS n_dup, round(100.0 * count(*) FILTER (WHERE r > 1) / count(*))::BIGINT AS pct
+FROM (SELECT source, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) GROUP BY 1""")
+def dup_count_pct(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2("text", 256).alias("h"))
+    first = d.groupBy("h").agg(F.min("doc_id").alias("first"))
+    d = d.join(first, "h").withColumn("dup", F.col("doc_id") != F.col("first"))
+    return d.groupBy("source").agg(F.count("*").alias("n"), F.count_if("dup").alias("n_dup"), F.round(100 * F.count_if("dup") / F.count("*")).cast("long").alias("pct"))
+
+
+@query("""SELECT doc_id, first_doc, r AS rank, CASE WHEN r = 1 THEN 'MERGE' ELSE 'CLOSE' END AS tag FROM
+(SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_doc, row_number() OVER (PARTITION BY text ORDER BY coalesce(quality, 0) DESC, doc_id) AS r, count(*) OVER (PARTITION BY text) AS n
+FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) USING (doc_id)) WHERE n > 1""")
+def rank_members(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h")).join(labels, "doc_id", "left")
+    w = Window.partitionBy("h")
+    r = F.row_number().over(w.orderBy(F.desc(F.coalesce("quality", F.lit(0))), "doc_id"))
+    d = d.select("doc_id", F.min("doc_id").over(w).alias("first_doc"), r.alias("rank"), F.count("*").over(w).alias("n")).filter("n > 1")
+    return d.select("doc_id", "first_doc", F.col("rank").cast("long").alias("rank"), F.when(F.col("rank") == 1, "MERGE").otherwise("CLOSE").alias("tag"))
+
+
+@query("SELECT user_id, count(*) FILTER (WHERE value >= 50) AS n, count(*) AS n_all FROM events GROUP BY 1 HAVING count(*) FILTER (WHERE value >= 50) > 0")
+def min_score_nested(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(F.col("value") >= 50).alias("n"), F.count("*").alias("n_all")).filter("n > 0")
+
+
+@query("SELECT count(*) AS n_scans, count(DISTINCT o_custkey) AS n_repos, round(sum(o_totalprice), 2) AS total FROM orders")
+def cumulative_stats(spark, sf_dir):
+    return table(spark, sf_dir, "orders").agg(F.count("*").alias("n_scans"), F.count_distinct("o_custkey").alias("n_repos"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("""SELECT o_custkey, o_orderkey, o_totalprice, lag(o_totalprice) OVER w AS before, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1 AS latest
+FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)""")
+def trend_series(spark, sf_dir):
+    w = Window.partitionBy("o_custkey")
+    return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", F.lag("o_totalprice").over(w.orderBy("o_orderkey")).alias("before"), (F.row_number().over(w.orderBy(F.desc("o_orderkey"))) == 1).alias("latest"))
+
+
+@query("SELECT DISTINCT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b FROM lineitem WHERE l_partkey <> l_suppkey")
+def pair_key_dedup(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").filter("l_partkey != l_suppkey").select(F.least("l_partkey", "l_suppkey").alias("a"), F.greatest("l_partkey", "l_suppkey").alias("b")).distinct()
+
+
+@query("""WITH RECURSIVE t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, md5(text)) AS r, ceil(length(coalesce(text, '')) / 4.0)::BIGINT + 50 AS n FROM conversations),
+c AS (SELECT conv_id, turn, r, 0::BIGINT AS chunk, n AS filled FROM t WHERE r = 1
+UNION ALL SELECT t.conv_id, t.turn, t.r, CASE WHEN c.filled + t.n > 400 THEN c.chunk + 1 ELSE c.chunk END, CASE WHEN c.filled + t.n > 400 THEN t.n ELSE c.filled + t.n END FROM c JOIN t ON t.conv_id = c.conv_id AND t.r = c.r + 1)
+SELECT conv_id, chunk, count(*) AS n_turns, max(filled) AS tokens FROM c GROUP BY 1, 2""")
+def chunk_by_budget(spark, sf_dir):
+    """Turns of a conversation in chunks of 400 tokens, 50 of them overhead a turn; a larger turn stands alone."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5("text").alias("m"), (F.ceil(F.length(F.coalesce("text", F.lit(""))) / F.lit(4.0)) + 50).alias("n"))
+    turns = t.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "m", "n"))).alias("t"))
+    empty = F.expr("array(named_struct('n_turns', 0L, 'tokens', 0L))")
+
+    def add(chunks, x):
+        last = F.element_at(chunks, -1)
+        grown = F.struct((last["n_turns"] + 1).alias("n_turns"), (last["tokens"] + x["n"]).alias("tokens"))
+        fresh = F.struct(F.lit(1).cast("long").alias("n_turns"), x["n"].alias("tokens"))
+        return F.when((last["n_turns"] > 0) & (last["tokens"] + x["n"] > 400), F.concat(chunks, F.array(fresh))).otherwise(F.concat(F.slice(chunks, 1, F.size(chunks) - 1), F.array(grown)))
+
+    return turns.select("conv_id", F.posexplode(F.aggregate("t", empty, add)).alias("chunk", "c")).select("conv_id", F.col("chunk").cast("long").alias("chunk"), "c.n_turns", "c.tokens")
 
 
-def oracle_sql() -> dict:
-    return {}
+@query("SELECT d.doc_id, d.h = s.h AS hit FROM (SELECT doc_id, md5(text) AS h FROM documents) d JOIN (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'stale' ELSE md5(text) END AS h FROM documents WHERE doc_id % 2 = 0) s USING (doc_id)")
+def hash_partition(spark, sf_dir):
+    """Which of the stored features are still valid: the content hash is the one they were made from."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("h"))
+    stored = d.filter("doc_id % 2 = 0").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "stale").otherwise(F.col("h")).alias("s"))
+    return d.join(stored, "doc_id").select("doc_id", (F.col("h") == F.col("s")).alias("hit"))
