@@ -1,7 +1,7 @@
 """Token counts: separator scan over flat token files without an index.
 
-A file is a run of little-endian unsigned 32-bit ids in which 0 ends a document; ids of a vocabulary are stored plus one,
-so that 0 is free. Blocks of a file are searched for separators as vectors; a prefix scan over the blocks of the file
+A file is a run of little-endian unsigned ids of 2 or 4 bytes (`width`; 2 holds vocabularies of up to 65,535) in which 0
+ends a document; ids of a vocabulary are stored plus one, so that 0 is free. Blocks of a file are searched for separators as vectors; a prefix scan over the blocks of the file
 stitches the documents that cross them.
 
 Defined results: an empty document counts 0 tokens; ids after the last separator are a document that isn't closed;
@@ -20,41 +20,41 @@ from pyspark.sql import window as W
 
 from corpusloom.llm import common, tokens
 
-END = "\0\0\0\0"
-
-
-def _ids(files: tuple[str, str]):
+def _ids(files: tuple[str, str], width: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_ids = tokens.encoder(files)
         for batch in batches:
-            out = [(to_ids(t.as_py() or "").astype("<u4") + np.uint32(1)).tobytes() for t in batch.column("text")]
+            out = [(to_ids(t.as_py() or "") + np.uint32(1)).astype(f"<u{width}").tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
 
     return encode
 
 
-def write_flat(docs: DataFrame, path: str, files: tuple[str, str] | None = None, rows_per_file: int = 20_000) -> None:
+def write_flat(docs: DataFrame, path: str, files: tuple[str, str] | None = None, width: int = 2, rows_per_file: int = 20_000) -> None:
     """The texts of docs as flat token files; the line separator of the text writer is the end mark."""
-    ids = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_ids(files or tokens.public_files()), "ids binary")
-    ids.select(F.col("ids").cast("string").alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", rows_per_file).text(path)
+    ids = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_ids(files or tokens.public_files(), width), "ids binary")
+    ids.select(F.col("ids").cast("string").alias("value")).write.option("lineSep", "\0" * width).option("maxRecordsPerFile", rows_per_file).text(path)
 
 
-def _separators(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [np.flatnonzero(np.frombuffer(x.as_buffer(), "<u4") == 0) for x in batch.column("ids")]
-        ends = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found) if found else [], pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("block"), batch.column("n"), ends], names=["path", "block", "n", "ends"])
+def _separators(width: int):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.flatnonzero(np.frombuffer(x.as_buffer(), f"<u{width}") == 0) for x in batch.column("ids")]
+            ends = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found) if found else [], pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("block"), batch.column("n"), ends], names=["path", "block", "n", "ends"])
+
+    return scan
 
 
-def token_counts(spark: SparkSession, path: str, block_ids: int = 1 << 20) -> DataFrame:
+def token_counts(spark: SparkSession, path: str, block_ids: int = 1 << 20, width: int = 2) -> DataFrame:
     """file, doc_no (from 0 in each file), start (ids before it), n_tokens, closed; one row per document in the files."""
     blocks = (
         spark.read.format("binaryFile").load(path).select("path", "length", "content").filter("length > 0")
-        .selectExpr("path", "length", "content", f"explode(sequence(0L, (length - 1) div {4 * block_ids})) AS block")
-        .selectExpr("path", "block", f"substring(content, cast(block * {4 * block_ids} AS int) + 1, {4 * block_ids}) AS ids")
-        .selectExpr("path", "block", "cast(length(ids) div 4 AS long) AS n", "ids")
+        .selectExpr("path", "length", "content", f"explode(sequence(0L, (length - 1) div {width * block_ids})) AS block")
+        .selectExpr("path", "block", f"substring(content, cast(block * {width * block_ids} AS int) + 1, {width * block_ids}) AS ids")
+        .selectExpr("path", "block", f"cast(length(ids) div {width} AS long) AS n", "ids")
     )
-    found = blocks.mapInArrow(_separators, "path string, block long, n long, ends array<long>")
+    found = blocks.mapInArrow(_separators(width), "path string, block long, n long, ends array<long>")
     before = W.Window.partitionBy("path").orderBy("block").rowsBetween(W.Window.unboundedPreceding, -1)
     first = F.col("block") * block_ids
     stitched = found.select(

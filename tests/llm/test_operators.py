@@ -121,7 +121,7 @@ def test_token_counts_stitch_blocks(spark, docs, tmp_path):
         assert all(r["closed"] for r in rows)
     (tmp_path / "open").mkdir()
     (tmp_path / "open" / "a.bin").write_bytes(np.array([5, 0, 0, 6, 7], "<u4").tobytes())
-    assert sorted((r["doc_no"], r["start"], r["n_tokens"], r["closed"]) for r in token_counts.token_counts(spark, f"file://{tmp_path}/open", 2).collect()) == [(0, 0, 1, True), (1, 2, 0, True), (2, 3, 2, False)]
+    assert sorted((r["doc_no"], r["start"], r["n_tokens"], r["closed"]) for r in token_counts.token_counts(spark, f"file://{tmp_path}/open", 2, width=4).collect()) == [(0, 0, 1, True), (1, 2, 0, True), (2, 3, 2, False)]
 
 
 def test_sharding(docs, empty):
