@@ -319,31 +319,36 @@ def linked(docs: DataFrame, percent: int = 80, width: int = 5, most_in_bucket: i
     """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every document; docs needs doc_id and text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     points = common.handed_over(docs.mapInArrow(_points(percent, width), "doc_id long, cid long, n long, point binary, fine binary, keys array<long>"), "points")
-    fine = common.handed_over(points.filter("fine IS NOT NULL").select("cid", "n", "fine").dropDuplicates(["cid"]), "fine-points")
-    shared = points.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
+    classes = common.handed_over(points.filter("n > 0").drop("doc_id").dropDuplicates(["cid"]), "classes")
+    fine = classes.filter("fine IS NOT NULL").select("cid", "n", "fine")
+    shared = classes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     shared = common.bitmap_of(common.handed_over(shared, "shared"), "key")
-    members = points.select("cid", "keys").mapInArrow(_hits(shared, ["cid"]), "key long, cid long")
+    members = classes.select("cid", "keys").mapInArrow(_hits(shared, ["cid"]), "key long, cid long")
     same = members.groupBy("key").agg(
         F.count("*").alias("c"), F.expr("sum(cast(cid AS decimal(20,0)))").alias("s1"), F.bit_xor(F.xxhash64("cid")).alias("s2"), F.min("cid").alias("lo"), F.max("cid").alias("hi")
     )
     kept = common.handed_over(same.filter("lo != hi").groupBy("c", "s1", "s2", "lo", "hi").agg(F.min("key").alias("key")).select("key", "c"), "buckets")
     blocks = F.greatest(F.ceil(F.col("c") / F.lit(most_in_bucket)), F.lit(1)).cast("int")
-    columns = ["cid", "n", "point", "fine"]
-    hits = points.select(*columns, "keys").mapInArrow(_hits(common.bitmap_of(kept, "key"), columns), "key long, cid long, n long, point binary, fine binary")
+    hits = classes.select("cid", "n", "keys").mapInArrow(_hits(common.bitmap_of(kept, "key"), ["cid", "n"]), "key long, cid long, n long")
     in_buckets = hits.join(kept.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    in_buckets = common.handed_over(in_buckets, "in-buckets").dropDuplicates(["key", "cid"])
+    in_buckets = common.handed_over(in_buckets.select("key", "cid", "blocks", "own", (F.col("n") > FINE_FROM).alias("large")), "in-buckets")
     block_pairs = F.expr("explode(sequence(0, blocks - 1))")
 
     def search(rows: DataFrame, full: bool) -> DataFrame:
+        """Rows carry ids only until they are dealt out; points join them there, fine ones where two of them can meet."""
         rows = rows.withColumn("other", block_pairs) if full else rows.withColumn("other", F.col("own"))
-        rows = rows.withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other"))
-        rows = rows.select("key", "bi", "bj", "own", "cid", "n", "point", *(["fine", "label"] if full else []))
+        rows = rows.select("key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "cid", *(["label", "fines"] if full else []))
+        rows = rows.join(classes.select("cid", "n", "point", *(["fine"] if full else [])), "cid")
+        rows = rows.select("key", "bi", "bj", "own", "cid", "n", "point", *([F.when(F.col("fines"), F.col("fine")).alias("fine"), "label"] if full else []))
         return rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "cid").mapInArrow(_bucket_pairs(percent, full), "a long, b long")
 
     first = _verified(docs, search(in_buckets, False), fine, percent, width)
     labels = graph.components(first)
     labelled = in_buckets.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    second = _verified(docs, search(labelled, True), fine, percent, width)
+    labelled = common.handed_over(labelled, "labelled")
+    of_large = F.when(F.col("large"), F.col("label"))
+    apart = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), (F.min(of_large) != F.max(of_large)).alias("fines")).filter("lo != hi")
+    second = _verified(docs, search(labelled.join(apart.select("key", "fines"), "key"), True), fine, percent, width)
     if second.limit(1).count():
         labels = graph.components(first.unionByName(second))
     slim = points.select("doc_id", "cid", "n")
