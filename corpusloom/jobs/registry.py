@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.jobs import streams, texts, upkeep  # noqa: F401  (their queries register themselves)
+from corpusloom.jobs.base import oracle_sql, queries, query  # noqa: F401
 from corpusloom.operators import graph, knn
 from corpusloom.sources.tables import handed_over, table
 
-_QUERIES: dict = {}
-_SQL: dict[str, str] = {}
 NEAR = 0.35
 
 _HITS = """
@@ -24,24 +24,6 @@ hits AS (SELECT q_id, m_id, score FROM r WHERE r <= 10 AND score >= 0.35 AND q_i
 """
 
 
-def query(sql: str | None = None):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.knn_join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 10, NEAR)
 

@@ -4,19 +4,20 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def knn_join(vectors: DataFrame, k: int = 10, threshold: float = 0.65, rows_per_block: int = 4000) -> DataFrame:
+def knn_join(vectors: DataFrame, k: int = 10, threshold: float = 0.65, rows_per_block: int = 4000, asks: Column | None = None) -> DataFrame:
     """q_id, m_id, score: the k best of each row, itself included; then scores below threshold and the row itself are dropped.
 
-    vectors has id and vector. Null and zero vectors have no neighbours. Ties fall to the least m_id."""
+    vectors has id and vector. Null and zero vectors have no neighbours. Ties fall to the least m_id.
+    asks, over id, says which rows are searched for; all by default."""
     rows = vectors.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("v")).filter("v IS NOT NULL AND exists(v, x -> x != 0)")
     blocks = max(1, -(-rows.count() // rows_per_block))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    asks = rows.select("id", "v", F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("j"), F.lit(True).alias("asks"))
+    asked = (rows if asks is None else rows.filter(asks)).select("id", "v", F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("j"), F.lit(True).alias("asks"))
     base = rows.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("i"), F.col("own").alias("j"), F.lit(False).alias("asks"))
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -28,7 +29,7 @@ def knn_join(vectors: DataFrame, k: int = 10, threshold: float = 0.65, rows_per_
         top = np.argsort(-score.round(12), axis=1, kind="stable")[:, :k]
         return pd.DataFrame({"q_id": np.repeat(q.id.to_numpy(), top.shape[1]), "m_id": b.id.to_numpy()[top].ravel(), "score": np.take_along_axis(score, top, 1).ravel()})
 
-    found = asks.unionByName(base).groupBy("i", "j").applyInPandas(best, "q_id long, m_id long, score double")
+    found = asked.unionByName(base).groupBy("i", "j").applyInPandas(best, "q_id long, m_id long, score double")
     rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc(F.round("score", 12)), "m_id"))
     return found.withColumn("r", rank).filter((F.col("r") <= k) & (F.col("score") >= threshold) & (F.col("q_id") != F.col("m_id"))).select("q_id", "m_id", "score")
 
@@ -38,6 +39,15 @@ def candidate_pairs(hits: DataFrame) -> DataFrame:
     return hits.groupBy(F.least("q_id", "m_id").alias("a"), F.greatest("q_id", "m_id").alias("b")).agg(F.max("score").alias("score"))
 
 
+def merged(code: DataFrame, intent: DataFrame, k: int) -> DataFrame:
+    """q_id, m_id, code_score, intent_score: the k best hits of either list by the better score; a missing score is 0."""
+    hits = code.withColumn("intent_score", F.lit(0.0)).withColumnRenamed("score", "code_score")
+    hits = hits.unionByName(intent.withColumn("code_score", F.lit(0.0)).withColumnRenamed("score", "intent_score"))
+    hits = hits.groupBy("q_id", "m_id").agg(*[F.sum(c).alias(c) for c in ("code_score", "intent_score")])
+    rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc(F.round(F.greatest("code_score", "intent_score"), 12)), "m_id"))
+    return hits.withColumn("r", rank).filter(F.col("r") <= k).drop("r")
+
+
 def greedy_groups(edges: list[tuple[int, int, float]]) -> list[list[int]]:
     """Cliques from the strongest edge on: both ends free, joined by free neighbours of the ends that know all members."""
     order = sorted(edges, key=lambda e: (-e[2], e[0], e[1]))

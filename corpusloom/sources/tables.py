@@ -14,12 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def handed_over(df: DataFrame, name: str) -> DataFrame:
-    """df written under spark.checkpoint.dir (a temporary folder only where that is unset) and read again."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path under spark.checkpoint.dir (under a temporary folder only where that is unset)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="corpusloom-"))
-    path = f"{folder.rstrip('/')}/corpusloom-{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/corpusloom-{name}-{uuid.uuid4().hex}"
+
+
+def handed_over(df: DataFrame, name: str) -> DataFrame:
+    """df written to a fresh shared folder and read again."""
+    path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
