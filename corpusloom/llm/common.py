@@ -142,6 +142,8 @@ def bitmap_of(df: DataFrame, column: str, bits: int = 26) -> np.ndarray:
     )
     out = np.zeros(1 << (bits - 6), np.uint64)
     out[rows.column("at").to_numpy()] = rows.column("word").to_numpy().view(np.uint64)
+    del rows
+    pa.default_memory_pool().release_unused()
     return out
 
 
