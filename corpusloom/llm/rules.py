@@ -80,27 +80,30 @@ def pattern() -> Column:
     return code.cast("int")
 
 
-FIRM, MILD = 4.0, 0.3
+#: Chances (abstains, good, bad) that a rule is believed to have before the data, for bad and for good documents, and the
+#: believed share of good ones. They weigh as BELIEF_RULE and BELIEF_SHARE documents for each one that is judged.
+BELIEVED = {0: (0.2, 0.5, 0.3), 1: (0.1, 0.89, 0.01)}
+BELIEVED_SHARE, BELIEF_RULE, BELIEF_SHARE = 0.8, 0.5, 1.0
 
 
 def estimate(counts: dict[int, int], n_rules: int, rounds: int = 50) -> tuple[list[float], list[dict]]:
     """Posterior chance of good for every pattern, and for each rule its chances by class, by expectation-maximisation.
 
-    Starts from: bad if any rule says so. Every chance is smoothed, so that no vote is ever certain. A rule that votes is
-    taken to be right more often than not: a bad vote shifts the odds by FIRM at least, a good one by MILD at most in
-    favour, else the many good votes of unconcerned rules would outvote the one that saw something."""
+    A document with one bad vote starts undecided, one with more starts bad. The beliefs count as documents, so that no
+    vote is ever certain and a rule that alone votes bad is believed while it does so rarely; one that does so more often
+    than there can be bad documents, with no other rule to agree, is found inaccurate and outvoted."""
     votes = {p: [p // 3**k % 3 for k in reversed(range(n_rules))] for p in range(3**n_rules)}
-    good = {p: 0.1 if 2 in votes[p] else 0.95 for p in counts}
-    share, chance = 0.8, []
+    good = {p: (0.95, 0.5, 0.05)[min(2, votes[p].count(2))] for p in counts}
+    total = max(1, sum(counts.values()))
+    share, chance = BELIEVED_SHARE, []
     for _ in range(rounds):
         weight = {y: sum(n * (good[p] if y else 1 - good[p]) for p, n in counts.items()) for y in (0, 1)}
-        share = (weight[1] + 8) / (weight[0] + weight[1] + 10)
+        share = (weight[1] + BELIEVED_SHARE * BELIEF_SHARE * total) / (weight[0] + weight[1] + BELIEF_SHARE * total)
         chance = []
         for k in range(n_rules):
             row = {}
             for y in (0, 1):
-                prior = (1, 7, 0.1) if y else (1, 2, 1)
-                seen = [prior[v] + sum(n * (good[p] if y else 1 - good[p]) for p, n in counts.items() if votes[p][k] == v) for v in range(3)]
+                seen = [BELIEVED[y][v] * BELIEF_RULE * total + sum(n * (good[p] if y else 1 - good[p]) for p, n in counts.items() if votes[p][k] == v) for v in range(3)]
                 row[y] = [x / sum(seen) for x in seen]
             chance.append(row)
         good = {p: _posterior(votes[p], share, chance) for p in counts}
@@ -108,10 +111,12 @@ def estimate(counts: dict[int, int], n_rules: int, rounds: int = 50) -> tuple[li
 
 
 def _posterior(vote: list[int], share: float, chance: list[dict]) -> float:
-    odds = math.log(share / (1 - share))
-    for k, v in enumerate(vote):
-        shift = math.log(chance[k][1][v] / chance[k][0][v])
-        odds += (max(-MILD, min(MILD, shift)), max(0.0, min(MILD, shift)), min(-FIRM, shift))[v]
+    """Each bad vote counts by its estimated ratio of chances. Rules that see nothing do so together, whatever ails the
+    document elsewhere: they are one merged vote, the mean of their ratios."""
+    shift = [math.log(chance[k][1][v] / chance[k][0][v]) for k, v in enumerate(vote)]
+    bad = [x for x, v in zip(shift, vote, strict=True) if v == 2]
+    rest = [x for x, v in zip(shift, vote, strict=True) if v != 2]
+    odds = math.log(share / (1 - share)) + sum(bad) + (sum(rest) / len(rest) if rest else 0.0)
     return 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
 
 
