@@ -2,8 +2,8 @@
 
 Each line of `min_words` words or more has a HyperLogLog sketch of the sites it occurs on; sketches merge by
 aggregation. Lines whose estimate lies near the threshold get an exact distinct count. Lines on `min_sites` sites or
-more are boilerplate and leave every document. A document of which boilerplate takes more than `copy_share` of the
-words is a copy of another rather than a page with boilerplate; it stays whole, for a near-duplicate stage to judge.
+more are boilerplate and leave every document, whatever share of it they are. Only a text that as a whole, byte for
+byte, is on `min_sites` sites or more stays as it is in each of its copies, for a near-duplicate stage to leave one.
 
 A line is what \\n parts, without the white space [\\x20\\x09-\\x0D] at its ends.
 Defined results: a null text or site: no lines, or one site of its own name; repeated rows count one site;
@@ -65,10 +65,11 @@ def _small(lines: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(lines) if lines.count() <= most else lines
 
 
-def _remove(min_words: int, copy_share: float, everywhere: np.ndarray | None):
+def _remove(min_words: int, everywhere: np.ndarray | None):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = None if everywhere is not None else batch.column("lines")
+            whole = batch.column("whole").fill_null(False).to_numpy(zero_copy_only=False)
             for rows, data, offsets in common.steps(batch):
                 doc, first, behind, n, h = _lines(data, offsets)
                 n_docs = len(offsets) - 1
@@ -83,10 +84,7 @@ def _remove(min_words: int, copy_share: float, everywhere: np.ndarray | None):
                     for i in np.flatnonzero(lists.value_lengths().fill_null(0).to_numpy()):
                         hit[edges[i] : edges[i + 1]] = np.isin(h[edges[i] : edges[i + 1]], np.array(lists[i].as_py(), np.int64).view(np.uint64))
                 hit &= n >= min_words
-                words = np.bincount(doc, n, n_docs)
-                gone = np.bincount(doc[hit], n[hit], n_docs)
-                copy = gone > copy_share * words
-                drop = hit & ~copy[doc]
+                drop = hit & ~whole[rows][doc]
                 n_lines, n_drop, n_hit = (np.bincount(doc[x], minlength=n_docs) for x in (slice(None), drop, hit))
                 texts = batch.column("text").slice(rows.start, n_docs).to_pylist()
                 edges = np.searchsorted(doc, np.arange(n_docs + 1))
@@ -99,28 +97,35 @@ def _remove(min_words: int, copy_share: float, everywhere: np.ndarray | None):
                     dropped = set(places[drop[edges[i] : edges[i + 1]]].tolist())
                     out = [x for k, x in enumerate(lines) if k not in dropped]
                     texts[i] = b"\n".join(out).decode("utf-8", "surrogateescape")
-                rest = [batch.column(c).slice(rows.start, n_docs) for c in batch.schema.names if c not in ("text", "lines")]
-                names = [c for c in batch.schema.names if c not in ("text", "lines")]
+                rest = [batch.column(c).slice(rows.start, n_docs) for c in batch.schema.names if c not in ("text", "lines", "whole")]
+                names = [c for c in batch.schema.names if c not in ("text", "lines", "whole")]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(texts, pa.string()), pa.array(n_lines), pa.array(n_hit), pa.array(n_drop)], names=[*names, "text", "n_lines", "n_boilerplate_lines", "n_removed_lines"])
 
     return remove
 
 
-def cleaned(docs: DataFrame, min_sites: int = 10, min_words: int = 4, copy_share: float = 0.7, near: float = 0.5, most_everywhere: int = 1_000_000) -> DataFrame:
+def cleaned(docs: DataFrame, min_sites: int = 10, min_words: int = 4, near: float = 0.5, most_everywhere: int = 1_000_000) -> DataFrame:
     """docs with text cleaned, n_lines, n_boilerplate_lines (found) and n_removed_lines; docs needs doc_id, text, source.
 
     Boilerplate hashes go to every task if there are at most `most_everywhere` (8 MB); else they meet the documents in a join."""
-    docs = docs.withColumn("text", F.col("text").cast("string")).drop("n_lines", "n_boilerplate_lines", "n_removed_lines", "lines")
+    docs = docs.withColumn("text", F.col("text").cast("string")).drop("n_lines", "n_boilerplate_lines", "n_removed_lines", "lines", "whole")
     lines = boilerplate(docs, min_sites, min_words, near)
     order = [c for c in docs.columns if c != "text"] + ["text"]
     schema = docs.select(*order).schema.add("n_lines", "long").add("n_boilerplate_lines", "long").add("n_removed_lines", "long")
+    keyed = docs.withColumns(dict(zip(("t1", "t2"), common.text_key(), strict=True)))
+    keyed = keyed.join(_small(_whole_copies(keyed, min_sites)), ["t1", "t2"], "left")
     if lines.count() <= most_everywhere:
         everywhere = np.sort(lines.toArrow().column("line").to_numpy().view(np.uint64))
-        return docs.mapInArrow(_remove(min_words, copy_share, everywhere), schema)
-    keyed = docs.withColumns(dict(zip(("t1", "t2"), common.text_key(), strict=True)))
+        return keyed.drop("t1", "t2").mapInArrow(_remove(min_words, everywhere), schema)
     hits = keyed.select("t1", "t2", "text").mapInArrow(_own_lines(min_words), "t1 long, t2 long, line long").join(lines, "line", "left_semi")
     hits = hits.distinct().groupBy("t1", "t2").agg(F.collect_list("line").alias("lines"))
-    return keyed.join(hits, ["t1", "t2"], "left").drop("t1", "t2").mapInArrow(_remove(min_words, copy_share, None), schema)
+    return keyed.join(hits, ["t1", "t2"], "left").drop("t1", "t2").mapInArrow(_remove(min_words, None), schema)
+
+
+def _whole_copies(keyed: DataFrame, min_sites: int) -> DataFrame:
+    """t1, t2, whole: the texts that as a whole are on min_sites sites or more."""
+    seen = keyed.select("t1", "t2", F.coalesce(F.col("source").cast("string"), F.lit(NO_SITE)).alias("site")).distinct()
+    return common.handed_over(seen.groupBy("t1", "t2").agg(F.count("*").alias("n")).filter(F.col("n") >= min_sites).select("t1", "t2", F.lit(True).alias("whole")), "whole-copies")
 
 
 def _own_lines(min_words: int):

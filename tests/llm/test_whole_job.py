@@ -1,6 +1,6 @@
 """Cases that the reviews of a round found to be cut short."""
 
-from corpusloom.llm import rules
+from corpusloom.llm import line_dedup, rules
 
 
 def _pattern(votes):
@@ -21,3 +21,17 @@ def test_inaccurate_rule_is_outvoted():
     rare = {_pattern((1,) * 7): 9000, _pattern((2, 1, 1, 1, 1, 1, 1)): 500, _pattern((1, 1, 1, 2, 2, 2, 1)): 500}
     posterior, _ = rules.estimate(rare, 7)
     assert posterior[_pattern((2, 1, 1, 1, 1, 1, 1))] < 0.5 < posterior[_pattern((1,) * 7)]
+
+
+def test_boilerplate_leaves_short_pages_too(spark):
+    line = "licensed under the general public licence"
+    rows = [(i, f"own words of page {i} alone are many more than the others\n{line}", f"s{i}") for i in range(12)]
+    rows += [(100, f"short page\n{line}", "a"), (101, line, "b"), (102, f"twice here\n{line}", "c"), (103, f"twice here\n{line}", "d")]
+    copy = "one text that many sites\nhave as it is here"
+    rows += [(200 + i, copy, f"t{i}") for i in range(11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for most in (1000, -1):
+        got = {r["doc_id"]: r["text"] for r in line_dedup.cleaned(docs, most_everywhere=most).collect()}
+        assert [got[i] for i in (100, 101, 102, 103)] == ["short page", "", "twice here", "twice here"]
+        assert not any(line in x for x in got.values())
+        assert all(got[200 + i] == copy for i in range(11))
