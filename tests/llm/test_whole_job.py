@@ -1,6 +1,8 @@
 """Cases that the reviews of a round found to be cut short."""
 
-from corpusloom.llm import line_dedup, rules
+import random
+
+from corpusloom.llm import decontamination, line_dedup, rules
 
 
 def _pattern(votes):
@@ -35,3 +37,20 @@ def test_boilerplate_leaves_short_pages_too(spark):
         assert [got[i] for i in (100, 101, 102, 103)] == ["short page", "", "twice here", "twice here"]
         assert not any(line in x for x in got.values())
         assert all(got[200 + i] == copy for i in range(11))
+
+
+def test_long_items_are_found(spark):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(3000)]
+    sizes = (62, 90, 150, 400, 1000)
+    items = [rng.choices(words, k=n) for n in sizes]
+    rows = [(i, " ".join(rng.choices(words, k=200))) for i in range(60)]
+    for i, item in enumerate(items):
+        said = [w if rng.random() < 0.7 or w in item[:2] else rng.choice(words) for w in item]
+        around = [" ".join(rng.choices(words, k=37)) for _ in range(4)]
+        rows += [(100 + i, f"{around[0]} {' '.join(item)} {around[1]}"), (200 + i, f"{around[2]} {' '.join(said)} {around[3]}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x), " ".join(x[:2])) for i, x in enumerate(items)], "item_id long, text string, answer string")
+    for at_once in (200, 2):
+        got = {(r["doc_id"], r["item_id"], r["kind"]) for r in decontamination.leaks(docs, bench, items_at_once=at_once).collect()}
+        assert got == {(100 + i, i, "verbatim") for i in range(len(sizes))} | {(200 + i, i, "paraphrase") for i in range(len(sizes))}
