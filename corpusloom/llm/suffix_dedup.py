@@ -54,8 +54,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, prefix: np.ndarray, length: i
     _, down = common.power(len(prefix))
     h = common.mixed((prefix[k:] - prefix[:-k]) * down[: len(prefix) - k])
     key = h >> np.uint64(1)
-    key[: len(data) - k] |= (data[: len(data) - k] >= data[1 : len(data) - k + 1]).astype(np.uint64) << np.uint64(63)
-    key[len(data) - k :] |= np.uint64(1 << 63)
+    key |= (data[: len(key)] >= data[1 : len(key) + 1]).astype(np.uint64) << np.uint64(63)
     least = _sliding_min(key, width)
     cross = np.zeros(len(data) + 1, np.int32)
     np.add.at(cross, np.maximum(offsets[1:-1] - length + 1, 0), 1)

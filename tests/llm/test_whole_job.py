@@ -2,7 +2,9 @@
 
 import random
 
-from corpusloom.llm import decontamination, line_dedup, rules
+import numpy as np
+
+from corpusloom.llm import common, decontamination, line_dedup, rules, suffix_dedup
 
 
 def _pattern(votes):
@@ -54,3 +56,14 @@ def test_long_items_are_found(spark):
     for at_once in (200, 2):
         got = {(r["doc_id"], r["item_id"], r["kind"]) for r in decontamination.leaks(docs, bench, items_at_once=at_once).collect()}
         assert got == {(100 + i, i, "verbatim") for i in range(len(sizes))} | {(200 + i, i, "paraphrase") for i in range(len(sizes))}
+
+
+def test_anchors_do_not_depend_on_the_step():
+    rng = np.random.default_rng(4)
+    for _ in range(2000):
+        data = rng.integers(97, 123, 400).astype(np.uint8)
+        seen = []
+        for step, offsets in ((data[:200], [0, 200]), (data, [0, 200, 400])):
+            p, h, s0, _ = suffix_dedup.anchors(step, np.array(offsets), common.prefix_hash(step), 200, 64)
+            seen.append([(a, b) for a, b, c in zip(p.tolist(), h.tolist(), s0.tolist(), strict=True) if c == 0])
+        assert seen[0] == seen[1]
