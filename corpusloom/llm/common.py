@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +19,12 @@ _own_dir: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where it is unset, as in tests."""
+    """spark.checkpoint.dir of the session; a temporary folder only where it is unset and all runs on one machine, as in tests."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
@@ -129,10 +132,93 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, np.searchsorted(offsets, start, "right") - 1
 
 
-def bitmap_of(df: DataFrame, column: str, bits: int = 26) -> np.ndarray:
-    """Which values of the leading bits of a 64-bit column occur: 2**bits bits, whatever the size of df.
-
-    A fixed-size filter that lets everything in df pass; callers join exactly afterwards."""
+# --- counting 64-bit values of which there are as many as words --------------------------------
+
+
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length(F.col("text")))).first()[0] or 0
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Rising values as the bytes of their differences, all first bytes first: most of the last planes are zeros."""
+    return np.diff(values, prepend=values.dtype.type(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_planes(raw: pa.Buffer) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+
+
+def census(df: DataFrame, values_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], expected: int, bits: int, least: int, flagged: bool = False, at_once: int = 1 << 20) -> DataFrame:
+    """value, n: the leading `bits` bits of the 64-bit values that occur `least` times or more, and how often.
+
+    Values meet in ranges of their leading bits, 64 or more and so many that 4 million of the expected values fall into
+    one; they move as sorted runs, a few bytes each, in which what a task meets again and again is one entry with a count. If flagged, the last bit kept is a mark and not part of the value, and
+    only values that are marked once or more count."""
+    range_bits = max(6, (expected >> 22).bit_length())
+    down, last = np.uint64(64 - bits), np.uint64(1)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(held: list[np.ndarray]) -> pa.RecordBatch:
+            values = np.sort(np.concatenate(held) >> down)
+            first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+            times, values = np.diff(np.append(first, len(values))), values[first]
+            part = (values >> np.uint64(bits - range_bits)).astype(np.int64)
+            edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            runs = [slice(a, b) for a, b in zip(edge, np.append(edge[1:], len(values)), strict=True)]
+            often = [np.flatnonzero(times[x] > 1) for x in runs]
+            cols = [[_planes(values[x]) for x in runs], [x.astype("<i4").tobytes() for x in often], [times[x][y].astype("<i8").tobytes() for x, y in zip(runs, often, strict=True)]]
+            return pa.RecordBatch.from_arrays([pa.array(part[edge]), *(pa.array(c, pa.binary()) for c in cols)], names=["part", "values", "often", "times"])
+
+        held, n = [], 0
+        for batch in batches:
+            for values in values_of(batch):
+                if len(values):
+                    held.append(values)
+                    n += len(values)
+                if n >= at_once:
+                    yield run(held)
+                    held, n = [], 0
+        if held:
+            yield run(held)
+
+    def counted(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        values, times = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(values)
+        values, times = values[order], times[order]
+        marks = (values & last).astype(np.int64) if flagged else None
+        values = values >> last if flagged else values
+        edge = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+        n = np.add.reduceat(times, edge)
+        keep = n >= least
+        if flagged:
+            keep &= np.add.reduceat(marks, edge) > 0
+        return pa.RecordBatch.from_arrays([pa.array(values[edge][keep].view(np.int64)), pa.array(n[keep])], names=["value", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, own = [], None
+        for batch in batches:
+            for part, *row in zip(batch.column("part").to_pylist(), *(batch.column(c) for c in ("values", "often", "times")), strict=True):
+                if part != own and held:
+                    yield counted(held)
+                    held = []
+                own = part
+                values = _from_planes(row[0].as_buffer())
+                times = np.ones(len(values), np.int64)
+                times[np.frombuffer(row[1].as_buffer(), "<i4")] = np.frombuffer(row[2].as_buffer(), "<i8")
+                held.append((values, times))
+        if held:
+            yield counted(held)
+
+    dealt = df.mapInArrow(deal, "part long, values binary, often binary, times binary")
+    return dealt.repartition("part").sortWithinPartitions("part").mapInArrow(count, "value long, n long")
+
+
+def bitmap_of(df: DataFrame, column: str, n: int) -> np.ndarray:
+    """Which values of the leading bits of a 64-bit column occur, for n values: 16 places a value, 2**26 to 2**29 in all.
+
+    A filter that lets everything in df pass and a few others; callers join or count exactly afterwards. Spark ships it to
+    each executor once, as it does any function that is large."""
+    bits = min(29, max(26, (16 * n).bit_length()))
     rows = (
         df.select(F.shiftrightunsigned(F.col(column), 64 - bits).alias("place"))
         .selectExpr("shiftright(place, 6) AS at", "shiftleft(1L, cast(place % 64 AS int)) AS bit")

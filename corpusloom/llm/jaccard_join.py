@@ -1,15 +1,21 @@
 """N-gram Jaccard join with a count-vector R-tree.
 
 A document's set holds the hashes of its distinct word shingles; equal sets are one class. The hashes fall into groups,
-and the group counts of a class are a point. Points of classes that can be linked at all meet in a bucket: if
-intersection / union >= t, the sets share one of their n - ceil(t n) + 1 least hashes. Buckets with the same members
-are kept once. In a bucket, an R-tree of points (leaves by set size, boxes by their upper corners) bounds the overlap of
-two boxes or points by the sum of the coordinate minima; pairs below the overlap that t asks for are dropped.
+and the group counts of a class are a point. Points of classes that can be linked at all meet in a bucket: with the
+shingles of every set in one order, linked sets share one of their first n - ceil(t n) + 1. The order is rarest first:
+shingles of more than `common_in` documents (a census counts them all) come last, the most common of all at the very end.
+So what many documents quote opens no bucket as long as they have words of their own. At most `most_common` of them are
+told apart from rare ones, which moves the order and never a result. Buckets with the same members are kept once.
+
+In a bucket, an R-tree of points (leaves by set size, boxes by their upper corners and by what is left of the sets behind
+the shared shingle) bounds the overlap of two boxes or points by the sum of the coordinate minima; pairs below the
+overlap that t asks for are dropped, and so are pairs of which too little is left behind the shingle in either set.
 
 Pairs are verified on their whole sets, in two rounds. First every bucket tries stars: the point nearest to the middle
-against those it may link with, then again among the rest. Then pairs that are still in different components, and only
-those, come from the full tree search. So large groups of near copies never become all pairs, and no link between
-components is lost. A bucket of more than `most_in_bucket` classes is dealt into blocks that meet pairwise.
+against those it may link with, then again among the rest. Linked classes have one label from then on. Then only pairs
+of different labels come from the full tree search. So large groups of near copies never become all pairs, and no link
+between components is lost. A bucket of more than `most_in_bucket` classes is dealt out: each of its classes lies in one
+block, and those that don't have the bucket's most frequent label visit every block.
 
 Defined results: a null text or one without words has an empty set and is linked with nothing; fewer words than a
 shingle are one shingle; repeated rows share a class; an empty table gives no rows; other columns are ignored.
@@ -31,6 +37,8 @@ GROUPS = 128
 LEAF = 64
 #: Sets of more shingles also have a fine point, with about a group for every four shingles.
 FINE_FROM = 1024
+#: Leading bits of shingles that the census tells apart, and of keys, the last of them a mark.
+CENSUS_BITS, KEY_BITS = 40, 48
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -83,7 +91,48 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-percent * n // 100) + 1
 
 
-def _points(percent: int, width: int):
+def _ranks(s: np.ndarray, common_ones: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """0 for a rare shingle, else the power of two of how many documents have it."""
+    known, rank = common_ones
+    if not len(known):
+        return np.zeros(len(s), np.uint8)
+    lead = s >> np.uint64(64 - CENSUS_BITS)
+    at = np.searchsorted(known, lead)
+    at[at == len(known)] = 0
+    return np.where(known[at] == lead, rank[at], 0).astype(np.uint8)
+
+
+def _each_class_once(width: int):
+    """The shingles of texts, those of equal sets in a task once."""
+
+    def values_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for _, data, offsets in common.steps(batch):
+            s, d = shingles(data, offsets, width)
+            n, _, cid = _classes(s, d, len(offsets) - 1)
+            once = np.zeros(len(n), bool)
+            once[np.unique(cid, return_index=True)[1]] = True
+            yield s[once[d]]
+
+    return values_of
+
+
+def _marked_keys(percent: int):
+    """The first shingles of classes, with a mark on those that the smaller set of a pair may share."""
+
+    def values_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        lists, n = batch.column("keys"), batch.column("n").to_numpy()
+        keys = lists.flatten().to_numpy().view(np.uint64)
+        length = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(n)), length)
+        place = np.arange(len(keys)) - np.repeat(np.cumsum(length) - length, length)
+        mark = ((100 + percent) * (n[row] - place) >= 2 * percent * n[row]).astype(np.uint64)
+        at = np.uint64(64 - KEY_BITS)
+        yield (keys >> (at + np.uint64(1)) << np.uint64(1) | mark) << at
+
+    return values_of
+
+
+def _points(percent: int, width: int, common_ones: tuple[np.ndarray, np.ndarray]):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in common.steps(batch):
@@ -93,8 +142,10 @@ def _points(percent: int, width: int):
                 group = (s & np.uint64(GROUPS - 1)).astype(np.int64)
                 counts = np.minimum(np.bincount(d * GROUPS + group, minlength=n_docs * GROUPS), 255).astype(np.uint8)
                 length = np.where(n > 0, prefix_length(n, percent), 0)
+                rank = _ranks(s, common_ones)
+                rare_first = s[np.lexsort((s, rank, d))] if rank.any() else s
                 keep = np.arange(len(s)) - first[d] < length[d]
-                keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(common.mixed(s[keep] ^ _M).view(np.int64)))
+                keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(common.mixed(rare_first[keep] ^ _M).view(np.int64)))
                 points = pa.FixedSizeBinaryArray.from_buffers(pa.binary(GROUPS), n_docs, [None, pa.py_buffer(counts.tobytes())]).cast(pa.binary())
                 fine = [_fine(s[first[i] : first[i] + n[i]]) if n[i] > FINE_FROM else None for i in range(n_docs)]
                 own = [batch.column("doc_id").slice(rows.start, n_docs), pa.array(cid.view(np.int64)), pa.array(n), points]
@@ -127,17 +178,19 @@ def _still_near(percent: int):
     return check
 
 
-def _hits(bitmap: np.ndarray, columns: list[str]):
-    """A row with `columns` for each key of a class that is in the bitmap."""
+def _hits(bitmap: np.ndarray):
+    """A row for each key of a class that is in the bitmap; rest: shingles of the class from that one on."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("keys")
+            lists, n = batch.column("keys"), batch.column("n").to_numpy()
             keys = lists.flatten().to_numpy()
-            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
-            hit = common.in_bitmap(bitmap, keys.view(np.uint64)) if len(keys) else np.zeros(0, bool)
-            take = pa.array(row[hit])
-            yield pa.RecordBatch.from_arrays([pa.array(keys[hit]), *(batch.column(c).take(take) for c in columns)], names=["key", *columns])
+            length = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(lists)), length)
+            rest = n[row] - np.arange(len(keys)) + np.repeat(np.cumsum(length) - length, length)
+            hit = np.flatnonzero(common.in_bitmap(bitmap, keys.view(np.uint64))) if len(keys) else row
+            own = [batch.column(c).take(pa.array(row[hit])) for c in ("cid", "n")]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[hit]), *own, pa.array(rest[hit])], names=["key", "cid", "n", "rest"])
 
     return scan
 
@@ -152,22 +205,29 @@ def _wide(points: np.ndarray) -> np.ndarray:
     return wide
 
 
-def _may_link(p: np.ndarray, n: np.ndarray, q: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
-    """For points p (n their sizes) against q: sizes and summed coordinate minima allow a link."""
-    bound = np.minimum(p[:, None, :], q[None, :, :]).sum(axis=2, dtype=np.int64)
+def _may_link(p: np.ndarray, n: np.ndarray, r: np.ndarray, q: np.ndarray, m: np.ndarray, t: np.ndarray, percent: int) -> np.ndarray:
+    """For points p (n their sizes, r what is left of them) against q (m, t): sizes, summed coordinate minima and what is
+    left behind the first shingle that they share allow a link."""
     low, high = np.minimum(n[:, None], m[None, :]), np.maximum(n[:, None], m[None, :])
-    return (100 * low >= percent * high) & ((100 + percent) * np.minimum(bound, low) >= percent * (low + high))
+    ok = (100 * low >= percent * high) & ((100 + percent) * np.minimum(r[:, None], t[None, :]) >= percent * (low + high))
+    x, y = np.nonzero(ok)
+    for a in range(0, len(x), 1 << 16):
+        i, j = x[a : a + (1 << 16)], y[a : a + (1 << 16)]
+        bound = np.minimum(p[i], q[j]).sum(axis=1, dtype=np.int64)
+        ok[i, j] = (100 + percent) * bound >= percent * (n[i] + m[j])
+    return ok
 
 
 class Tree:
-    """Points packed into leaves by size; each leaf has the upper corner of its box and its least and largest size."""
+    """Points packed into leaves by size; each leaf has the upper corner of its box, its least and largest size and the most
+    that is left of a set in it."""
 
-    def __init__(self, points: np.ndarray, n: np.ndarray):
+    def __init__(self, points: np.ndarray, n: np.ndarray, rest: np.ndarray):
         self.order = np.lexsort((points.argmax(axis=1), n))
-        self.points, self.n = points[self.order], n[self.order]
+        self.points, self.n, self.rest = points[self.order], n[self.order], rest[self.order]
         self.edges = np.arange(0, len(n), LEAF)
         self.corner = np.maximum.reduceat(self.points, self.edges, axis=0)
-        self.least, self.most = np.minimum.reduceat(self.n, self.edges), np.maximum.reduceat(self.n, self.edges)
+        self.least, self.most, self.left = np.minimum.reduceat(self.n, self.edges), np.maximum.reduceat(self.n, self.edges), np.maximum.reduceat(self.rest, self.edges)
 
     def leaves(self, i: int) -> slice:
         return slice(self.edges[i], min(self.edges[i] + LEAF, len(self.n)))
@@ -176,14 +236,14 @@ class Tree:
 def tree_pairs(a: Tree, b: Tree, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs that may be linked, from the boxes down; each unordered pair once if a is b."""
     for i in range(len(a.edges)):
-        bound = np.minimum(a.corner[i], b.corner).sum(axis=1, dtype=np.int64)
+        bound = np.minimum(np.minimum(a.corner[i], b.corner).sum(axis=1, dtype=np.int64), np.minimum(a.left[i], b.left))
         fits = (100 * b.most >= percent * a.least[i]) & (100 * a.most[i] >= percent * b.least)
         fits &= (100 + percent) * bound >= percent * (a.least[i] + b.least)
         for j in np.flatnonzero(fits):
             if a is b and j < i:
                 continue
             x, y = a.leaves(i), b.leaves(j)
-            ok = _may_link(a.points[x], a.n[x], b.points[y], b.n[y], percent)
+            ok = _may_link(a.points[x], a.n[x], a.rest[x], b.points[y], b.n[y], b.rest[y], percent)
             if a is b and i == j:
                 ok = np.triu(ok, 1)
             r, c = np.nonzero(ok)
@@ -191,7 +251,7 @@ def tree_pairs(a: Tree, b: Tree, percent: int) -> Iterator[tuple[np.ndarray, np.
                 yield a.order[r + x.start], b.order[c + y.start]
 
 
-def _stars(points: np.ndarray, n: np.ndarray, cid: np.ndarray, percent: int, most: int = 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _stars(points: np.ndarray, n: np.ndarray, rest_of: np.ndarray, cid: np.ndarray, percent: int, most: int = 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     rest = np.arange(len(n))
     for _ in range(most):
         if len(rest) < 2:
@@ -199,7 +259,7 @@ def _stars(points: np.ndarray, n: np.ndarray, cid: np.ndarray, percent: int, mos
         p = points[rest]
         off = np.abs(p - np.median(p, axis=0)).sum(axis=1) if len(rest) > 2 else np.zeros(len(rest))
         hub = np.lexsort((cid[rest], off))[0]
-        ok = _may_link(p[hub : hub + 1], n[rest[hub : hub + 1]], p, n[rest], percent)[0]
+        ok = _may_link(p[hub : hub + 1], n[rest[hub : hub + 1]], rest_of[rest[hub : hub + 1]], p, n[rest], rest_of[rest], percent)[0]
         ok[hub] = False
         other = rest[ok]
         if len(other):
@@ -212,29 +272,29 @@ def _bucket_pairs(percent: int, full: bool):
     """Rows sorted by (key, bi, bj) -> pairs of classes a < b to verify."""
 
     def of(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        cols = [table.column(c).to_numpy() for c in ("key", "bi", "bj", "own", "cid", "n")]
+        key, bi, bj, cid, n, rest = (table.column(c).to_numpy() for c in ("key", "bi", "bj", "cid", "n", "rest"))
         points = _wide(np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint8).reshape(-1, GROUPS))
         label = table.column("label").to_numpy() if full else None
+        visits = table.column("visits").to_numpy(zero_copy_only=False) if full else None
         fine = table.column("fine") if full else None
-        key, bi, bj, own, cid, n = cols
         edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1]), [True]]))
         for lo, hi in zip(edge[:-1], edge[1:], strict=True):
             if hi - lo < 2 or (full and (label[lo:hi] == label[lo]).all()):
                 continue
-            p, m, c = points[lo:hi], n[lo:hi], cid[lo:hi]
+            p, m, r, c = points[lo:hi], n[lo:hi], rest[lo:hi], cid[lo:hi]
             if not full:
-                if bi[lo] == bj[lo]:
-                    for x, y in _stars(p, m, c, percent):
-                        yield c[x], c[y]
+                for x, y in _stars(p, m, r, c, percent):
+                    yield c[x], c[y]
+                continue
+            guest = visits[lo:hi]
+            if not guest.any():
+                tree = Tree(p, m, r)
+                pairs = tree_pairs(tree, tree, percent)
+            elif guest.all():
                 continue
-            if bi[lo] == bj[lo]:
-                tree = Tree(p, m)
-                pairs = ((x, y) for x, y in tree_pairs(tree, tree, percent))
             else:
-                left, right = np.flatnonzero(own[lo:hi] == bi[lo]), np.flatnonzero(own[lo:hi] == bj[lo])
-                if not len(left) or not len(right):
-                    continue
-                pairs = ((left[x], right[y]) for x, y in tree_pairs(Tree(p[left], m[left]), Tree(p[right], m[right]), percent))
+                left, right = np.flatnonzero(~guest), np.flatnonzero(guest)
+                pairs = ((left[x], right[y]) for x, y in tree_pairs(Tree(p[left], m[left], r[left]), Tree(p[right], m[right], r[right]), percent))
             for x, y in pairs:
                 apart = label[lo:hi][x] != label[lo:hi][y]
                 x, y = x[apart], y[apart]
@@ -308,47 +368,64 @@ def _verified(docs: DataFrame, pairs: DataFrame, fine: DataFrame, percent: int,
     ids = fine.select("cid")
     small = pairs.join(ids, pairs["a"] == ids["cid"], "left_anti").unionByName(pairs.join(ids, pairs["a"] == ids["cid"], "left_semi").join(ids, pairs["b"] == ids["cid"], "left_anti"))
     pairs = common.handed_over(small.unionByName(large), "pairs-left")
-    needed = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid")))
-    sets = docs.select("text").mapInArrow(_sets(common.bitmap_of(needed, "cid"), width), "cid long, s binary").join(needed.distinct(), "cid", "left_semi").dropDuplicates(["cid"])
+    needed = common.handed_over(pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct(), "needed")
+    sets = docs.select("text").mapInArrow(_sets(common.bitmap_of(needed, "cid", needed.count()), width), "cid long, s binary").join(needed, "cid", "left_semi").dropDuplicates(["cid"])
     sets = common.handed_over(sets, "sets")
     both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b")
     return common.handed_over(both.select("a", "b", "sa", "sb").mapInArrow(_linked(percent), "a long, b long"), "links")
 
 
-def linked(docs: DataFrame, percent: int = 80, width: int = 5, most_in_bucket: int = 2000) -> DataFrame:
+def _common_shingles(docs: DataFrame, width: int, common_in: int, most_common: int) -> tuple[np.ndarray, np.ndarray]:
+    """Leading bits, rising, and rank of the shingles of more than common_in documents, of the most common ones if they are many."""
+    many = common.census(docs.select("text"), _each_class_once(width), common.text_bytes(docs) // 6, CENSUS_BITS, common_in + 1)
+    many = common.handed_over(many, "common-shingles")
+    rows = (many if many.count() <= most_common else many.orderBy(F.desc("n"), "value").limit(most_common)).toArrow()
+    value, n = (rows.column(c).to_numpy() for c in ("value", "n"))
+    order = np.argsort(value)
+    return value[order].astype(np.uint64), np.frexp(n[order].astype(float))[1].astype(np.uint8)
+
+
+def linked(docs: DataFrame, percent: int = 80, width: int = 5, most_in_bucket: int = 2000, common_in: int = 50, most_common: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every document; docs needs doc_id and text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    points = common.handed_over(docs.mapInArrow(_points(percent, width), "doc_id long, cid long, n long, point binary, fine binary, keys array<long>"), "points")
+    common_ones = _common_shingles(docs, width, common_in, most_common)
+    points = common.handed_over(docs.mapInArrow(_points(percent, width, common_ones), "doc_id long, cid long, n long, point binary, fine binary, keys array<long>"), "points")
     classes = common.handed_over(points.filter("n > 0").drop("doc_id").dropDuplicates(["cid"]), "classes")
     fine = classes.filter("fine IS NOT NULL").select("cid", "n", "fine")
-    shared = classes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    shared = common.bitmap_of(common.handed_over(shared, "shared"), "key")
-    members = classes.select("cid", "keys").mapInArrow(_hits(shared, ["cid"]), "key long, cid long")
+    n_keys = classes.agg(F.sum(F.size("keys"))).first()[0] or 0
+    shared = common.handed_over(common.census(classes.select("n", "keys"), _marked_keys(percent), n_keys, KEY_BITS, 2, flagged=True), "shared")
+    shared = common.bitmap_of(shared.withColumn("key", F.shiftleft("value", 65 - KEY_BITS)), "key", shared.count())
+    members = common.handed_over(classes.select("cid", "n", "keys").mapInArrow(_hits(shared), "key long, cid long, n long, rest long"), "members")
+    # Of buckets with the same members the first in the order stays: in it the most is left of each set.
     same = members.groupBy("key").agg(
-        F.count("*").alias("c"), F.expr("sum(cast(cid AS decimal(20,0)))").alias("s1"), F.bit_xor(F.xxhash64("cid")).alias("s2"), F.min("cid").alias("lo"), F.max("cid").alias("hi")
+        F.count("*").alias("c"), F.expr("sum(cast(cid AS decimal(20,0)))").alias("s1"), F.bit_xor(F.xxhash64("cid")).alias("s2"), F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.sum("rest").alias("left")
     )
-    kept = common.handed_over(same.filter("lo != hi").groupBy("c", "s1", "s2", "lo", "hi").agg(F.min("key").alias("key")).select("key", "c"), "buckets")
+    kept = common.handed_over(same.filter("lo != hi").groupBy("c", "s1", "s2", "lo", "hi").agg(F.max_by("key", "left").alias("key")).select("key", "c"), "buckets")
     blocks = F.greatest(F.ceil(F.col("c") / F.lit(most_in_bucket)), F.lit(1)).cast("int")
-    hits = classes.select("cid", "n", "keys").mapInArrow(_hits(common.bitmap_of(kept, "key"), ["cid", "n"]), "key long, cid long, n long")
-    in_buckets = hits.join(kept.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    in_buckets = common.handed_over(in_buckets.select("key", "cid", "blocks", "own", (F.col("n") > FINE_FROM).alias("large")), "in-buckets")
-    block_pairs = F.expr("explode(sequence(0, blocks - 1))")
+    in_buckets = members.join(kept.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    in_buckets = common.handed_over(in_buckets.select("key", "cid", "rest", "blocks", "own", (F.col("n") > FINE_FROM).alias("large")), "in-buckets")
 
     def search(rows: DataFrame, full: bool) -> DataFrame:
         """Rows carry ids only until they are dealt out; points join them there, fine ones where two of them can meet."""
-        rows = rows.withColumn("other", block_pairs) if full else rows.withColumn("other", F.col("own"))
-        rows = rows.select("key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "cid", *(["label", "fines"] if full else []))
+        more = ["label", "visits"] if full else []
         rows = rows.join(classes.select("cid", "n", "point", *(["fine"] if full else [])), "cid")
-        rows = rows.select("key", "bi", "bj", "own", "cid", "n", "point", *([F.when(F.col("fines"), F.col("fine")).alias("fine"), "label"] if full else []))
+        rows = rows.select("key", "bi", "bj", "cid", "rest", "n", "point", *more, *([F.when(F.col("fines"), F.col("fine")).alias("fine")] if full else []))
         return rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "cid").mapInArrow(_bucket_pairs(percent, full), "a long, b long")
 
-    first = _verified(docs, search(in_buckets, False), fine, percent, width)
+    first = _verified(docs, search(in_buckets.select("key", F.col("own").alias("bi"), F.lit(0).alias("bj"), "cid", "rest"), False), fine, percent, width)
     labels = graph.components(first)
     labelled = in_buckets.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     labelled = common.handed_over(labelled, "labelled")
-    of_large = F.when(F.col("large"), F.col("label"))
-    apart = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), (F.min(of_large) != F.max(of_large)).alias("fines")).filter("lo != hi")
-    second = _verified(docs, search(labelled.join(apart.select("key", "fines"), "key"), True), fine, percent, width)
+    by_label = labelled.groupBy("key", "label").agg(F.count("*").alias("k"), F.max("large").alias("large"))
+    apart = by_label.groupBy("key").agg(F.count("*").alias("labels"), (F.count_if("large") > 1).alias("fines"), F.max_by("label", "k").alias("top"), (F.sum("k") - F.max("k")).alias("others")).filter("labels > 1")
+    dealt = labelled.join(apart, "key").withColumn("other", F.col("label") != F.col("top"))
+    # (bi, bj): block, and which part of the visitors; a bucket of one block is its own visitor.
+    parts = F.greatest(F.ceil(F.col("others") / F.lit(most_in_bucket)), F.lit(1)).cast("int")
+    dealt = dealt.withColumn("parts", F.when(F.col("blocks") > 1, parts).otherwise(1)).withColumn("part", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("parts")).cast("int"))
+    stays = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.col("own").alias("bi"), j.alias("bj"), F.lit(False).alias("visits")))
+    visits = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(i.alias("bi"), F.col("part").alias("bj"), F.lit(True).alias("visits")))
+    dealt = dealt.withColumn("at", F.explode(F.when((F.col("blocks") > 1) & F.col("other"), F.concat(stays, visits)).otherwise(stays))).select("key", "at.*", "cid", "rest", "label", "fines")
+    second = _verified(docs, search(dealt, True), fine, percent, width)
     if second.limit(1).count():
         labels = graph.components(first.unionByName(second))
     slim = points.select("doc_id", "cid", "n")

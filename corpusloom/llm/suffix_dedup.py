@@ -292,7 +292,7 @@ def repeated_spans(texts: DataFrame, length: int = 200, k: int = 64, most_in_buc
     """t1, t2 (key of a text), spans: array of (a, b), overlapping, not merged; texts has t1, t2, doc_id, text, a row per document."""
     repeated = texts.select("text").mapInArrow(_anchor_counts(length, k), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
     repeated = common.handed_over(repeated, "anchors")
-    bitmap = common.bitmap_of(repeated, "h")
+    bitmap = common.bitmap_of(repeated, "h", repeated.count())
     found = texts.mapInArrow(_occurrences(length, k, bitmap), "h long, left short, size short, sh long, t1 long, t2 long, doc_id long, pos long")
     if repeated.count() > len(bitmap) * 4:  # too many for the bitmap to tell
         found = found.join(repeated, "h", "left_semi")
@@ -303,7 +303,7 @@ def repeated_spans(texts: DataFrame, length: int = 200, k: int = 64, most_in_buc
     whole = counts.filter("c > 1").select(*SEGMENT, (F.lit(length) - (F.col("size") - F.col("left"))).cast("short").alias("near"), F.col("left").alias("far"))
     buckets = common.handed_over(counts.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
     places = counts.join(buckets, "h", "left_semi").select("doc_id", "pos", "sh").mapInArrow(_places, "place long")
-    several = texts.mapInArrow(_bytes_of(length, k, common.bitmap_of(places, "place")), "h long, left short, size short, sh long, seg binary").dropDuplicates(SEGMENT)
+    several = texts.mapInArrow(_bytes_of(length, k, common.bitmap_of(places, "place", places.count())), "h long, left short, size short, sh long, seg binary").dropDuplicates(SEGMENT)
     hot = buckets.filter(F.col("n") > most_in_bucket).select("h")
     parts = [whole]
     if hot.limit(1).count():
@@ -329,7 +329,7 @@ def deduped(docs: DataFrame, length: int = 200, **options) -> DataFrame:
     Only texts that lose something, and the few that a fixed-size bitmap takes for them, are shuffled."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select("doc_id", *common.text_key(), "text")
     spans = common.handed_over(repeated_spans(texts, length, **options), "spans")
-    bitmap = common.bitmap_of(spans, "t1")
+    bitmap = common.bitmap_of(spans, "t1", spans.count())
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     hit = texts.mapInArrow(_with_spans(bitmap), texts.schema).join(spans, ["t1", "t2"], "left").select("doc_id", "text", "spans")
     return hit.mapInArrow(_cut, ddl).unionByName(texts.mapInArrow(_without_spans(bitmap), ddl))
