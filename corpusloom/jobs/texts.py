@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusloom.functions import text as T
 from corpusloom.jobs.base import query
@@ -36,7 +37,11 @@ u AS (SELECT *, sum(ceil(length(text) / 4.0) + (r > 1)::INT) OVER (PARTITION BY
 SELECT conv_id, coalesce(nullif(string_agg(text, E'\\n' ORDER BY r) FILTER (WHERE used <= 120), ''), '(no files)') AS input FROM u GROUP BY 1""")
 def code_input(spark, sf_dir):
     t = F.coalesce("text", F.lit(""))
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.md5(t).alias("m"), t.alias("t")))).alias("t"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "m").rowsBetween(Window.unboundedPreceding, -1)
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(t).alias("m"), t.alias("t"))
+    # Only the head that can fit meets in one row: a turn takes a token at least, for the break before it.
+    turns = turns.withColumn("before", F.coalesce(F.sum(F.ceil(F.length("t") / 4) + 1).over(order), F.lit(0))).filter("before <= 121")
+    turns = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "m", "t"))).alias("t"))
     return turns.select("conv_id", T.code_input(F.transform("t", lambda x: x["t"]), F.lit(120), F.lit("")).alias("input"))
 
 

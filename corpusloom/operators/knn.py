@@ -2,38 +2,102 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.sources.tables import handed_over
+
 
 def knn_join(vectors: DataFrame, k: int = 10, threshold: float = 0.65, rows_per_block: int = 4000, asks: Column | None = None) -> DataFrame:
     """q_id, m_id, score: the k best of each row, itself included; then scores below threshold and the row itself are dropped.
 
-    vectors has id and vector. Null and zero vectors have no neighbours. Ties fall to the least m_id.
-    asks, over id, says which rows are searched for; all by default."""
+    vectors has id and vector. Null and zero vectors have no neighbours; vectors of another length than most are an error,
+    raised before any work. Ties fall to the least m_id. asks, over id, says which rows are searched for; all by default.
+
+    Rows are dealt into blocks along their first coordinates as unit vectors, so that a block is narrow there. Each block
+    meets another once, as one matrix product for both directions. A block pair whose bound on the cosine, the
+    product of the narrow coordinates plus that of the rests' lengths, stays below the threshold is left out: what it would give is
+    dropped in the end, and it can't move anything above the threshold out of the k best."""
     rows = vectors.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("v")).filter("v IS NOT NULL AND exists(v, x -> x != 0)")
-    blocks = max(1, -(-rows.count() // rows_per_block))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    asked = (rows if asks is None else rows.filter(asks)).select("id", "v", F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("j"), F.lit(True).alias("asks"))
-    base = rows.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("i"), F.col("own").alias("j"), F.lit(False).alias("asks"))
+    about = rows.agg(F.count("*").alias("n"), F.min(F.size("v")).alias("least"), F.max(F.size("v")).alias("most")).first()
+    if about["n"] and about["least"] != about["most"]:
+        raise ValueError(f"vectors have between {about['least']} and {about['most']} dimensions")
+    blocks = max(1, -(-about["n"] // rows_per_block))
+    rows = rows.withColumn("asks", F.lit(True) if asks is None else asks)
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    unit = rows.withColumn("v", F.transform("v", lambda x: x / norm))
+    narrow = min(NARROW, about["most"] or 0)
+    if blocks > 1:
+        unit = handed_over(unit, "knn-units")
+        own, near = _cells(unit, blocks, narrow, threshold)
+    else:
+        own, near = F.lit(0), [(0, 0)]
+    meets = [[] for _ in range(blocks)]
+    for i, j in near:
+        meets[i].append((i, j))
+        if i != j:
+            meets[j].append((i, j))
+    unit = unit.withColumn("own", own)
+    pairs = F.expr("array(" + ",".join("array(" + ",".join(f"named_struct('i', {i}, 'j', {j})" for i, j in x) + ")" for x in meets) + ")") if blocks <= MOST_LISTED else None
+    if pairs is None:
+        listed = unit.sparkSession.createDataFrame([(b, i, j) for b, x in enumerate(meets) for i, j in x], "own int, i int, j int")
+        dealt = unit.join(listed, "own")
+    else:
+        dealt = unit.withColumn("p", F.explode(F.get(pairs, F.col("own")))).select("*", "p.i", "p.j").drop("p")
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, b = pdf[pdf.asks], pdf[~pdf.asks].sort_values("id")
-        if not len(q) or not len(b):
-            return pd.DataFrame({"q_id": [], "m_id": [], "score": []}).astype({"q_id": "int64", "m_id": "int64", "score": "float64"})
-        x, y = (np.stack(p.v.to_numpy()) for p in (q, b))
-        score = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T
-        top = np.argsort(-score.round(12), axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"q_id": np.repeat(q.id.to_numpy(), top.shape[1]), "m_id": b.id.to_numpy()[top].ravel(), "score": np.take_along_axis(score, top, 1).ravel()})
-
-    found = asked.unionByName(base).groupBy("i", "j").applyInPandas(best, "q_id long, m_id long, score double")
+        i, j = int(pdf.i.iloc[0]), int(pdf.j.iloc[0])
+        pdf = pdf.sort_values("id", kind="stable")
+        left, right = pdf[pdf.own == i], pdf[pdf.own == j]
+        out = []
+        if len(left) and len(right):
+            x, y = (np.stack(p.v.to_numpy()) for p in (left, right))
+            score = x @ y.T
+            for q, m, s in ((left, right, score), (right, left, score.T)):
+                ask = np.flatnonzero(q.asks.to_numpy())
+                s = s[ask]
+                top = np.argsort(-s.round(12), axis=1, kind="stable")[:, :k]
+                out.append(pd.DataFrame({"q_id": np.repeat(q.id.to_numpy()[ask], top.shape[1]), "m_id": m.id.to_numpy()[top].ravel(), "score": np.take_along_axis(s, top, 1).ravel()}))
+                if i == j:
+                    break
+        return pd.concat(out) if out else pd.DataFrame({"q_id": [], "m_id": [], "score": []}).astype({"q_id": "int64", "m_id": "int64", "score": "float64"})
+
+    found = dealt.groupBy("i", "j").applyInPandas(best, "q_id long, m_id long, score double")
     rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc(F.round("score", 12)), "m_id"))
     return found.withColumn("r", rank).filter((F.col("r") <= k) & (F.col("score") >= threshold) & (F.col("q_id") != F.col("m_id"))).select("q_id", "m_id", "score")
 
 
+#: Coordinates along which blocks are narrow, and the most blocks whose meetings are a literal.
+NARROW, MOST_LISTED = 8, 500
+
+
+def _cells(unit: DataFrame, blocks: int, narrow: int, threshold: float) -> tuple[Column, list[tuple[int, int]]]:
+    """The block of each row, cut at quantiles of the first coordinate, and the pairs of blocks that can reach the threshold.
+
+    Of each block the driver gets the least and largest of `narrow` coordinates and the largest length of the rest."""
+    cuts = unit.select(F.percentile_approx(F.get("v", F.lit(0)), [i / blocks for i in range(1, blocks)], 10_000).alias("c")).first()["c"]
+    cuts = sorted(set(cuts))
+    own = F.lit(0)
+    if cuts:
+        own = F.size(F.filter(F.expr("array(" + ",".join(f"{c!r}D" for c in cuts) + ")"), lambda c: c <= F.get("v", F.lit(0))))
+    rest = F.sqrt(F.greatest(F.lit(0.0), 1 - F.aggregate(F.slice("v", 1, narrow), F.lit(0.0), lambda s, x: s + x * x)))
+    boxes = unit.withColumn("own", own).groupBy("own").agg(F.max(rest).alias("rest"), *[f(F.get("v", F.lit(d))).alias(f"{n}{d}") for d in range(narrow) for f, n in ((F.min, "lo"), (F.max, "hi"))])
+    boxes = boxes.toPandas().sort_values("own")
+    ids, r = boxes.own.to_numpy(), boxes.rest.to_numpy()
+    lo, hi = (np.stack([boxes[f"{n}{d}"].to_numpy() for d in range(narrow)], axis=1) for n in ("lo", "hi"))
+    near = []
+    for x in range(len(ids)):
+        corners = np.max([p[x] * q[x:] for p in (lo, hi) for q in (lo, hi)], axis=0)
+        bound = corners.sum(axis=1) + r[x] * r[x:]
+        near += [(int(ids[x]), int(ids[x + y])) for y in np.flatnonzero(bound >= threshold - 1e-9)]
+    return own, near
+
+
 def candidate_pairs(hits: DataFrame) -> DataFrame:
     """a < b, score: a pair counts if either end proposes it."""
     return hits.groupBy(F.least("q_id", "m_id").alias("a"), F.greatest("q_id", "m_id").alias("b")).agg(F.max("score").alias("score"))
@@ -69,18 +133,64 @@ def greedy_groups(edges: list[tuple[int, int, float]]) -> list[list[int]]:
     return out
 
 
-def clique_cover(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """group_id (least member), member, avg_confidence of the greedy clique cover; edges a, b, score; labels node, label.
-
-    Components are independent of each other; the largest one bounds what a task holds."""
-
-    def cover(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(int(a), int(b), float(s)) for a, b, s in zip(pdf.a, pdf.b, pdf.score, strict=True)]
-        score = {(a, b): s for a, b, s in rows}
+def clique_cover(edges: DataFrame, most_in_task: int = 200_000) -> DataFrame:
+    """group_id (least member), member, avg_confidence of the greedy clique cover; edges a, b, score (a < b, each pair once).
+
+    The greedy order is kept without walking it: an edge can be settled as soon as it comes first among all edges that
+    compete for one of its ends or of their common neighbours, since only those can become members. Each round settles all
+    such edges at once, drops what touches their members and writes what is left. Once at most `most_in_task` edges are
+    left, counted, one task walks the rest; the result is the same for any such number."""
+    left = handed_over(edges.select("a", "b", "score", F.struct((-F.col("score")).alias("s"), "a", "b").alias("at")), "clique-edges")
+    done = []
+    while (n := left.count()) > most_in_task:
+        both = left.select("a", "b", "at").union(left.select(F.col("b").alias("a"), F.col("a").alias("b"), "at"))
+        one, two = (both.select(F.col("a").alias(x), F.col("b").alias("c"), F.col("at").alias(f"at_{x}")) for x in ("a", "b"))
+        thirds = handed_over(left.select("a", "b", "at").join(one, "a").join(two, ["b", "c"]).select("a", "b", "at", "c", F.col("at_a").alias("order")), "clique-thirds")
+        wants = left.select("at", F.explode(F.array("a", "b")).alias("v")).unionByName(thirds.select("at", F.col("c").alias("v")))
+        first = wants.groupBy("v").agg(F.min("at").alias("first"))
+        blocked = wants.join(first, "v").groupBy("at").agg(F.max((F.col("first") != F.col("at")).cast("int")).alias("waits"))
+        settled = handed_over(left.join(blocked.filter("waits = 0").select("at"), "at"), "clique-settled")
+        candidates = thirds.join(settled.select("at"), "at")
+        # Of two candidates of an edge, whether they know each other.
+        pair = candidates.select("at", F.col("c").alias("x")).join(candidates.select("at", F.col("c").alias("y")), "at").filter("x < y")
+        known = pair.join(left.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"]).groupBy("at").agg(F.collect_list(F.struct("x", "y")).alias("known"))
+        listed = candidates.groupBy("at").agg(F.sort_array(F.collect_list(F.struct("order", "c"))).alias("c"))
+        grown = settled.join(listed, "at", "left").join(known, "at", "left").select("a", "b", F.transform("c", lambda x: x["c"]).alias("c"), "known")
+        members = handed_over(grown.mapInPandas(_grow, "seed_a long, seed_b long, member long"), "clique-members")
+        done.append(members)
+        used = members.select("member").distinct()
+        for end in ("a", "b"):
+            left = left.join(used.withColumnRenamed("member", end), end, "left_anti")
+        left = handed_over(left.select("a", "b", "score", "at"), "clique-edges")
+    if n:
+        done.append(left.select("a", "b", "score").coalesce(1).mapInPandas(_walk, "seed_a long, seed_b long, member long"))
+    if not done:
+        return left.selectExpr("a AS group_id", "a AS member", "score AS avg_confidence")
+    members = done[0]
+    for part in done[1:]:
+        members = members.unionByName(part)
+    members = handed_over(members.join(members.groupBy("seed_a", "seed_b").agg(F.min("member").alias("group_id")), ["seed_a", "seed_b"]).select("group_id", "member"), "cliques")
+    inner = edges.join(members.select(F.col("member").alias("a"), F.col("group_id").alias("ga")), "a").join(members.select(F.col("member").alias("b"), F.col("group_id").alias("gb")), "b").filter("ga = gb")
+    return members.join(inner.groupBy(F.col("ga").alias("group_id")).agg(F.avg("score").alias("avg_confidence")), "group_id")
+
+
+def _grow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The clique of each settled edge: candidates in order, each if it knows all members."""
+    for frame in frames:
         out = []
-        for members in greedy_groups(rows):
-            inner = [score[a, b] for i, a in enumerate(members) for b in members[i + 1 :] if (a, b) in score]
-            out += [(members[0], m, sum(inner) / len(inner) if inner else 0.0) for m in members]
-        return pd.DataFrame(out, columns=["group_id", "member", "avg_confidence"])
-
-    return edges.join(labels, edges["a"] == labels["node"]).groupBy("label").applyInPandas(cover, "group_id long, member long, avg_confidence double")
+        for a, b, candidates, known in zip(frame.a, frame.b, frame.c, frame.known, strict=True):
+            pairs = {(int(p["x"]), int(p["y"])) for p in (known if known is not None else ())}
+            members: list[int] = []
+            for c in candidates if candidates is not None else ():
+                if all((min(c, m), max(c, m)) in pairs for m in members):
+                    members.append(int(c))
+            out += [(a, b, m) for m in (a, b, *members)]
+        yield pd.DataFrame(out, columns=["seed_a", "seed_b", "member"])
+
+
+def _walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held = [f for f in frames if len(f)]
+    if held:
+        rest = pd.concat(held)
+        groups = greedy_groups([(int(a), int(b), float(s)) for a, b, s in zip(rest.a, rest.b, rest.score, strict=True)])
+        yield pd.DataFrame([(g[0], g[1], m) for g in groups for m in g], columns=["seed_a", "seed_b", "member"])

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from corpusloom.jobs import registry
-from corpusloom.operators import graph, knn
+from corpusloom.operators import knn
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -43,7 +43,7 @@ def test_cover_has_disjoint_cliques(spark):
     rng = random.Random(5)
     edges = [(a, b, rng.random()) for a, b in itertools.combinations(range(30), 2) if rng.random() < 0.12]
     df = spark.createDataFrame(edges, "a long, b long, score double")
-    rows = knn.clique_cover(df, graph.components(df)).collect()
+    rows = knn.clique_cover(df).collect()
     groups: dict = {}
     for r in rows:
         groups.setdefault(r["group_id"], []).append(r["member"])
