@@ -1,6 +1,6 @@
 """Line dedup by distinct-site spread.
 
-Each line of `min_words` words or more has a HyperLogLog sketch of the sites it occurs on; sketches merge by
+Each line of `min_words` words or more (1: all lines with a word) has a HyperLogLog sketch of the sites it occurs on; sketches merge by
 aggregation. Lines whose estimate lies near the threshold get an exact distinct count. Lines on `min_sites` sites or
 more are boilerplate and leave every document, whatever share of it they are. Only a text that as a whole, byte for
 byte, is on `min_sites` sites or more stays as it is in each of its copies, for a near-duplicate stage to leave one.
@@ -48,7 +48,7 @@ def _occurrences(min_words: int):
     return scan
 
 
-def boilerplate(docs: DataFrame, min_sites: int = 10, min_words: int = 4, near: float = 0.5) -> DataFrame:
+def boilerplate(docs: DataFrame, min_sites: int = 10, min_words: int = 1, near: float = 0.5) -> DataFrame:
     """`line`: hashes of the lines on min_sites sites or more."""
     seen = docs.select(F.col("text").cast("string").alias("text"), F.coalesce(F.col("source").cast("string"), F.lit(NO_SITE)).alias("site")).mapInArrow(_occurrences(min_words), "line long, site string")
     spread = common.handed_over(
@@ -104,7 +104,7 @@ def _remove(min_words: int, everywhere: np.ndarray | None):
     return remove
 
 
-def cleaned(docs: DataFrame, min_sites: int = 10, min_words: int = 4, near: float = 0.5, most_everywhere: int = 1_000_000) -> DataFrame:
+def cleaned(docs: DataFrame, min_sites: int = 10, min_words: int = 1, near: float = 0.5, most_everywhere: int = 1_000_000) -> DataFrame:
     """docs with text cleaned, n_lines, n_boilerplate_lines (found) and n_removed_lines; docs needs doc_id, text, source.
 
     Boilerplate hashes go to every task if there are at most `most_everywhere` (8 MB); else they meet the documents in a join."""
@@ -147,24 +147,20 @@ def op9_line_spread(spark, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = r"""
 WITH lines AS (
-  SELECT doc_id, source, u.i AS i, u.l AS l, trim(u.l, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t
+  SELECT doc_id, source, text, u.i AS i, u.l AS l, trim(u.l, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t
   FROM documents, LATERAL (SELECT unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i) u
-), worded AS (
-  SELECT *, CASE WHEN t = '' THEN 0 ELSE len(string_split_regex(t, '[\x20\x09-\x0D]+')) END AS n FROM lines
 ), spread AS (
-  SELECT t FROM worded WHERE n >= 4 GROUP BY t HAVING count(DISTINCT coalesce(source, chr(0) || 'none')) >= 10
+  SELECT t FROM lines WHERE t <> '' GROUP BY t HAVING count(DISTINCT coalesce(source, chr(0) || 'none')) >= 10
+), whole AS (
+  SELECT text FROM documents GROUP BY text HAVING count(DISTINCT coalesce(source, chr(0) || 'none')) >= 10
 ), marked AS (
-  SELECT w.*, s.t IS NOT NULL AS hit FROM worded w LEFT JOIN spread s ON w.t = s.t AND w.n >= 4
-), docs AS (
-  SELECT doc_id, sum(n) AS n_words, coalesce(sum(n) FILTER (WHERE hit), 0) AS gone,
-         count(*) FILTER (WHERE n > 0) AS n_lines, count(*) FILTER (WHERE hit) AS n_boilerplate_lines
-  FROM marked GROUP BY doc_id
+  SELECT l.*, s.t IS NOT NULL AS hit, w.text IS NOT NULL AS whole FROM lines l LEFT JOIN spread s ON l.t = s.t LEFT JOIN whole w ON l.text = w.text
 ), kept AS (
-  SELECT m.doc_id, string_agg(m.l, chr(10) ORDER BY m.i) FILTER (WHERE NOT m.hit OR d.gone > 0.7 * d.n_words) AS text
-  FROM marked m JOIN docs d USING (doc_id) GROUP BY m.doc_id
+  SELECT doc_id, count(*) FILTER (WHERE t <> '') AS n_lines, count(*) FILTER (WHERE hit) AS n_hit, count(*) FILTER (WHERE hit AND NOT whole) AS n_gone,
+         string_agg(l, chr(10) ORDER BY i) FILTER (WHERE NOT hit OR whole) AS text
+  FROM marked GROUP BY doc_id
 )
-SELECT x.doc_id, coalesce(d.n_lines, 0)::BIGINT AS n_lines, coalesce(d.n_boilerplate_lines, 0)::BIGINT AS n_boilerplate_lines,
-       (CASE WHEN d.gone > 0.7 * d.n_words THEN 0 ELSE coalesce(d.n_boilerplate_lines, 0) END)::BIGINT AS n_removed_lines,
+SELECT x.doc_id, coalesce(k.n_lines, 0)::BIGINT AS n_lines, coalesce(k.n_hit, 0)::BIGINT AS n_boilerplate_lines, coalesce(k.n_gone, 0)::BIGINT AS n_removed_lines,
        strlen(coalesce(k.text, ''))::BIGINT AS n_kept_bytes, md5(coalesce(k.text, '')) AS kept_md5
-FROM documents x LEFT JOIN docs d USING (doc_id) LEFT JOIN kept k USING (doc_id)
+FROM documents x LEFT JOIN kept k USING (doc_id)
 """
