@@ -2,9 +2,9 @@
 
 Equal texts are a group. Groups that hold more than 1/`grain` of a total, at most a few times `grain` of them, are
 placed one by one; lighter groups are first dealt into `grain` lots by their key. Largest first, each is placed where
-the dot product of its vector with the residual capacities is highest. A group that exceeds a lot's share by far is
-split by row, as no shard could hold a third of all rows. What the driver places is bounded by `grain`, whatever the
-input; the law that holds is `bytes`: sizes near equal.
+the dot product of its vector with the residual capacities is highest. Only a group that no shard can hold, as it has
+more than a shard's share of bytes, tokens or rows, is split by row; `group_split` marks its rows. What the driver places
+is bounded by `grain`, whatever the input; the law that holds is `bytes`: sizes near equal.
 
 Defined results: a null text has no bytes and counts as empty; rows that repeat are placed each; an empty table gives
 no rows; other columns are ignored.
@@ -37,7 +37,7 @@ def place(sizes: np.ndarray, n_shards: int) -> np.ndarray:
 
 
 def sharded(docs: DataFrame, n_shards: int = 16, grain: int = 8192, rows_per_slot_run: int = 500_000) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot (gapless from 0 in each shard), grown_shard (null under this law)."""
+    """doc_id, size, text_crc32, law, shard, slot (gapless from 0 in each shard), grown_shard (null under this law), group_split."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = common.handed_over(
@@ -61,10 +61,11 @@ def sharded(docs: DataFrame, n_shards: int = 16, grain: int = 8192, rows_per_slo
     groups = rows.groupBy("g").agg(*sums)
     # At most 3 * grain groups can hold over 1/grain of one of three totals.
     pieces = F.greatest(*[F.ceil(F.col(d) / F.lit(8.0 * share[d])) for d in DIMENSIONS])
-    heavy = groups.filter(heavy_group).select("g", F.when(F.greatest(*[F.col(d) / F.lit(total[d]) for d in DIMENSIONS]) * n_shards > 0.25, pieces).otherwise(1).cast("int").alias("pieces"))
+    heavy = groups.filter(heavy_group).select("g", F.when(F.greatest(*[F.col(d) / F.lit(total[d]) for d in DIMENSIONS]) * n_shards > 1, pieces).otherwise(1).cast("int").alias("pieces"))
     lot = F.pmod(F.col("g"), F.lit(grain)).cast("long")
     placed = (
         rows.join(F.broadcast(heavy), "g", "left")
+        .withColumn("group_split", F.coalesce(F.col("pieces") > 1, F.lit(False)))
         .withColumn("piece", F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("doc_id"), F.col("pieces"))).otherwise(0).cast("int"))
         .withColumn("unit", F.when(F.col("pieces").isNull(), lot).otherwise(F.col("g")))
         .withColumn("light", F.col("pieces").isNull())
@@ -86,7 +87,7 @@ def sharded(docs: DataFrame, n_shards: int = 16, grain: int = 8192, rows_per_slo
         .join(first, ["shard", "run"])
         .select(
             "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"),
-            (F.col("first") + F.col("in_run")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+            (F.col("first") + F.col("in_run")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "group_split",
         )
     )
 
