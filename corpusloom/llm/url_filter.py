@@ -1,7 +1,7 @@
 """URL filters: rules first, else logistic regression on hashed character n-grams of host and path.
 
 Training and scoring are DataFrame expressions only. The labelled table is small by contract (`most_labelled` rows at
-most) and is folded over as one array: each example moves the weights against its error, for a fixed number of rounds.
+most) and is folded over as one array: each example moves the weights against its error, ever less, for a fixed number of rounds.
 
 Defined results: a null url or one without `://` has an empty host and path, fits no rule and gets the verdict of the
 bias alone; long urls take time in proportion; repeated rows are judged each; an empty table gives no rows; other
@@ -10,6 +10,9 @@ columns are ignored. Longer rules win; of equally long ones the one given first.
 
 from __future__ import annotations
 
+import csv
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,27 +20,11 @@ from corpusloom.llm import common
 
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 
-#: The small labelled table: hosts of advertising, gambling, pills, adult and link farms against plain ones, each with
-#: paths of both kinds, so that what the paths share says nothing.
-_BLOCK = (
-    "casino-win.example.net", "www.casino-win.example.com", "best-casino.example.org", "m.casino-royal.example.net", "online-casino.example.com",
-    "free-bets.example.com", "m.free-bets.example.org", "sure-bets.example.net", "free-spins.example.com", "blog.bets-today.example.org",
-    "cheap-pills.example.net", "www.cheap-pills.example.com", "pills-shop.example.org", "cheap-meds.example.com", "m.buy-pills.example.net",
-    "adult-x.example.com", "m.adult-x.example.org", "adult-video.example.net", "xxx-cams.example.com", "blog.adult-chat.example.org",
-    "spam-farm.example.org", "www.spam-farm.example.net", "link-farm.example.com", "spam-links.example.net", "m.seo-farm.example.org",
-    "ads-track.example.com", "m.ads-track.example.net", "ads-server.example.org", "track-ads.example.com", "blog.click-track.example.net",
-)
-_ALLOW = (
-    "tionble.example.org", "www.therre.example.org", "blog.tionsh.example.com", "ththan.example.com", "tiontion.example.net",
-    "m.therin.example.org", "ththti.example.net", "therti.example.net", "www.ththre.example.net", "therst.example.net",
-    "m.ththed.example.org", "ththou.example.com", "blog.thernd.example.com", "ththwh.example.org", "www.therea.example.net",
-    "news.example.org", "library.example.net", "city-council.example.org", "university.example.com", "docs.example.net",
-    "museum.example.org", "m.recipes.example.com", "weather-report.example.net", "school.example.org", "health-service.example.com",
-    "railway.example.net", "open-source.example.org", "forum.example.com", "science-journal.example.net", "blog.travel.example.org",
-)
-_PATHS = ("/en/8085.html", "/fr/5155", "/de/12/", "/es/669")
+#: The small labelled table that comes with the library: url and label (1: block); none of its hosts is in a judged table.
+LABELLED = Path(__file__).with_name("labelled_urls.csv")
 
 BUCKETS = 1024  # for the host, and as many for the path
+PATH_WEIGHT = 0.3
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -61,7 +48,7 @@ def _features(df: DataFrame) -> DataFrame:
     return marked.withColumn("host_grams", _grams("host_c", 0)).withColumn("path_grams", _grams("path_c", BUCKETS)).drop("host_c", "path_c")
 
 
-def trained(labelled: DataFrame, rounds: int = 15, rate: float = 60.0, decay: float = 1e-4, most_labelled: int = 5000) -> list[float]:
+def trained(labelled: DataFrame, rounds: int = 20, rate: float = 60.0, decay: float = 3e-4, most_labelled: int = 5000) -> list[float]:
     """Weights of the buckets, then the bias, from url and label (1: block)."""
     usable = labelled.filter("url IS NOT NULL AND label IS NOT NULL")
     if usable.limit(most_labelled + 1).count() > most_labelled:
@@ -70,16 +57,18 @@ def trained(labelled: DataFrame, rounds: int = 15, rate: float = 60.0, decay: fl
     grams = _features(usable.select("url", "label", host.alias("host"), path.alias("path")))
     counted = F.expr(
         f"""transform(sequence(0, {2 * BUCKETS - 1}), d -> CASE WHEN d < {BUCKETS}
-            THEN size(filter(host_grams, g -> g = d)) / size(host_grams) ELSE size(filter(path_grams, g -> g = d)) / size(path_grams) END)"""
+            THEN size(filter(host_grams, g -> g = d)) / size(host_grams) ELSE {PATH_WEIGHT}D * size(filter(path_grams, g -> g = d)) / size(path_grams) END)"""
     )
     rows = grams.select(F.xxhash64("url").alias("o"), F.col("label").cast("double").alias("y"), F.concat(counted, F.array(F.lit(0.2).cast("double"))).alias("x"))
     examples = rows.agg(F.sort_array(F.collect_list(F.struct("o", "y", "x"))).alias("e"))
 
     def step(w: Column, e: Column) -> Column:
+        rate = e["r"]
         p = 1 / (1 + F.exp(-F.aggregate(F.zip_with(w, e["x"], lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)))
         return F.element_at(F.transform(F.array(rate * (e["y"] - p)), lambda g: F.zip_with(w, e["x"], lambda a, b: a * (1 - decay) + g * b)), 1)
 
-    fitted = examples.select(F.aggregate(F.flatten(F.array_repeat("e", rounds)), F.expr(f"array_repeat(0.0D, {2 * BUCKETS + 1})"), step).alias("w")).head()
+    steps = F.transform(F.flatten(F.array_repeat("e", rounds)), lambda e, i: F.struct(e["y"].alias("y"), e["x"].alias("x"), (rate / (1 + i / F.size("e"))).alias("r")))
+    fitted = examples.select(F.aggregate(steps, F.expr(f"array_repeat(0.0D, {2 * BUCKETS + 1})"), step).alias("w")).head()
     return list(fitted["w"])
 
 
@@ -102,14 +91,16 @@ def judged(pages: DataFrame, weights: list[float], rules=RULES, threshold: float
     def mean(grams: str) -> Column:
         return F.aggregate(F.transform(grams, lambda g: F.get(w, g)), F.lit(0.0), lambda s, v: s + v) / F.size(grams)
 
-    scored = _features(parts).select("page_id", "host", "path", (1 / (1 + F.exp(-(mean("host_grams") + mean("path_grams") + 0.2 * weights[-1])))).alias("block_score"))
+    scored = _features(parts).select("page_id", "host", "path", (1 / (1 + F.exp(-(mean("host_grams") + PATH_WEIGHT * mean("path_grams") + 0.2 * weights[-1])))).alias("block_score"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     learned = F.when(F.col("block_score") >= threshold, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, learned).alias("verdict"), "block_score")
 
 
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    rows = [(f"https://{host}{_PATHS[(i + k) % 4]}", y) for hosts, y in ((_BLOCK, 1), (_ALLOW, 0)) for i, host in enumerate(hosts) for k in (0, 1)]
+def labelled_urls(spark: SparkSession, path: str | Path = LABELLED) -> DataFrame:
+    """url and label of a small csv file on the driver; other labelled tables go to `trained` as they are."""
+    with open(path, encoding="utf-8") as f:
+        rows = [(r["url"], int(r["label"])) for r in csv.DictReader(f)]
     return spark.createDataFrame(rows, "url string, label int")
 
 
