@@ -108,10 +108,12 @@ def exact_dup_groups(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(F.md5("text").alias("text_md5")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).filter("n > 1")
 
 
-@query("SELECT doc_id, substr(sha256(coalesce(source, '') || '|' || coalesce(lang, '') || '|' || coalesce(text, '')), 1, 16) AS embed_hash FROM documents")
+@query("""SELECT doc_id, substr(sha256(md5(coalesce(text, '')) || '|' || coalesce(source, '') || '|' || coalesce(text, '') || '|' || to_json([coalesce(lang, ''), coalesce(source, '')])::VARCHAR), 1, 16) AS embed_hash FROM documents""")
 def embed_hash(spark, sf_dir):
-    parts = F.concat(F.coalesce("source", F.lit("")), F.lit("|"), F.coalesce("lang", F.lit("")), F.lit("|"), F.coalesce("text", F.lit("")))
-    return table(spark, sf_dir, "documents").select("doc_id", F.substring(F.sha2(parts, 256), 1, 16).alias("embed_hash"))
+    """Of the diff's hash, the title, the body and the paths as JSON; a null is empty but keeps its place."""
+    none = F.lit("")
+    text, source, paths = F.coalesce("text", none), F.coalesce("source", none), F.to_json(F.array(F.coalesce("lang", none), F.coalesce("source", none)))
+    return table(spark, sf_dir, "documents").select("doc_id", F.substring(F.sha2(F.concat_ws("|", F.md5(text), source, text, paths), 256), 1, 16).alias("embed_hash"))
 
 
 @query("SELECT doc_id, regexp_replace(md5(source || '-' || doc_id || '-code'), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5') AS point_id FROM documents")

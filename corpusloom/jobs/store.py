@@ -257,3 +257,16 @@ def verify_prompt(spark, sf_dir):
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
     files = F.array_join(F.slice(F.split(F.coalesce("text", F.lit("")), " "), 1, 20), ", ")
     return d.select("doc_id", F.concat(files, F.lit("\n"), F.when(F.coalesce("text", F.lit("")) == "", "(none)").otherwise(F.substring("text", 1, 500))).alias("side"))
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels WHERE quality = 0)")
+def vector_lookup(spark, sf_dir):
+    """Points by their ids."""
+    asked = table(spark, sf_dir, "labels").filter("quality = 0").select(F.col("doc_id").alias("vec_id"))
+    return table(spark, sf_dir, "embeddings").join(asked, "vec_id", "left_semi").select("vec_id", "label")
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE NOT coalesce(label = 3, false)")
+def vector_delete(spark, sf_dir):
+    """What is left when the points that a filter names are gone; an unknown answer is no match."""
+    return table(spark, sf_dir, "embeddings").filter(~F.coalesce(F.col("label") == 3, F.lit(False))).select("vec_id", "label")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.functions import bpe
 from corpusloom.functions import text as T
 from corpusloom.jobs.base import query
 from corpusloom.operators.prompts import rank_prompts
@@ -132,3 +133,12 @@ def embedding_inputs(spark, sf_dir):
 @query("SELECT event_id, coalesce(json_extract_string(props, '$.summary'), props) AS summary FROM events")
 def summaries(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", T.summary_of(F.col("props")).alias("summary"))
+
+
+@query()
+def bpe_tokens(spark, sf_dir):
+    """Tokens of every document by a byte-pair vocabulary, and the length and hash of what a limit of 8191 tokens leaves."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return bpe.counted(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).select(F.col("id").alias("doc_id"), "n_tokens", F.length("kept").cast("long").alias("kept_chars"), F.md5("kept").alias("kept_md5"))

@@ -81,3 +81,20 @@ def test_partitions_replaced_twice_and_dense_ids(spark, tmp_path):
     got = sorted((r["id"], r["x"]) for r in sinks.numbered(df, ["x", "i"], 11).collect())
     assert [i for i, _ in got] == list(range(11, 511)) and [x for _, x in got] == sorted(x for _, x in got)
     assert sinks.numbered(df.limit(0), ["x"]).count() == 0
+
+
+def test_bpe_counts_equal_the_definition(spark):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+    from corpusloom.functions import bpe
+
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [None, "", "Hello world!  \n\n x", "ÄÖ ü €uro 12345", "it's 'll\t\ttabs " * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    rows = {r["id"]: r for r in bpe.counted(df, public_tokenizers.path("byte_bpe_50k.tiktoken"), 20).collect()}
+    for i, t in enumerate(texts):
+        ids = exact.encode(t or "", add_special_tokens=False).ids
+        assert rows[i]["n_tokens"] == len(ids)
+        assert (t or "").startswith(rows[i]["kept"])
+        assert rows[i]["kept"] == (t or "") if len(ids) <= 20 else 0 < len(rows[i]["kept"]) < len(t)
