@@ -31,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm import common, graph
+from corpusloom.llm import common
+from corpusloom.operators import graph
 
 GROUPS = 128
 LEAF = 64
@@ -427,7 +428,7 @@ def linked(docs: DataFrame, percent: int = 80, width: int = 5, most_in_bucket: i
     dealt = dealt.withColumn("at", F.explode(F.when((F.col("blocks") > 1) & F.col("other"), F.concat(stays, visits)).otherwise(stays))).select("key", "at.*", "cid", "rest", "label", "fines")
     second = _verified(docs, search(dealt, True), fine, percent, width)
     if second.limit(1).count():
-        labels = graph.components(first.unionByName(second))
+        labels = graph.components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(second))
     slim = points.select("doc_id", "cid", "n")
     least = slim.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("m")).join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least = common.handed_over(least, "class-labels")
@@ -437,3 +438,24 @@ def linked(docs: DataFrame, percent: int = 80, width: int = 5, most_in_bucket: i
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return linked(common.table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS t FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2
+), link AS (
+  SELECT x, y FROM shared JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)
+), edge AS (
+  SELECT x, y FROM link UNION ALL SELECT y, x FROM link
+), reach AS (
+  SELECT x AS doc_id, x AS r FROM edge UNION SELECT reach.doc_id, edge.y FROM reach JOIN edge ON reach.r = edge.x
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(min(reach.r), d.doc_id) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN reach USING (doc_id) GROUP BY d.doc_id, n.n
+"""

@@ -72,9 +72,10 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        own = [c for c in batch.schema.names if c != "text"]
         for rows, data, offsets in common.steps(batch):
-            rest = [batch.column(c).slice(rows.start, rows.stop - rows.start) for c in ("doc_id", "fold")]
-            yield pa.RecordBatch.from_arrays([*rest, *(pa.array(c) for c in statistics(data, offsets).T)], names=["doc_id", "fold", *STATISTICS])
+            rest = [batch.column(c).slice(rows.start, rows.stop - rows.start) for c in own]
+            yield pa.RecordBatch.from_arrays([*rest, *(pa.array(c) for c in statistics(data, offsets).T)], names=[*own, *STATISTICS])
 
 
 class Kernel:
@@ -127,19 +128,22 @@ def isotonic(x: np.ndarray, total: np.ndarray, weight: np.ndarray) -> np.ndarray
     return np.repeat([t / w for t, w, _ in blocks], [int(k) for *_, k in blocks])
 
 
-def scored(docs: DataFrame, labels: DataFrame, n_features: int = 256, ridge: float = 1e-3, seed: int = 7, n_sums: int = 32, folds: int = 5) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, n_features: int = 256, ridge: float = 1e-3, seed: int = 7, n_sums: int = 32, folds: int = 5, row_key: str | None = None) -> DataFrame:
     """doc_id, held_out, score (0 to 1). Rows of fold 0 are never learned from; the last fold calibrates.
 
-    docs needs doc_id and text; labels doc_id and quality (0 or 1)."""
+    docs needs doc_id and text; labels doc_id and quality (0 or 1). row_key, a long column of docs, comes back with each row."""
+    key = [F.col(row_key).cast("long").alias("row_key")] if row_key else []
+    ddl = "row_key long, " if row_key else ""
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(folds)).cast("int")
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), fold.alias("fold"))
-    stats = common.handed_over(slim.mapInArrow(_statistics, "doc_id long, fold int, " + ", ".join(f"{c} double" for c in STATISTICS)), "statistics")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), fold.alias("fold"), *key)
+    slim = slim.select("doc_id", "fold", *[c for c in slim.columns if c == "row_key"], "text")
+    stats = common.handed_over(slim.mapInArrow(_statistics, f"doc_id long, fold int, {ddl}" + ", ".join(f"{c} double" for c in STATISTICS)), "statistics")
     marks = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").cast("double").alias("label"))
     learn = common.handed_over(stats.filter("fold != 0").join(marks, "doc_id").select("fold", "label", *STATISTICS), "labelled")
     about = learn.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m_{c}") for c in STATISTICS], *[F.stddev_pop(c).alias(f"s_{c}") for c in STATISTICS]).head()
-    held = F.col("fold") == 0
+    held, own = F.col("fold") == 0, ["row_key"] if row_key else []
     if not about["n"]:
-        return stats.select("doc_id", held.alias("held_out"), F.lit(0.5).alias("score"))
+        return stats.select("doc_id", held.alias("held_out"), F.lit(0.5).alias("score"), *own)
     kernel = Kernel([about[f"m_{c}"] for c in STATISTICS], [max(about[f"s_{c}"], 1e-6) for c in STATISTICS], n_features, seed)
     fit, check = learn.filter(F.col("fold") != folds - 1), learn.filter(F.col("fold") == folds - 1)
     if not fit.limit(1).count():
@@ -152,8 +156,8 @@ def scored(docs: DataFrame, labels: DataFrame, n_features: int = 256, ridge: flo
     bins = bins.groupBy(F.round(F.least(F.greatest("score", F.lit(-0.5)), F.lit(1.5)), 3).alias("x")).agg(F.sum("label").alias("t"), F.count("*").alias("w")).orderBy("x").collect()
     x = np.array([r["x"] for r in bins] or [0.0, 1.0])
     y = isotonic(x, np.array([r["t"] for r in bins], float), np.array([r["w"] for r in bins], float)) if bins else x
-    out = stats.mapInArrow(_scored(kernel, beta, x, np.clip(y, 0, 1), ["doc_id", "fold"]), "doc_id long, fold int, score double")
-    return out.select("doc_id", held.alias("held_out"), F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)).alias("score"))
+    out = stats.mapInArrow(_scored(kernel, beta, x, np.clip(y, 0, 1), ["doc_id", "fold", *own]), f"doc_id long, fold int, {ddl}score double")
+    return out.select("doc_id", held.alias("held_out"), F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)).alias("score"), *own)
 
 
 def op4_quality_scores(spark, sf_dir: str, threshold: float = 0.3) -> DataFrame:

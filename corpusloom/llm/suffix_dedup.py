@@ -337,3 +337,24 @@ def deduped(docs: DataFrame, length: int = 200, **options) -> DataFrame:
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return deduped(common.table(spark, sf_dir, "documents")).drop("kept")
+
+
+ORACLE_SQL = r"""
+WITH raw AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents
+), places AS (
+  SELECT doc_id, b, octet_length(b) AS n, unnest(range(octet_length(b))) AS i FROM raw
+), starts AS (
+  SELECT doc_id, i, upper(hex(b[i + 1:i + 1])) AS byte, CASE WHEN i + 200 <= n THEN md5(hex(b[i + 1:i + 200])) END AS h FROM places
+), twice AS (
+  SELECT h FROM starts WHERE h IS NOT NULL GROUP BY h HAVING count(*) > 1
+), marked AS (
+  SELECT doc_id, i, byte, max(CASE WHEN t.h IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS 199 PRECEDING) AS gone FROM starts s LEFT JOIN twice t USING (h)
+), runs AS (
+  SELECT *, lag(gone, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM marked
+), kept AS (
+  SELECT doc_id, sum(gone)::BIGINT AS n_removed, count(*) FILTER (WHERE gone = 1 AND before = 0) AS n_spans, string_agg(byte, '' ORDER BY i) FILTER (WHERE gone = 0) AS x FROM runs GROUP BY 1
+)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(x, ''))) AS kept_sha256
+FROM raw LEFT JOIN kept USING (doc_id)
+"""
