@@ -1,8 +1,11 @@
 """Corpus pipeline: quality classifier, line dedup, n-gram Jaccard join, benchmark decontamination, best-fit packing.
 
 STAGES are (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read
-again as the next one's docs. All but the last return the columns of documents. A row whose doc_id is null can't be named
-by a verdict and stays; an empty table passes through as one.
+again as the next one's docs. All but the last return the columns of documents.
+
+Verdicts name rows by a hash of doc_id and text, so an id that repeats with another text, or is null, is judged like any
+other. Null texts count as empty; rows that repeat whole share one verdict; an empty table passes through as one; other
+columns are dropped.
 """
 
 from __future__ import annotations
@@ -16,32 +19,48 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ORACLE_SQL = None  # SQL can't express the classifier, the latent search or the packing
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(common.handed_over(ids.select("doc_id").distinct(), "rejected"), "doc_id", "left_anti").select(*COLUMNS)
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(*COLUMNS).withColumn("row", F.xxhash64("doc_id", F.coalesce(text, F.lit("")), F.crc32(F.coalesce(text, F.lit("")))))
+
+
+def _named_by_row(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("row").alias("doc_id"), "text")
+
+
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    return docs.join(common.handed_over(rows.toDF("row").distinct(), "rejected"), "row", "left_anti")
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a quality score of 0.3 or more."""
-    scores = quality.scored(docs, common.table(spark, sf_dir, "labels"))
-    return _without(docs.select(*COLUMNS), scores.filter("score < 0.3"))
+    """Documents with a quality score of 0.3 or more; an empty text gets the score of its statistics like any other."""
+    docs = _keyed(docs)
+    scores = quality.scored(docs, common.table(spark, sf_dir, "labels"), row_key="row")
+    return _without(docs, scores.filter("score < 0.3").select("row_key")).select(*COLUMNS)
 
 
 def remove_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that ten sites or more share; n_chars follows."""
+    """Texts without the lines that ten sites or more share, n_chars follows; a null text stays null, a null source is one site."""
     cleaned = line_dedup.cleaned(docs.select(*COLUMNS))
     return cleaned.withColumn("n_chars", F.when(F.col("n_removed_lines") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*COLUMNS)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near copies; of rows that repeat, one."""
-    groups = jaccard_join.linked(docs)
-    kept = _without(docs.select(*COLUMNS), groups.filter("doc_id != component_id"))
-    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select(*COLUMNS)
+    """The document of least id of each group of near copies (null ids last, ties by hash); of rows that repeat whole, one.
+
+    Texts without words are near to nothing."""
+    docs = _keyed(docs)
+    groups = common.handed_over(jaccard_join.linked(_named_by_row(docs)).select(F.col("doc_id").alias("row"), "component_id").distinct(), "groups")
+    ids = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"), "row")
+    first = groups.join(docs.select("row", "doc_id").distinct(), "row").groupBy("component_id").agg(F.min(ids)["row"].alias("first"))
+    kept = _without(docs, groups.select("row").join(first.select(F.col("first").alias("row")), "row", "left_anti"))
+    return kept.dropDuplicates(["row"]).select(*COLUMNS)
 
 
 def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no benchmark item."""
-    return _without(docs.select(*COLUMNS), decontamination.leaks(docs, common.table(spark, sf_dir, "benchmark")))
+    """Documents that leak no benchmark item; null and empty texts leak none."""
+    docs = _keyed(docs)
+    return _without(docs, decontamination.leaks(_named_by_row(docs), common.table(spark, sf_dir, "benchmark")).select("doc_id")).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
