@@ -1,11 +1,15 @@
 """Token counts: separator scan over flat token files without an index.
 
 A file is a run of little-endian unsigned ids of 2 or 4 bytes (`width`; 2 holds vocabularies of up to 65,535) in which 0
-ends a document; ids of a vocabulary are stored plus one, so that 0 is free. Blocks of a file are searched for separators as vectors; a prefix scan over the blocks of the file
-stitches the documents that cross them.
+ends a document; ids of a vocabulary are stored plus one, so that 0 is free. Files of any size are read in ranges: Spark's
+text reader splits them wherever a byte 0x0A stands, which says nothing about ids but lets any task start there. Each
+block of such lines is searched for separators as vectors, at every alignment, since where a block begins is not known
+yet. A prefix scan over the blocks of a file, one small row each, gives where they begin, which alignment holds, how
+many documents lie before them and where the document began that crosses into them.
 
 Defined results: an empty document counts 0 tokens; ids after the last separator are a document that isn't closed;
-a null text is empty; repeated rows count once each; empty tables and files give no rows; other columns are ignored.
+a null text is empty; repeated rows count once each; empty tables and files give no rows; other columns are ignored; an id
+that `width` bytes can't hold is an error. A file names no documents: they are told by file and number.
 """
 
 from __future__ import annotations
@@ -20,11 +24,17 @@ from pyspark.sql import window as W
 
 from corpusloom.llm import common, tokens
 
+
 def _ids(files: tuple[str, str], width: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_ids = tokens.encoder(files)
         for batch in batches:
-            out = [(to_ids(t.as_py() or "") + np.uint32(1)).astype(f"<u{width}").tobytes() for t in batch.column("text")]
+            out = []
+            for text in batch.column("text"):
+                ids = to_ids(text.as_py() or "").astype(np.uint64) + np.uint64(1)
+                if len(ids) and int(ids.max()) >= 1 << 8 * width:
+                    raise ValueError(f"id {int(ids.max()) - 1} doesn't fit into {width} bytes")
+                out.append(ids.astype(f"<u{width}").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
 
     return encode
@@ -36,52 +46,65 @@ def write_flat(docs: DataFrame, path: str, files: tuple[str, str] | None = None,
     ids.select(F.col("ids").cast("string").alias("value")).write.option("lineSep", "\0" * width).option("maxRecordsPerFile", rows_per_file).text(path)
 
 
-def _separators(width: int):
+def _separators(width: int, block_bytes: int):
+    """Blocks of lines of one range: bytes with their line ends, and where `width` zeros stand, from the block's first byte."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, seq = None, 0
         for batch in batches:
-            found = [np.flatnonzero(np.frombuffer(x.as_buffer(), f"<u{width}") == 0) for x in batch.column("ids")]
-            ends = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found) if found else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("block"), batch.column("n"), ends], names=["path", "block", "n", "ends"])
+            if not batch.num_rows:
+                continue
+            path, start, size = (batch.column(c) for c in ("path", "start", "file_size"))
+            lines = batch.column("line")
+            wide = pa.types.is_large_binary(lines.type)
+            edge = np.frombuffer(lines.buffers()[1], np.int64 if wide else np.int32)[lines.offset : lines.offset + len(lines) + 1].astype(np.int64)
+            data = np.frombuffer(lines.buffers()[2] or b"", np.uint8)[edge[0] : edge[-1]]
+            edge = edge - edge[0]
+            zero = data == 0
+            at = np.flatnonzero(np.logical_and.reduce([zero[k : len(zero) - width + 1 + k] for k in range(width)])) if len(zero) >= width else np.zeros(0, np.int64)
+            line = np.searchsorted(edge, at, "right") - 1
+            whole = at + width <= edge[line + 1] if len(at) else np.zeros(0, bool)
+            at, line = at[whole], line[whole]
+            code, begin = path.dictionary_encode().indices.to_numpy(), start.to_numpy()
+            block = (edge[:-1] + np.arange(len(lines))) // block_bytes
+            cut = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (begin[1:] != begin[:-1]) | (block[1:] != block[:-1])]))
+            rows = []
+            for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(lines)], strict=True):
+                key = (path[lo].as_py(), int(begin[lo]))
+                seq = seq + 1 if key == own else 0
+                own = key
+                a, b = np.searchsorted(line, [lo, hi])
+                rows.append((*key, seq, size[lo].as_py(), int(edge[hi] - edge[lo] + hi - lo), (at[a:b] - edge[lo] + line[a:b] - lo).tolist()))
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["path", "start", "seq", "file_size", "n_bytes", "zeros"])
 
     return scan
 
 
 def token_counts(spark: SparkSession, path: str, block_ids: int = 1 << 20, width: int = 2) -> DataFrame:
     """file, doc_no (from 0 in each file), start (ids before it), n_tokens, closed; one row per document in the files."""
-    blocks = (
-        spark.read.format("binaryFile").load(path).select("path", "length", "content").filter("length > 0")
-        .selectExpr("path", "length", "content", f"explode(sequence(0L, (length - 1) div {width * block_ids})) AS block")
-        .selectExpr("path", "block", f"substring(content, cast(block * {width * block_ids} AS int) + 1, {width * block_ids}) AS ids")
-        .selectExpr("path", "block", f"cast(length(ids) div {width} AS long) AS n", "ids")
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_size").alias("file_size"), F.col("value").cast("binary").alias("line")
     )
-    found = blocks.mapInArrow(_separators(width), "path string, block long, n long, ends array<long>")
-    before = W.Window.partitionBy("path").orderBy("block").rowsBetween(W.Window.unboundedPreceding, -1)
-    first = F.col("block") * block_ids
-    stitched = found.select(
-        "path",
-        F.transform("ends", lambda e: e + first).alias("ends"),
-        F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).alias("doc_no"),
-        F.coalesce(F.last(F.when(F.size("ends") > 0, F.element_at("ends", -1) + first), ignorenulls=True).over(before) + 1, F.lit(0)).alias("carried"),
-        (first + F.col("n")).alias("read"),
-        F.lead("block").over(W.Window.partitionBy("path").orderBy("block")).isNull().alias("last"),
-    )
-    starts = F.concat(F.array("carried"), F.transform("ends", lambda e: e + 1))
-    closed = F.transform("ends", lambda e, i: F.struct(e.alias("end"), i.alias("i"), F.lit(True).alias("closed")))
-    open_end = F.when(
-        F.col("last") & (F.coalesce(F.try_element_at("ends", F.lit(-1)) + 1, F.col("carried")) < F.col("read")),
-        F.array(F.struct(F.col("read").alias("end"), F.size("ends").alias("i"), F.lit(False).alias("closed"))),
-    ).otherwise(F.slice(closed, 1, 0))
-    return (
-        stitched.withColumn("starts", starts)
-        .select("path", "doc_no", "starts", F.explode(F.concat(closed, open_end)).alias("d"))
-        .select(
-            F.element_at(F.split("path", "/"), -1).alias("file"),
-            (F.col("doc_no") + F.col("d.i")).alias("doc_no"),
-            F.get("starts", F.col("d.i")).alias("start"),
-            (F.col("d.end") - F.get("starts", F.col("d.i"))).alias("n_tokens"),
-            F.col("d.closed").alias("closed"),
-        )
-    )
+    found = lines.mapInArrow(_separators(width, block_ids * width), "path string, start long, seq long, file_size long, n_bytes long, zeros array<long>")
+    found = common.handed_over(found, "separators")
+    # The scan: of each block its length, and for each alignment how many separators and which is the last.
+    in_file = W.Window.partitionBy("path").orderBy("start", "seq")
+    before = in_file.rowsBetween(W.Window.unboundedPreceding, -1)
+    aligned = [F.expr(f"filter(zeros, z -> z % {width} = {r})") for r in range(width)]
+    slim = found.select("path", "start", "seq", "file_size", "n_bytes", F.array(*[F.size(z) for z in aligned]).alias("n"), F.array(*[F.try_element_at(z, F.lit(-1)) for z in aligned]).alias("last"))
+    slim = slim.withColumn("offset", F.coalesce(F.sum("n_bytes").over(before), F.lit(0)))
+    r = F.pmod(-F.col("offset"), F.lit(width)).cast("int")
+    slim = slim.withColumn("ends", F.get("n", r)).withColumn("end", ((F.col("offset") + F.get("last", r)) / width).cast("long"))
+    slim = slim.withColumn("doc_no", F.coalesce(F.sum("ends").over(before), F.lit(0))).withColumn("carried", F.coalesce(F.last("end", ignorenulls=True).over(before) + 1, F.lit(0)))
+    slim = common.handed_over(slim.select("path", "start", "seq", "file_size", "offset", "ends", "end", "doc_no", "carried"), "blocks")
+    stitched = found.select("path", "start", "seq", "zeros").join(slim.filter("ends > 0"), ["path", "start", "seq"])
+    ends = F.transform(F.filter("zeros", lambda z: (F.col("offset") + z) % width == 0), lambda z: ((F.col("offset") + z) / width).cast("long"))
+    stitched = stitched.select("path", "doc_no", "carried", ends.alias("ends")).select("path", "doc_no", F.concat(F.array("carried"), F.transform("ends", lambda e: e + 1)).alias("starts"), F.posexplode("ends").alias("i", "end"))
+    closed = stitched.select("path", (F.col("doc_no") + F.col("i")).alias("doc_no"), F.get("starts", F.col("i")).alias("start"), (F.col("end") - F.get("starts", F.col("i"))).alias("n_tokens"), F.lit(True).alias("closed"))
+    total = slim.groupBy("path").agg(F.sum("ends").alias("doc_no"), F.coalesce(F.max("end") + 1, F.lit(0)).alias("start"), (F.max("file_size") / width).cast("long").alias("ids"))
+    rest = total.filter("start < ids").select("path", "doc_no", "start", (F.col("ids") - F.col("start")).alias("n_tokens"), F.lit(False).alias("closed"))
+    return closed.unionByName(rest).select(F.element_at(F.split("path", "/"), -1).alias("file"), "doc_no", "start", "n_tokens", "closed")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """Cases that the reviews of a round found to be cut short."""
 
+import collections
+import math
 import random
 
 import numpy as np
 
-from corpusloom.llm import common, decontamination, line_dedup, rules, suffix_dedup
+from corpusloom.llm import common, decontamination, line_dedup, rules, suffix_dedup, url_filter
 
 
 def _pattern(votes):
@@ -67,3 +69,23 @@ def test_anchors_do_not_depend_on_the_step():
             p, h, s0, _ = suffix_dedup.anchors(step, np.array(offsets), common.prefix_hash(step), 200, 64)
             seen.append([(a, b) for a, b, c in zip(p.tolist(), h.tolist(), s0.tolist(), strict=True) if c == 0])
         assert seen[0] == seen[1]
+
+
+def test_url_scores_and_hosts_held_out(spark):
+    """Scores equal a plain logistic function over the hashed n-grams; hosts that were not trained on are told apart."""
+    rows = url_filter.labelled_urls(spark).collect()
+    hit, weights = collections.Counter(), []
+    for fold in range(5):
+        weights = url_filter.trained(spark.createDataFrame([r for i, r in enumerate(rows) if i % 5 != fold]))
+        test = [r for i, r in enumerate(rows) if i % 5 == fold]
+        pages = spark.createDataFrame([(i, r["url"]) for i, r in enumerate(test)], "page_id long, url string")
+        for r in url_filter.judged(pages, weights, rules=()).collect():
+            hit[test[r["page_id"]]["label"], r["verdict"]] += 1
+    assert hit[1, "block"] >= 0.75 * (hit[1, "block"] + hit[0, "block"])
+    assert hit[1, "block"] >= 0.3 * (hit[1, "block"] + hit[1, "allow"])
+    parts = spark.createDataFrame([("free-casino.example.org", "/x/12")], "host string, path string")
+    grams = url_filter._features(parts).head()
+    total = sum(w * sum(weights[g] for g in grams[c]) / len(grams[c]) for c, w in (("host_grams", 1), ("path_grams", url_filter.PATH_WEIGHT)))
+    got = url_filter.judged(spark.createDataFrame([(1, "https://free-casino.example.org/x/12?q")], "page_id long, url string"), weights).head()
+    assert abs(got["block_score"] - 1 / (1 + math.exp(-total - 0.2 * weights[-1]))) < 1e-9
+    assert (got["rule"], got["verdict"]) == ("org/", "allow")
