@@ -17,7 +17,8 @@ of different labels come from the full tree search. So large groups of near copi
 between components is lost. A bucket of more than `most_in_bucket` classes is dealt out: each of its classes lies in one
 block, and those that don't have the bucket's most frequent label visit every block.
 
-Defined results: a null text or one without words has an empty set and is linked with nothing; fewer words than a
+Defined results: a null text or one without words has an empty set and is linked with nothing; a null id is never the
+least, and where a group has no other the component is null; fewer words than a
 shingle are one shingle; repeated rows share a class; an empty table gives no rows; other columns are ignored.
 Hashes have 64 bits, and so has the hash of a set.
 """

@@ -5,7 +5,7 @@ patterns, of which there are at most 3 ** len(RULES). Two classes, good and bad;
 chances to vote good, bad or not at all; the posterior of a pattern replaces a filter that every rule must pass.
 
 Defined results: a null text has no words; an empty or null text, one of fewer than 50 words and one that repeats
-itself fail at once; repeated rows are judged each; an empty table gives no rows; other columns are ignored.
+itself fail at once; a null id changes nothing; repeated rows are judged each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -160,3 +160,24 @@ def test_token_counts_of_nothing_and_other_columns(spark, docs, empty, tmp_path)
     encode = tokens.encoder(tokens.public_files())
     got = sorted(r["n_tokens"] for r in token_counts.token_counts(spark, f"file://{tmp_path}/some", 1000).collect())
     assert got == sorted(len(encode(r["text"] or "")) for r in docs.collect())
+
+
+def test_token_counts_name_their_documents(spark, docs, tmp_path):
+    odd = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(-5, "below zero"), (2**63 - 1, None), (2570, "id of line ends")], "doc_id long, text string"))
+    for width in (2, 4):
+        token_counts.write_flat(odd, f"file://{tmp_path}/n{width}", width=width, numbered=True, rows_per_file=50)
+        encode = tokens.encoder(tokens.public_files())
+        want = collections.Counter((r["doc_id"], len(encode(r["text"] or ""))) for r in odd.collect())
+        for block in (11, 1 << 20):
+            got = token_counts.token_counts(spark, f"file://{tmp_path}/n{width}", block, width, numbered=True).collect()
+            assert collections.Counter((r["doc_id"], r["n_tokens"]) for r in got) == want
+            assert all(r["closed"] for r in got)
+    with pytest.raises(Exception, match="doesn't fit"):
+        token_counts.write_flat(odd, f"file://{tmp_path}/small", width=1)
+
+
+def test_jaccard_join_of_null_ids(spark):
+    a, b = "one two three four five six seven", "quite another text that has words of its own"
+    rows = [(None, a), (5, a), (7, a), (None, b), (None, ""), (9, None)]
+    got = collections.Counter(tuple(r) for r in jaccard_join.linked(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == collections.Counter([(None, 3, 5), (5, 3, 5), (7, 3, 5), (None, 5, None), (None, 0, None), (9, 0, 9)])
