@@ -20,14 +20,14 @@ def knn_join(vectors: DataFrame, k: int = 10, threshold: float = 0.65, rows_per_
     raised before any work. Ties fall to the least m_id. asks, over id, says which rows are searched for; all by default.
 
     Rows are dealt into blocks along their first coordinates as unit vectors, so that a block is narrow there. Each block
-    meets another once, as one matrix product for both directions. A block pair whose bound on the cosine, the
+    meets another once, in matrix products of bounded size. A block pair whose bound on the cosine, the
     product of the narrow coordinates plus that of the rests' lengths, stays below the threshold is left out: what it would give is
     dropped in the end, and it can't move anything above the threshold out of the k best."""
     rows = vectors.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("v")).filter("v IS NOT NULL AND exists(v, x -> x != 0)")
     about = rows.agg(F.count("*").alias("n"), F.min(F.size("v")).alias("least"), F.max(F.size("v")).alias("most")).first()
     if about["n"] and about["least"] != about["most"]:
         raise ValueError(f"vectors have between {about['least']} and {about['most']} dimensions")
-    blocks = max(1, -(-about["n"] // rows_per_block))
+    blocks = min(MOST_BLOCKS, max(1, -(-about["n"] // rows_per_block)))
     rows = rows.withColumn("asks", F.lit(True) if asks is None else asks)
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     unit = rows.withColumn("v", F.transform("v", lambda x: x / norm))
@@ -56,15 +56,15 @@ def knn_join(vectors: DataFrame, k: int = 10, threshold: float = 0.65, rows_per_
         left, right = pdf[pdf.own == i], pdf[pdf.own == j]
         out = []
         if len(left) and len(right):
-            x, y = (np.stack(p.v.to_numpy()) for p in (left, right))
-            score = x @ y.T
-            for q, m, s in ((left, right, score), (right, left, score.T)):
-                ask = np.flatnonzero(q.asks.to_numpy())
-                s = s[ask]
-                top = np.argsort(-s.round(12), axis=1, kind="stable")[:, :k]
-                out.append(pd.DataFrame({"q_id": np.repeat(q.id.to_numpy()[ask], top.shape[1]), "m_id": m.id.to_numpy()[top].ravel(), "score": np.take_along_axis(s, top, 1).ravel()}))
-                if i == j:
-                    break
+            for q, m in ((left, right), (right, left))[: 1 if i == j else 2]:
+                q = q[q.asks]
+                y = np.stack(m.v.to_numpy()).T
+                step = max(1, CELLS_AT_ONCE // len(m))
+                for at in range(0, len(q), step):
+                    part = q.iloc[at : at + step]
+                    s = np.stack(part.v.to_numpy()) @ y
+                    top = np.argsort(-s.round(12), axis=1, kind="stable")[:, :k]
+                    out.append(pd.DataFrame({"q_id": np.repeat(part.id.to_numpy(), top.shape[1]), "m_id": m.id.to_numpy()[top].ravel(), "score": np.take_along_axis(s, top, 1).ravel()}))
         return pd.concat(out) if out else pd.DataFrame({"q_id": [], "m_id": [], "score": []}).astype({"q_id": "int64", "m_id": "int64", "score": "float64"})
 
     found = dealt.groupBy("i", "j").applyInPandas(best, "q_id long, m_id long, score double")
@@ -72,8 +72,9 @@ def knn_join(vectors: DataFrame, k: int = 10, threshold: float = 0.65, rows_per_
     return found.withColumn("r", rank).filter((F.col("r") <= k) & (F.col("score") >= threshold) & (F.col("q_id") != F.col("m_id"))).select("q_id", "m_id", "score")
 
 
-#: Coordinates along which blocks are narrow, and the most blocks whose meetings are a literal.
-NARROW, MOST_LISTED = 8, 500
+#: Coordinates along which blocks are narrow, the most blocks (they grow beyond that; their meetings are listed on the driver)
+#: and the most of them whose meetings are a literal; scores that a task holds at once.
+NARROW, MOST_BLOCKS, MOST_LISTED, CELLS_AT_ONCE = 8, 2000, 500, 4_000_000
 
 
 def _cells(unit: DataFrame, blocks: int, narrow: int, threshold: float) -> tuple[Column, list[tuple[int, int]]]:

@@ -35,13 +35,16 @@ def test_components_of_a_long_chain(spark):
     assert got == {i: 0 for i in range(301)} | {1000: 1000, 1001: 1000, 1003: 1003}
 
 
-def test_neighbours_by_blocks_equal_one_block(spark):
+def test_neighbours_by_blocks_equal_one_block(spark, monkeypatch):
+    monkeypatch.setattr(knn, "CELLS_AT_ONCE", 100)
     rng = random.Random(3)
     rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(120)] + [(500, [0.0] * 6), (501, None)]
     df = spark.createDataFrame(rows, "id long, vector array<double>")
     for asks in (None, F.col("id") % 7 == 0):
         one, many = ({(r["q_id"], r["m_id"], round(r["score"], 9)) for r in knn.knn_join(df, 5, 0.8, n, asks).collect()} for n in (4000, 17))
         assert one == many and one
+    monkeypatch.setattr(knn, "MOST_LISTED", 3)
+    assert {(r["q_id"], r["m_id"], round(r["score"], 9)) for r in knn.knn_join(df, 5, 0.8, 17).collect()} == {(r["q_id"], r["m_id"], round(r["score"], 9)) for r in knn.knn_join(df, 5, 0.8).collect()}
     with pytest.raises(ValueError, match="dimensions"):
         knn.knn_join(df.union(spark.createDataFrame([(9, [1.0])], df.schema)))
 
