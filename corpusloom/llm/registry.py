@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 _QUERIES = {
+    "op11_byte_bpe": "byte_bpe",
     "op5_decontamination": "decontamination",
     "op6_jaccard_join": "jaccard_join",
     "op10_suffix_dedup": "suffix_dedup",
