@@ -5,6 +5,8 @@ from __future__ import annotations
 import importlib
 
 _QUERIES = {
+    "op12_phrase_collocations": "collocations",
+    "op13_hard_negatives": "hard_negatives",
     "op11_byte_bpe": "byte_bpe",
     "op5_decontamination": "decontamination",
     "op6_jaccard_join": "jaccard_join",
