@@ -29,7 +29,7 @@ from corpusloom.llm import common
 #: to the end of a chunk that goes on is not final.
 LOOKS_AHEAD = 3
 #: Distinct pre-tokens whose ids a worker remembers.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 17
 CHUNK = "row long, doc_id long, part long, start long, behind long, last boolean, body binary, ends binary, heads array<long>, tails array<long>"
 PARTS = "row long, doc_id long, part long, ids binary"
 
@@ -86,9 +86,11 @@ def codec(files: tuple[str, str]) -> Codec:
 def _whole(files: tuple[str, str]):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(files)
-        for batch in batches:
-            ids = [c.ids(c.split(t)) if t else b"" for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.nulls(len(ids), pa.int64()).fill_null(0), pa.array(ids, pa.binary())], names=["row", "doc_id", "part", "ids"])
+        for whole in batches:
+            for rows, _, _ in common.steps(whole):  # a worker holds the pre-tokens of half a megabyte, not of a batch
+                batch = whole.slice(rows.start, rows.stop - rows.start)
+                ids = [c.ids(c.split(t)) if t else b"" for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.nulls(len(ids), pa.int64()).fill_null(0), pa.array(ids, pa.binary())], names=["row", "doc_id", "part", "ids"])
 
     return encode
 
@@ -198,15 +200,11 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist([dict(zip(("row", "doc_id", "part", "start", "behind", "last", "body"), values, strict=True))], schema=pa.schema([*((c, pa.int64()) for c in ("row", "doc_id", "part", "start", "behind")), ("last", pa.bool_()), ("body", pa.binary())]))
 
 
-def encoded(docs: DataFrame, files: tuple[str, str] | None = None, chunk_bytes: int = 1 << 16, overlap: int = 1 << 10) -> tuple[DataFrame, DataFrame]:
-    """(whole, parts), both row, doc_id, part, ids (little-endian unsigned 32-bit): texts of up to chunk_bytes, one row each,
-    and the parts in order of longer ones, which `row` names.
-
-    docs needs doc_id and text. overlap is at most chunk_bytes."""
-    files = files or public_files()
+def _encoders(docs: DataFrame, files: tuple[str, str], chunk_bytes: int, overlap: int):
+    """Rows of whole texts and of stitched chunks, each with the function of Arrow batches that encodes them."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     long = F.coalesce(F.octet_length("text"), F.lit(0)) > chunk_bytes
-    whole = slim.filter(~long).select(F.lit(-1).cast("long").alias("row"), "doc_id", "text").mapInArrow(_whole(files), PARTS)
+    whole = slim.filter(~long).select(F.lit(-1).cast("long").alias("row"), "doc_id", "text")
     split = _pretokenised(files, overlap)
     cut = slim.filter(long).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(_cut(chunk_bytes, overlap), "row long, doc_id long, part long, start long, behind long, last boolean, body binary")
     cut = common.handed_over(cut, "bpe-cut")  # from here on a row keeps its name, and its chunks go to any task
@@ -215,20 +213,31 @@ def encoded(docs: DataFrame, files: tuple[str, str] | None = None, chunk_bytes:
     until = seams.select("row", F.col("before").alias("part"), F.col("seam").alias("until"))
     placed = chunks.join(seams.select("row", "part", "seam"), ["row", "part"], "left").join(until, ["row", "part"], "left")
     placed = placed.select("row", "doc_id", "part", "start", "body", "ends", F.coalesce("seam", "start").alias("seam"), F.coalesce("until", "behind").alias("until"))
-    return whole, placed.mapInArrow(_between_seams(files), PARTS)
+    return (whole, _whole(files)), (placed, _between_seams(files))
 
 
-def decoded(parts: DataFrame, files: tuple[str, str] | None = None) -> DataFrame:
-    """parts of encoded() with `raw`, the bytes of their ids; those of a text's parts one after the other are its bytes."""
-    files = files or public_files()
+def encoded(docs: DataFrame, files: tuple[str, str] | None = None, chunk_bytes: int = 1 << 16, overlap: int = 1 << 10) -> tuple[DataFrame, DataFrame]:
+    """(whole, parts), both row, doc_id, part, ids (little-endian unsigned 32-bit): texts of up to chunk_bytes, one row each,
+    and the parts in order of longer ones, which `row` names.
+
+    docs needs doc_id and text. overlap is at most chunk_bytes."""
+    whole, parts = (rows.mapInArrow(f, PARTS) for rows, f in _encoders(docs, files or public_files(), chunk_bytes, overlap))
+    return whole, parts
+
 
+def _decoding(files: tuple[str, str]):
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(files)
         for batch in batches:
-            raw = pa.array([c.bytes(x) for x in batch.column("ids").to_pylist()], pa.binary())
+            raw = pa.array([c.bytes(x.as_py()) for x in batch.column("ids")], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, raw], names=[*batch.schema.names, "raw"])
 
-    return parts.mapInArrow(decode, PARTS + ", raw binary")
+    return decode
+
+
+def decoded(parts: DataFrame, files: tuple[str, str] | None = None) -> DataFrame:
+    """parts of encoded() with `raw`, the bytes of their ids; those of a text's parts one after the other are its bytes."""
+    return parts.mapInArrow(_decoding(files or public_files()), PARTS + ", raw binary")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,13 +260,15 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(*open_row)
 
 
-def digests(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text."""
-    whole, parts = encoded(docs, **options)
-    files = {k: v for k, v in options.items() if k == "files"}
-    short = decoded(whole, **files).select("doc_id", F.expr("cast(octet_length(ids) / 4 AS long)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("raw", 256).alias("decoded_sha256"))
-    ordered = decoded(parts.repartition("row").sortWithinPartitions("row", "part"), **files)
-    return short.unionByName(ordered.mapInArrow(_digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"))
+def digests(docs: DataFrame, files: tuple[str, str] | None = None, chunk_bytes: int = 1 << 16, overlap: int = 1 << 10) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text: encoded() and decoded() in one pass."""
+    files = files or public_files()
+    (whole, encode), (placed, encode_part) = _encoders(docs, files, chunk_bytes, overlap)
+    decode = _decoding(files)
+    short = whole.mapInArrow(lambda batches: decode(encode(batches)), PARTS + ", raw binary")
+    short = short.select("doc_id", F.expr("cast(octet_length(ids) / 4 AS long)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("raw", 256).alias("decoded_sha256"))
+    ordered = placed.mapInArrow(encode_part, PARTS).repartition("row").sortWithinPartitions("row", "part")
+    return short.unionByName(ordered.mapInArrow(lambda batches: _digests(decode(batches)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"))
 
 
 def op11_byte_bpe(spark, sf_dir: str) -> DataFrame:
