@@ -1,4 +1,4 @@
-"""Exact cosine k-nearest-neighbour join: rows meet in pairs of blocks, each a matrix product, then a top-k over blocks."""
+"""Exact cosine k-nearest-neighbour join, candidate pairs and the greedy clique cover."""
 
 from __future__ import annotations
 
@@ -10,93 +10,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.operators import cells
 from corpusloom.sources.tables import handed_over
 
 
 def knn_join(vectors: DataFrame, k: int = 10, threshold: float = 0.65, rows_per_block: int = 4000, asks: Column | None = None) -> DataFrame:
     """q_id, m_id, score: the k best of each row, itself included; then scores below threshold and the row itself are dropped.
 
-    vectors has id and vector. Null and zero vectors have no neighbours; vectors of another length than most are an error,
-    raised before any work. Ties fall to the least m_id. asks, over id, says which rows are searched for; all by default.
+    vectors has id and vector; ids are unique. Null and zero vectors have no neighbours; vectors of another length than most
+    are an error, raised before any work. Ties fall to the least m_id. asks, over id, says which rows are searched for; all
+    by default.
 
-    Rows are dealt into blocks along their first coordinates as unit vectors, so that a block is narrow there. Each block
-    meets another once, in matrix products of bounded size. A block pair whose bound on the cosine, the
-    product of the narrow coordinates plus that of the rests' lengths, stays below the threshold is left out: what it would give is
-    dropped in the end, and it can't move anything above the threshold out of the k best."""
-    rows = vectors.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("v")).filter("v IS NOT NULL AND exists(v, x -> x != 0)")
+    Rows lie in cells around centres, dealt into blocks of bounded size, and meet the cells whose bound on the cosine leaves
+    a chance (see operators.cells); up to rows_per_block of them are one cell."""
+    rows = cells.unit(vectors.select(F.col("id").cast("long").alias("id"), "vector"))
     about = rows.agg(F.count("*").alias("n"), F.min(F.size("v")).alias("least"), F.max(F.size("v")).alias("most")).first()
     if about["n"] and about["least"] != about["most"]:
         raise ValueError(f"vectors have between {about['least']} and {about['most']} dimensions")
-    blocks = min(MOST_BLOCKS, max(1, -(-about["n"] // rows_per_block)))
-    rows = rows.withColumn("asks", F.lit(True) if asks is None else asks)
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    unit = rows.withColumn("v", F.transform("v", lambda x: x / norm))
-    narrow = min(NARROW, about["most"] or 0)
-    if blocks > 1:
-        unit = handed_over(unit, "knn-units")
-        own, near = _cells(unit, blocks, narrow, threshold)
+    if about["n"] <= rows_per_block:
+        centres, dealt = np.eye(1, about["most"] or 1), rows.withColumns({"cell": F.lit(0).cast("long"), "angle": F.lit(np.pi)})
     else:
-        own, near = F.lit(0), [(0, 0)]
-    meets = [[] for _ in range(blocks)]
-    for i, j in near:
-        meets[i].append((i, j))
-        if i != j:
-            meets[j].append((i, j))
-    unit = unit.withColumn("own", own)
-    pairs = F.expr("array(" + ",".join("array(" + ",".join(f"named_struct('i', {i}, 'j', {j})" for i, j in x) + ")" for x in meets) + ")") if blocks <= MOST_LISTED else None
-    if pairs is None:
-        listed = unit.sparkSession.createDataFrame([(b, i, j) for b, x in enumerate(meets) for i, j in x], "own int, i int, j int")
-        dealt = unit.join(listed, "own")
-    else:
-        dealt = unit.withColumn("p", F.explode(F.get(pairs, F.col("own")))).select("*", "p.i", "p.j").drop("p")
-
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf.i.iloc[0]), int(pdf.j.iloc[0])
-        pdf = pdf.sort_values("id", kind="stable")
-        left, right = pdf[pdf.own == i], pdf[pdf.own == j]
-        out = []
-        if len(left) and len(right):
-            for q, m in ((left, right), (right, left))[: 1 if i == j else 2]:
-                q = q[q.asks]
-                y = np.stack(m.v.to_numpy()).T
-                step = max(1, CELLS_AT_ONCE // len(m))
-                for at in range(0, len(q), step):
-                    part = q.iloc[at : at + step]
-                    s = np.stack(part.v.to_numpy()) @ y
-                    top = np.argsort(-s.round(12), axis=1, kind="stable")[:, :k]
-                    out.append(pd.DataFrame({"q_id": np.repeat(part.id.to_numpy(), top.shape[1]), "m_id": m.id.to_numpy()[top].ravel(), "score": np.take_along_axis(s, top, 1).ravel()}))
-        return pd.concat(out) if out else pd.DataFrame({"q_id": [], "m_id": [], "score": []}).astype({"q_id": "int64", "m_id": "int64", "score": "float64"})
-
-    found = dealt.groupBy("i", "j").applyInPandas(best, "q_id long, m_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc(F.round("score", 12)), "m_id"))
-    return found.withColumn("r", rank).filter((F.col("r") <= k) & (F.col("score") >= threshold) & (F.col("q_id") != F.col("m_id"))).select("q_id", "m_id", "score")
-
-
-#: Coordinates along which blocks are narrow, the most blocks (they grow beyond that; their meetings are listed on the driver)
-#: and the most of them whose meetings are a literal; scores that a task holds at once.
-NARROW, MOST_BLOCKS, MOST_LISTED, CELLS_AT_ONCE = 8, 2000, 500, 4_000_000
-
-
-def _cells(unit: DataFrame, blocks: int, narrow: int, threshold: float) -> tuple[Column, list[tuple[int, int]]]:
-    """The block of each row, cut at quantiles of the first coordinate, and the pairs of blocks that can reach the threshold.
-
-    Of each block the driver gets the least and largest of `narrow` coordinates and the largest length of the rest."""
-    cuts = unit.select(F.percentile_approx(F.get("v", F.lit(0)), [i / blocks for i in range(1, blocks)], 10_000).alias("c")).first()["c"]
-    cuts = sorted(set(cuts))
-    own = F.lit(0)
-    if cuts:
-        own = F.size(F.filter(F.expr("array(" + ",".join(f"{c!r}D" for c in cuts) + ")"), lambda c: c <= F.get("v", F.lit(0))))
-    rest = F.sqrt(F.greatest(F.lit(0.0), 1 - F.aggregate(F.slice("v", 1, narrow), F.lit(0.0), lambda s, x: s + x * x)))
-    boxes = unit.withColumn("own", own).groupBy("own").agg(F.max(rest).alias("rest"), *[f(F.get("v", F.lit(d))).alias(f"{n}{d}") for d in range(narrow) for f, n in ((F.min, "lo"), (F.max, "hi"))])
-    boxes = boxes.toPandas().sort_values("own")
-    ids, r = boxes.own.to_numpy(), boxes.rest.to_numpy()
-    lo, hi = (np.stack([boxes[f"{n}{d}"].to_numpy() for d in range(narrow)], axis=1) for n in ("lo", "hi"))
-    near = []
-    for x in range(len(ids)):
-        corners = np.max([p[x] * q[x:] for p in (lo, hi) for q in (lo, hi)], axis=0)
-        bound = corners.sum(axis=1) + r[x] * r[x:]
-        near += [(int(ids[x]), int(ids[x + y])) for y in np.flatnonzero(bound >= threshold - 1e-9)]
-    return own, near
+        centres = cells.fitted(rows, about["n"], about["most"], rows_per_block)
+        dealt = handed_over(cells.placed(rows, centres), "knn-cells")
+    asked = dealt if asks is None else dealt.filter(asks)
+    hits = cells.searched(asked, dealt, cells.extents(dealt, rows_per_block), centres, k, threshold, rows_per_block)
+    return hits.filter("q_id != m_id")
 
 
 def candidate_pairs(hits: DataFrame) -> DataFrame:
@@ -135,7 +73,8 @@ def greedy_groups(edges: list[tuple[int, int, float]]) -> list[list[int]]:
 
 
 def clique_cover(edges: DataFrame, most_in_task: int = 200_000) -> DataFrame:
-    """group_id (least member), member, avg_confidence of the greedy clique cover; edges a, b, score (a < b, each pair once).
+    """group_id (least member), member, seed_a, seed_b (the edge that the group grew from) and avg_confidence of the greedy
+    clique cover; edges a, b, score (a < b, each pair once).
 
     The greedy order is kept without walking it: an edge can be settled as soon as it comes first among all edges that
     compete for one of its ends or of their common neighbours, since only those can become members. Each round settles all
@@ -166,15 +105,20 @@ def clique_cover(edges: DataFrame, most_in_task: int = 200_000) -> DataFrame:
     if n:
         done.append(left.select("a", "b", "score").coalesce(1).mapInPandas(_walk, "seed_a long, seed_b long, member long"))
     if not done:
-        return left.selectExpr("a AS group_id", "a AS member", "score AS avg_confidence")
+        return left.selectExpr("a AS group_id", "a AS member", "a AS seed_a", "b AS seed_b", "score AS avg_confidence")
     members = done[0]
     for part in done[1:]:
         members = members.unionByName(part)
-    members = handed_over(members.join(members.groupBy("seed_a", "seed_b").agg(F.min("member").alias("group_id")), ["seed_a", "seed_b"]).select("group_id", "member"), "cliques")
+    members = handed_over(members.join(members.groupBy("seed_a", "seed_b").agg(F.min("member").alias("group_id")), ["seed_a", "seed_b"]).select("group_id", "member", "seed_a", "seed_b"), "cliques")
     inner = edges.join(members.select(F.col("member").alias("a"), F.col("group_id").alias("ga")), "a").join(members.select(F.col("member").alias("b"), F.col("group_id").alias("gb")), "b").filter("ga = gb")
     return members.join(inner.groupBy(F.col("ga").alias("group_id")).agg(F.avg("score").alias("avg_confidence")), "group_id")
 
 
+def related(groups: DataFrame, edges: DataFrame) -> DataFrame:
+    """groups of clique_cover with the relationship of the edge that each grew from; edges has a, b and relationship."""
+    return groups.join(edges.select(F.col("a").alias("seed_a"), F.col("b").alias("seed_b"), "relationship"), ["seed_a", "seed_b"], "left")
+
+
 def _grow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The clique of each settled edge: candidates in order, each if it knows all members."""
     for frame in frames:
