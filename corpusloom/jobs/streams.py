@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.jobs.base import query
 from corpusloom.sources.tables import shared_folder, table
-from corpusloom.streaming import jobs
+from corpusloom.streaming import claims, jobs
 
 _KIND = {"signup": "enqueue", "click": "claim", "purchase": "complete", "error": "fail", "view": "recover"}
 
@@ -37,3 +37,17 @@ def stream_job_states(spark, sf_dir):
 def stream_upsert(spark, sf_dir):
     e = _events(spark, sf_dir).select("user_id", "event_id", "ts", "event_type", "value")
     return _run(jobs.latest(e, ["user_id"], ["ts", "event_id"]), "user_id", "upsert")
+
+
+@query("""WITH e AS (SELECT (user_id % 16)::VARCHAR AS queue, event_id, ts, event_type = 'click' AS turn FROM events WHERE event_type IN ('signup', 'view', 'click')),
+o AS (SELECT *, sum(turn::INT) OVER (PARTITION BY queue ORDER BY ts, event_id) - turn::INT AS before FROM e),
+j AS (SELECT *, row_number() OVER (PARTITION BY queue ORDER BY ts, event_id) - 1 AS k FROM o WHERE NOT turn),
+w AS (SELECT *, k // 2 + max(before - k // 2) OVER (PARTITION BY queue, k % 2 ORDER BY k) AS at FROM j)
+SELECT w.queue, w.event_id::VARCHAR AS job, o.ts AS claimed, 1 AS attempts FROM w JOIN o ON o.turn AND o.queue = w.queue AND o.before = w.at""")
+def stream_claims(spark, sf_dir):
+    """Each turn of a queue claims its two oldest jobs; without failures, the k-th job of a queue goes to a turn that SQL can tell."""
+    kind = F.when(F.col("event_type") == "click", "turn").when(F.col("event_type").isin("signup", "view"), "enqueue")
+    log = _events(spark, sf_dir).select((F.col("user_id") % 16).cast("string").alias("queue"), kind.alias("kind"), F.col("event_id").cast("string").alias("job"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), F.lit(None).cast("string").alias("message"))
+    folder = shared_folder(spark, "claims")
+    rows = claims.run(claims.changes(log, per_turn=2), f"{folder}/rows", f"{folder}/progress")
+    return rows.filter("status = 'running'").select("queue", "job", F.col("at").cast("timestamp_ntz").alias("claimed"), "attempts")
