@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _loaded: dict = {}
 
@@ -37,3 +38,12 @@ def counted(texts: DataFrame, ranks: str, most: int = 8191) -> DataFrame:
             yield pd.DataFrame({"id": frame.id, "n_tokens": [len(i) for i in ids], "kept": kept})
 
     return texts.select("id", "text").mapInPandas(count, "id long, n_tokens long, kept string")
+
+
+def embeddable(texts: DataFrame, ranks: str, most: int = 8191) -> DataFrame:
+    """id, input: what an embedding model with a limit of `most` tokens gets: one space for an empty text, else the text of its
+    first `most` tokens. A token has a byte at least, so only texts of more bytes than that meet the tokenizer."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = texts.select("id", F.when(text == "", " ").otherwise(text).alias("text"))
+    long = F.octet_length("text") > most
+    return rows.filter(~long).select("id", F.col("text").alias("input")).unionByName(counted(rows.filter(long), ranks, most).select("id", F.col("kept").alias("input")))

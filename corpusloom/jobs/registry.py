@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.jobs import store, streams, texts, upkeep  # noqa: F401  (their queries register themselves)
+from corpusloom.jobs import collection, store, streams, texts, upkeep  # noqa: F401  (their queries register themselves)
 from corpusloom.jobs.base import oracle_sql, queries, query  # noqa: F401
 from corpusloom.operators import chunks, graph, knn
 from corpusloom.sources.tables import handed_over, table
@@ -255,3 +255,6 @@ def chunk_by_budget(spark, sf_dir):
     text = F.coalesce("text", F.lit(""))
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("key"), F.struct("turn", F.md5(text)).alias("at"), (F.ceil(F.length(text) / F.lit(4.0)) + 50).alias("size"))
     return chunks.chunked(turns, 400, 3).select(F.col("key").alias("conv_id"), "chunk", F.col("n").alias("n_turns"), F.col("filled").alias("tokens"))
+
+
+from corpusloom.jobs import deltas, records  # noqa: E402,F401  (its queries have the SQL of those above)

@@ -3,7 +3,10 @@ run again leaves the same table. Nothing reads and overwrites one path in one jo
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -32,6 +35,26 @@ def replaced(stored: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
     return fresh.unionByName(stored.join(fresh.select(*keys).distinct(), keys, "left_anti"))
 
 
+def patched(stored: DataFrame, patches: DataFrame, keys: list[str]) -> DataFrame:
+    """stored after an update of some columns of some rows. A patch has a column of kind struct<value> for each column that it
+    may set: a null struct leaves the column as it is, a struct with a null value makes it null. Keys are unique in patches."""
+    names = [c for c in patches.columns if c not in keys]
+    both = stored.join(patches.select(*keys, *[F.col(c).alias(f"_set_{c}") for c in names]), keys, "left")
+    return both.select(*[F.when(F.col(f"_set_{c}").isNotNull(), F.col(f"_set_{c}.value")).otherwise(F.col(c)).alias(c) if c in names else F.col(c) for c in stored.columns])
+
+
+def closed(stored: DataFrame, fetched: DataFrame, scope: str, key: str, scopes: DataFrame | None = None) -> DataFrame:
+    """stored (scope, key, state, ...) with `closes`: the open rows that a fetch doesn't have any more, whose state is closed
+    now. fetched has scope and key; scopes lists what was fetched at all, so that an empty fetch closes all of its rows;
+    without it every scope counts as fetched. Rows that aren't open stay as they are."""
+    there = fetched.select(scope, key).distinct().withColumn("_there", F.lit(True))
+    asked = (stored if scopes is None else scopes).select(scope).distinct().withColumn("_asked", F.lit(True))
+    both = stored.join(there, [scope, key], "left").join(asked, scope, "left")
+    closes = (F.col("state") == "open") & F.col("_there").isNull() & F.col("_asked").isNotNull()
+    both = both.withColumn("closes", F.coalesce(closes, F.lit(False)))
+    return both.withColumn("state", F.when(F.col("closes"), "closed").otherwise(F.col("state"))).select(*stored.columns, "closes")
+
+
 def partitions_replaced(fresh: DataFrame, path: str, by: str) -> None:
     """The partitions that fresh has replace those of the table at path; the others stay as they are."""
     fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
@@ -63,3 +86,48 @@ def exported_json(df: DataFrame, name: str, by: str) -> str:
     path = shared_folder(df.sparkSession, name)
     df.write.partitionBy(by).json(path)
     return path
+
+
+def exported_in_step(df: DataFrame, path: str, by: str, refresh: bool = False) -> dict[str, int]:
+    """Brings a folder of JSON exports, one folder per value of `by` (a whole number), in step with df.
+
+    Exports that are there are left alone unless refresh; those whose value df doesn't have any more go. What is there is
+    the listing of the folder, read as a table; an export counts once its files are complete. How many folders were
+    written, skipped and removed."""
+    spark = df.sparkSession
+    there = _exports(spark, path, by)
+    wanted = handed_over(df.select(F.col(by).cast("long").alias(by)).distinct().filter(F.col(by).isNotNull()), "export-wanted")
+    there = handed_over(there, "export-there")
+    new = wanted if refresh else wanted.join(there, by, "left_anti")
+    new = handed_over(new, "export-new")
+    n_new = new.count()
+    if n_new:
+        df.withColumn(by, F.col(by).cast("long")).join(new, by, "left_semi").repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).json(path)
+    gone = there.join(wanted, by, "left_anti")
+    removed = 0
+    for row in gone.toLocalIterator():
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{by}={row[0]}")
+        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+        removed += 1
+    return {"written": n_new, "skipped": wanted.count() - n_new, "removed": removed}
+
+
+def _exports(spark: SparkSession, path: str, by: str) -> DataFrame:
+    """by: the values that have an export in the folder."""
+    try:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).load(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], f"`{by}` long")
+    return files.select(F.regexp_extract("path", f"/{by}=(-?[0-9]+)/", 1).try_cast("long").alias(by)).filter(F.col(by).isNotNull()).distinct()
+
+
+def written_with_counts(df: DataFrame, write: Callable[[DataFrame], None], **counts: Column) -> dict[str, int]:
+    """Writes df and gives the counts that were taken of its rows in passing, without a pass of their own.
+
+    counts are aggregates, such as count_if. They are those of the rows that the write has seen once, whatever tasks were
+    run again."""
+    seen = Observation()
+    write(df.observe(seen, *[c.alias(name) for name, c in counts.items()]))
+    return seen.get

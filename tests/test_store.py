@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import chunks, graph, knn
+from corpusloom.operators import cells, chunks, graph, knn
 from corpusloom.sources import sinks
 
 
@@ -36,15 +36,13 @@ def test_components_of_a_long_chain(spark):
 
 
 def test_neighbours_by_blocks_equal_one_block(spark, monkeypatch):
-    monkeypatch.setattr(knn, "CELLS_AT_ONCE", 100)
+    monkeypatch.setattr(cells, "CELLS_AT_ONCE", 100)
     rng = random.Random(3)
-    rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(120)] + [(500, [0.0] * 6), (501, None)]
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(120)] + [(500, [0.0] * 6), (501, None)] + [(600 + i, [1.0, 2.0, 0.0, 0.0, 0.0, 1.0]) for i in range(40)]
     df = spark.createDataFrame(rows, "id long, vector array<double>")
     for asks in (None, F.col("id") % 7 == 0):
         one, many = ({(r["q_id"], r["m_id"], round(r["score"], 9)) for r in knn.knn_join(df, 5, 0.8, n, asks).collect()} for n in (4000, 17))
         assert one == many and one
-    monkeypatch.setattr(knn, "MOST_LISTED", 3)
-    assert {(r["q_id"], r["m_id"], round(r["score"], 9)) for r in knn.knn_join(df, 5, 0.8, 17).collect()} == {(r["q_id"], r["m_id"], round(r["score"], 9)) for r in knn.knn_join(df, 5, 0.8).collect()}
     with pytest.raises(ValueError, match="dimensions"):
         knn.knn_join(df.union(spark.createDataFrame([(9, [1.0])], df.schema)))
 
@@ -101,3 +99,34 @@ def test_bpe_counts_equal_the_definition(spark):
         assert rows[i]["n_tokens"] == len(ids)
         assert (t or "").startswith(rows[i]["kept"])
         assert rows[i]["kept"] == (t or "") if len(ids) <= 20 else 0 < len(rows[i]["kept"]) < len(t)
+
+
+def test_embedding_inputs_are_cut_at_tokens(spark):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+    from corpusloom.functions import bpe
+
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [None, "", "short", "ÄÖ€ " * 30, "many words go here, " * 40, "x" * 25]
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "id long, text string, input string")
+    got = {r["id"]: r["input"] for r in bpe.embeddable(df, public_tokenizers.path("byte_bpe_50k.tiktoken"), 25).collect()}
+    assert got[0] == got[1] == " " and got[2] == "short" and got[5] == "x" * 25
+    for i in (3, 4):
+        kept = exact.encode(got[i], add_special_tokens=False).ids
+        assert texts[i].startswith(got[i]) and 20 <= len(kept) <= 25
+
+
+def test_relationship_and_seed_of_groups(spark):
+    edges = spark.createDataFrame([(1, 2, 0.9, "same"), (2, 3, 0.7, "near"), (1, 3, 0.8, "far"), (4, 5, 0.5, "odd")], "a long, b long, score double, relationship string")
+    for most in (0, 1000):
+        got = knn.related(knn.clique_cover(edges.drop("relationship"), most), edges)
+        assert sorted((r["group_id"], r["member"], r["relationship"]) for r in got.collect()) == [(1, 1, "same"), (1, 2, "same"), (1, 3, "same"), (4, 4, "odd"), (4, 5, "odd")]
+
+
+def test_closed_records_and_empty_fetches(spark):
+    stored = spark.createDataFrame([("a", 1, "open"), ("a", 2, "open"), ("a", 3, "merged"), ("b", 1, "open"), ("c", 1, "open")], "repo string, number long, state string")
+    fetched, asked = spark.createDataFrame([("a", 2), ("x", 9)], "repo string, number long"), spark.createDataFrame([("a",), ("b",)], "repo string")
+    got = sorted((r["repo"], r["number"], r["state"], r["closes"]) for r in sinks.closed(stored, fetched, "repo", "number", asked).collect())
+    assert got == [("a", 1, "closed", True), ("a", 2, "open", False), ("a", 3, "merged", False), ("b", 1, "closed", True), ("c", 1, "open", False)]
+    assert sinks.closed(stored, fetched.limit(0), "repo", "number").filter("closes").count() == 4
