@@ -3,7 +3,8 @@
 Equal texts are a group. Groups that hold more than 1/`grain` of a total, at most a few times `grain` of them, are
 placed one by one; lighter groups are first dealt into `grain` lots by their key. Largest first, each is placed where
 the dot product of its vector with the residual capacities is highest. Only a group that no shard can hold, as it has
-more than a shard's share of bytes, tokens or rows, is split by row; `group_split` marks its rows. What the driver places
+more than a shard's share of bytes, tokens or rows, is split by row, by where the row lies in the table that is handed over,
+so that rows without an id, or with one id, are split like any others; `group_split` marks its rows. What the driver places
 is bounded by `grain`, whatever the input; the law that holds is `bytes`: sizes near equal.
 
 Defined results: a null text has no bytes and counts as empty; rows that repeat are placed each; an empty table gives
@@ -47,6 +48,7 @@ def sharded(docs: DataFrame, n_shards: int = 16, grain: int = 8192, rows_per_slo
             F.crc32(text).alias("text_crc32"),
             F.xxhash64(text).alias("g"),
             (F.size(F.split(F.trim(text), r"[\x20\x09-\x0D]+")) + 1).cast("long").alias("tokens"),
+            F.monotonically_increasing_id().alias("place"),
         ),
         "sharding-rows",
     )
@@ -66,7 +68,7 @@ def sharded(docs: DataFrame, n_shards: int = 16, grain: int = 8192, rows_per_slo
     placed = (
         rows.join(F.broadcast(heavy), "g", "left")
         .withColumn("group_split", F.coalesce(F.col("pieces") > 1, F.lit(False)))
-        .withColumn("piece", F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("doc_id"), F.col("pieces"))).otherwise(0).cast("int"))
+        .withColumn("piece", F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("place"), F.col("pieces"))).otherwise(0).cast("int"))
         .withColumn("unit", F.when(F.col("pieces").isNull(), lot).otherwise(F.col("g")))
         .withColumn("light", F.col("pieces").isNull())
         .drop("pieces")
@@ -78,10 +80,10 @@ def sharded(docs: DataFrame, n_shards: int = 16, grain: int = 8192, rows_per_slo
     dealt = placed.join(F.broadcast(where), ["light", "unit", "piece"])
     # Slots: rows are numbered in runs of bounded length, and each run starts where the ones before it end.
     n_runs = max(1, -(-int(total["n_rows"]) // (n_shards * rows_per_slot_run)) * 4)
-    dealt = dealt.withColumn("run", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(n_runs)))
+    dealt = dealt.withColumn("run", F.pmod(F.xxhash64("place"), F.lit(n_runs)))
     runs = dealt.groupBy("shard", "run").agg(F.count("*").alias("n"))
     first = runs.select("shard", "run", (F.sum("n").over(W.Window.partitionBy("shard").orderBy("run")) - F.col("n")).alias("first"))
-    in_run = F.row_number().over(W.Window.partitionBy("shard", "run").orderBy("doc_id", "text_crc32")) - 1
+    in_run = F.row_number().over(W.Window.partitionBy("shard", "run").orderBy("place")) - 1
     return (
         dealt.withColumn("in_run", in_run)
         .join(first, ["shard", "run"])

@@ -181,3 +181,18 @@ def test_jaccard_join_of_null_ids(spark):
     rows = [(None, a), (5, a), (7, a), (None, b), (None, ""), (9, None)]
     got = collections.Counter(tuple(r) for r in jaccard_join.linked(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect())
     assert got == collections.Counter([(None, 3, 5), (5, 3, 5), (7, 3, 5), (None, 5, None), (None, 0, None), (9, 0, 9)])
+
+
+@pytest.mark.parametrize("doc_id", [7, None, "own"])
+def test_sharding_splits_repeated_rows_evenly(spark, doc_id):
+    """A text that no shard can hold, in rows of one id, of none, or of their own."""
+    rng = random.Random(9)
+    rows = [(i if doc_id == "own" else doc_id, "the same text again " * 5) for i in range(3000)] + [(10_000 + i, _said(rng, rng.randrange(5, 20))) for i in range(1000)]
+    got = sharding.sharded(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), n_shards=16).collect()
+    sizes, slots = collections.Counter(), collections.defaultdict(list)
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert len(got) == 4000 and sorted(sizes) == list(range(16))
+    assert max(sizes.values()) <= 1.02 * min(sizes.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
