@@ -1,8 +1,9 @@
 """Quality rules by weak supervision: rules vote or abstain, expectation-maximisation estimates how accurate they are.
 
 Statistics, votes and the posterior are DataFrame expressions. Documents meet the estimation only as counts of vote
-patterns, of which there are at most 3 ** len(RULES). Two classes, good and bad; each rule has for each class its
-chances to vote good, bad or not at all; the posterior of a pattern replaces a filter that every rule must pass.
+patterns, of which there are at most 4 ** len(RULES). Two classes, good and bad; each rule has for each class its chances
+to vote good, doubtful, bad or not at all; documents that fail the base rules are known to be bad. The posterior of a
+document's votes, a product over the rules, replaces a filter that every rule must pass.
 
 Defined results: a null text has no words; an empty or null text, one of fewer than 50 words and one that repeats
 itself fail at once; a null id changes nothing; repeated rows are judged each; an empty table gives no rows; other columns are ignored.
@@ -21,7 +22,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_bangs, n_stops of each whole text."""
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_bangs, n_stops, n_plain (words
+    of letters, with a mark behind or not) and n_short (words of up to three letters) of each whole text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     first = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     split = first.select(
@@ -37,6 +39,8 @@ def statistics(docs: DataFrame) -> DataFrame:
     windows = split.select(
         "doc_id",
         F.size("w").cast("long").alias("n_words"),
+        F.size(F.filter("w", lambda x: x.rlike(r"^\p{L}+[.,;:!?]?$"))).cast("long").alias("n_plain"),
+        F.size(F.filter("w", lambda x: x.rlike(r"^\p{L}{1,3}$"))).cast("long").alias("n_short"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         *[F.col(c).cast("long").alias(c) for c in ("n_symbols", "n_upper", "n_bangs", "n_stops")],
         F.size("l").cast("long").alias("n_lines"),
@@ -60,77 +64,84 @@ def _rate(a: str, b: str) -> Column:
     return F.col(a) / F.greatest(F.col(b), F.lit(1))
 
 
-#: (name, votes bad if, votes good if); neither: abstains.
+#: What a rule may say of a document.
+ABSTAINS, GOOD, DOUBTFUL, BAD = range(4)
+
+#: (votes bad if, else doubtful if, else good if); else the rule abstains. What one statistic says is one vote of several
+#: grades, and not several votes that repeat each other.
 RULES = {
-    "symbols": (lambda: _rate("n_symbols", "n_words") > 0.15, lambda: _rate("n_symbols", "n_words") < 0.03),
-    "capitals": (lambda: _rate("n_upper", "word_chars") > 0.4, lambda: _rate("n_upper", "word_chars") < 0.15),
-    "bangs": (lambda: _rate("n_bangs", "n_words") > 0.3, lambda: _rate("n_bangs", "n_words") < 0.05),
-    "repeats": (lambda: _rate("n_repeat_words", "n_words") > 0.3, lambda: _rate("n_repeat_words", "n_words") < 0.1),
-    "dup_lines": (lambda: (F.col("n_dup_lines") >= 3) & (_rate("n_dup_lines", "n_lines") > 0.3), lambda: F.col("n_dup_lines") == 0),
-    "word_length": (lambda: (_rate("word_chars", "n_words") < 2.5) | (_rate("word_chars", "n_words") > 14), lambda: _rate("word_chars", "n_words").between(3, 10)),
-    "stops": (lambda: _rate("n_stops", "n_words") < 0.005, lambda: _rate("n_stops", "n_words").between(0.02, 0.5)),
+    "symbols": (lambda: _rate("n_symbols", "n_words") > 0.15, lambda: _rate("n_symbols", "n_words") > 0.06, lambda: _rate("n_symbols", "n_words") < 0.03),
+    "capitals": (lambda: _rate("n_upper", "word_chars") > 0.4, lambda: _rate("n_upper", "word_chars") > 0.25, lambda: _rate("n_upper", "word_chars") < 0.15),
+    "bangs": (lambda: _rate("n_bangs", "n_words") > 0.3, lambda: _rate("n_bangs", "n_words") > 0.1, lambda: _rate("n_bangs", "n_words") < 0.05),
+    "repeats": (lambda: _rate("n_repeat_words", "n_words") > 0.3, lambda: _rate("n_repeat_words", "n_words") > 0.15, lambda: _rate("n_repeat_words", "n_words") < 0.1),
+    "dup_lines": (lambda: (F.col("n_dup_lines") >= 3) & (_rate("n_dup_lines", "n_lines") > 0.3), lambda: F.col("n_dup_lines") > 0, lambda: F.col("n_dup_lines") == 0),
+    "word_length": (
+        lambda: (_rate("word_chars", "n_words") < 2.5) | (_rate("word_chars", "n_words") > 14),
+        lambda: ~_rate("word_chars", "n_words").between(3, 10),
+        lambda: _rate("word_chars", "n_words").between(3.5, 9),
+    ),
+    "plain_words": (lambda: _rate("n_plain", "n_words") < 0.6, lambda: _rate("n_plain", "n_words") < 0.8, lambda: _rate("n_plain", "n_words") > 0.9),
+    "short_words": (lambda: _rate("n_short", "n_words") < 0.05, lambda: _rate("n_short", "n_words") < 0.1, lambda: _rate("n_short", "n_words") > 0.15),
+    "stops": (lambda: _rate("n_stops", "n_words") < 0.005, lambda: ~_rate("n_stops", "n_words").between(0.015, 0.6), lambda: _rate("n_stops", "n_words").between(0.02, 0.5)),
 }
 
 
-def pattern() -> Column:
-    """The votes of all rules as a number: for each rule, in base 3, 0 abstains, 1 good, 2 bad."""
-    code = F.lit(0)
-    for bad, good in RULES.values():
-        code = code * 3 + F.when(bad(), 2).when(good(), 1).otherwise(0)
-    return code.cast("int")
+def votes() -> list[Column]:
+    """The vote of each rule, a column of its own."""
+    return [F.when(bad(), BAD).when(doubtful(), DOUBTFUL).when(good(), GOOD).otherwise(ABSTAINS).alias(name) for name, (bad, doubtful, good) in RULES.items()]
 
 
-#: Chances (abstains, good, bad) that a rule is believed to have before the data, for bad and for good documents, and the
-#: believed share of good ones. They weigh as BELIEF_RULE and BELIEF_SHARE documents for each one that is judged.
-BELIEVED = {0: (0.2, 0.5, 0.3), 1: (0.1, 0.89, 0.01)}
-BELIEVED_SHARE, BELIEF_RULE, BELIEF_SHARE = 0.8, 0.5, 1.0
+#: Chances (abstains, good, doubtful, bad) that a rule is believed to have before the data, for bad and for good documents,
+#: and the believed share of good ones. They weigh as BELIEF documents, however many are judged.
+BELIEVED = {0: (0.2, 0.4, 0.2, 0.2), 1: (0.15, 0.8, 0.04, 0.01)}
+BELIEVED_SHARE, BELIEF = 0.8, 50.0
 
 
-def estimate(counts: dict[int, int], n_rules: int, rounds: int = 50) -> tuple[list[float], list[dict]]:
-    """Posterior chance of good for every pattern, and for each rule its chances by class, by expectation-maximisation.
+def estimate(counts: dict[tuple[int, ...], tuple[float, float]], belief: float = BELIEF, rounds: int = 200) -> tuple[float, list[list[float]]]:
+    """(log-odds of good before any vote, and for each rule what each of its votes adds), by expectation-maximisation.
 
-    A document with one bad vote starts undecided, one with more starts bad. The beliefs count as documents, so that no
-    vote is ever certain and a rule that alone votes bad is believed while it does so rarely; one that does so more often
-    than there can be bad documents, with no other rule to agree, is found inaccurate and outvoted."""
-    votes = {p: [p // 3**k % 3 for k in reversed(range(n_rules))] for p in range(3**n_rules)}
-    good = {p: (0.95, 0.5, 0.05)[min(2, votes[p].count(2))] for p in counts}
-    total = max(1, sum(counts.values()))
-    share, chance = BELIEVED_SHARE, []
+    counts: for each pattern of votes how many documents have it that are judged, and how many that failed the base rules
+    and are known to be bad. Two classes, good and bad; given the class, rules vote by themselves, and the posterior is the
+    product of their chances. To begin with a document with one bad vote is undecided, one with more is bad."""
+    n_rules = len(next(iter(counts), ()))
+    first = {p: (0.95, 0.5, 0.05)[min(2, p.count(BAD))] for p in counts}
+    good, prior, shifts = first, 0.0, [[0.0] * 4 for _ in range(n_rules)]
     for _ in range(rounds):
-        weight = {y: sum(n * (good[p] if y else 1 - good[p]) for p, n in counts.items()) for y in (0, 1)}
-        share = (weight[1] + BELIEVED_SHARE * BELIEF_SHARE * total) / (weight[0] + weight[1] + BELIEF_SHARE * total)
-        chance = []
+        free = sum(n for n, _ in counts.values())
+        share = (sum(n * good[p] for p, (n, _) in counts.items()) + BELIEVED_SHARE * belief) / (free + belief)
+        prior = math.log(share / (1 - share))
         for k in range(n_rules):
-            row = {}
-            for y in (0, 1):
-                seen = [BELIEVED[y][v] * BELIEF_RULE * total + sum(n * (good[p] if y else 1 - good[p]) for p, n in counts.items() if votes[p][k] == v) for v in range(3)]
-                row[y] = [x / sum(seen) for x in seen]
-            chance.append(row)
-        good = {p: _posterior(votes[p], share, chance) for p in counts}
-    return [_posterior(votes[p], share, chance) for p in range(3**n_rules)], chance
-
-
-def _posterior(vote: list[int], share: float, chance: list[dict]) -> float:
-    """Each bad vote counts by its estimated ratio of chances. Rules that see nothing do so together, whatever ails the
-    document elsewhere: they are one merged vote, the mean of their ratios."""
-    shift = [math.log(chance[k][1][v] / chance[k][0][v]) for k, v in enumerate(vote)]
-    bad = [x for x, v in zip(shift, vote, strict=True) if v == 2]
-    rest = [x for x, v in zip(shift, vote, strict=True) if v != 2]
-    odds = math.log(share / (1 - share)) + sum(bad) + (sum(rest) / len(rest) if rest else 0.0)
+            seen = {y: [b * belief for b in BELIEVED[y]] for y in (0, 1)}
+            for p, (n, known_bad) in counts.items():
+                seen[1][p[k]] += n * good[p]
+                seen[0][p[k]] += n * (1 - good[p]) + known_bad
+            shifts[k] = [math.log(seen[1][v] / sum(seen[1])) - math.log(seen[0][v] / sum(seen[0])) for v in range(4)]
+        new = {p: posterior(p, prior, shifts) for p in counts}
+        moved = max((abs(new[p] - good[p]) for p in counts), default=0.0)
+        good = new
+        if moved < 1e-9:
+            break
+    return prior, shifts
+
+
+def posterior(pattern: tuple[int, ...], prior: float, shifts: list[list[float]]) -> float:
+    odds = prior + sum(shifts[k][v] for k, v in enumerate(pattern))
     return 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
 
 
-def judged(docs: DataFrame, threshold: float = 0.5, min_words: int = 50, max_repeated: float = 0.5) -> DataFrame:
+def judged(docs: DataFrame, threshold: float = 0.5, min_words: int = 50, max_repeated: float = 0.5, belief: float = BELIEF) -> DataFrame:
     """doc_id, the statistics, base_failed, p_good (posterior) and kept; docs needs doc_id and text."""
-    stats = common.handed_over(statistics(docs).withColumn("pattern", pattern()), "rules")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > int(100 * max_repeated) * F.col("n_words"))
-    counts = {r["pattern"]: r["n"] for r in stats.groupBy("pattern").agg(F.count("*").alias("n")).collect()}
-    posterior, _ = estimate(counts, len(RULES))
-    table = F.expr("array(" + ",".join(f"{x!r}D" for x in posterior) + ")")
-    p_good = F.get(table, F.col("pattern"))
+    stats = common.handed_over(statistics(docs).withColumn("base_failed", failed).select("*", *votes()), "rules")
+    seen = stats.groupBy(*RULES).agg(F.count_if(~F.col("base_failed")).alias("free"), F.count_if("base_failed").alias("failed")).collect()  # 4 ** len(RULES) rows at most
+    prior, shifts = estimate({tuple(r[name] for name in RULES): (r["free"], r["failed"]) for r in seen}, belief)
+    odds = F.lit(prior)
+    for name, shift in zip(RULES, shifts, strict=False):
+        odds = odds + F.get(F.array(*map(F.lit, shift)), F.col(name))
+    p_good = 1 / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), odds))))
     return stats.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), p_good.alias("p_good"), (~failed & (p_good >= threshold)).alias("kept"),
+        "base_failed", p_good.alias("p_good"), (~F.col("base_failed") & (p_good >= threshold)).alias("kept"),
     )
 
 

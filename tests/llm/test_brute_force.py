@@ -58,21 +58,23 @@ def test_estimation_equals_a_walk_over_documents():
     """Expectation-maximisation document by document, with the beliefs as documents, gives the posteriors of the patterns."""
     rng = np.random.default_rng(3)
     good = rng.random(3000) < 0.8
-    votes = np.stack([np.where(rng.random(3000) < (0.9 if k < 5 else 0.6), np.where(good ^ (rng.random(3000) < 0.1 + 0.05 * k), 1, 2), 0) for k in range(7)], axis=1)
-    codes = votes @ 3 ** np.arange(6, -1, -1)
-    posterior, _ = rules.estimate(dict(collections.Counter(codes.tolist())), 7)
-    n, belief = len(votes), rules.BELIEF_RULE * len(votes)
-    p = np.choose(np.minimum((votes == 2).sum(axis=1), 2), [0.95, 0.5, 0.05])
-    for _ in range(50):
-        share = (p.sum() + rules.BELIEVED_SHARE * rules.BELIEF_SHARE * n) / (n + rules.BELIEF_SHARE * n)
-        shift = np.zeros(votes.shape)
-        for k in range(7):
-            chance = {y: np.array([rules.BELIEVED[y][v] * belief + w[votes[:, k] == v].sum() for v in range(3)]) / (belief + w.sum()) for y, w in ((0, 1 - p), (1, p))}
-            shift[:, k] = np.log(chance[1] / chance[0])[votes[:, k]]
-        bad = votes == 2
-        rest = np.where(bad, 0, shift).sum(axis=1) / np.maximum((~bad).sum(axis=1), 1)
-        p = 1 / (1 + np.exp(-(np.log(share / (1 - share)) + np.where(bad, shift, 0).sum(axis=1) + rest)))
-    assert np.abs(np.array(posterior)[codes] - p).max() < 1e-9
+    votes = np.stack([np.where(rng.random(3000) < (0.9 if k < 5 else 0.6), np.where(good ^ (rng.random(3000) < 0.1 + 0.05 * k), 1, rng.choice([2, 3], 3000)), 0) for k in range(7)], axis=1)
+    failed = ~good & (rng.random(3000) < 0.3)
+    counts = collections.defaultdict(lambda: [0, 0])
+    for v, f in zip(map(tuple, votes.tolist()), failed, strict=True):
+        counts[v][int(f)] += 1
+    for belief in (10.0, 200.0):
+        prior, shifts = rules.estimate(counts, belief, 30)
+        p = np.where(failed, 0.0, np.choose(np.minimum((votes == rules.BAD).sum(axis=1), 2), [0.95, 0.5, 0.05]))
+        for _ in range(30):
+            share = (p.sum() + rules.BELIEVED_SHARE * belief) / ((~failed).sum() + belief)
+            odds = np.full(3000, np.log(share / (1 - share)))
+            for k in range(7):
+                chance = [np.array([rules.BELIEVED[y][v] * belief + w[votes[:, k] == v].sum() for v in range(4)]) / (belief + w.sum()) for y, w in ((0, 1 - p), (1, p))]
+                odds += np.log(chance[1] / chance[0])[votes[:, k]]
+            p = np.where(failed, 0.0, 1 / (1 + np.exp(-odds)))
+        told = np.array([rules.posterior(tuple(v), prior, shifts) for v in votes.tolist()])
+        assert np.abs(told - p)[~failed].max() < 1e-6
 
 
 def test_sharding_contract(docs, empty):

@@ -9,24 +9,27 @@ import numpy as np
 from corpusloom.llm import common, decontamination, line_dedup, rules, suffix_dedup, url_filter
 
 
-def _pattern(votes):
-    code = 0
-    for v in votes:
-        code = code * 3 + v
-    return code
+def _judge(counts, belief=rules.BELIEF):
+    prior, shifts = rules.estimate({p: (n, 0) for p, n in counts.items()}, belief)
+    return lambda *votes: rules.posterior(votes, prior, shifts)
 
 
 def test_inaccurate_rule_is_outvoted():
-    counts = {}
-    for noisy, n in ((1, 7), (2, 3)):
-        for rest, share in (((1, 1, 1, 1, 1, 1), 880), ((1, 1, 2, 2, 2, 1), 120)):
-            counts[_pattern((noisy, *rest))] = n * share
-    posterior, _ = rules.estimate(counts, 7)
-    assert posterior[_pattern((2, 1, 1, 1, 1, 1, 1))] > 0.5  # it alone votes bad, on three tenths of all documents
-    assert posterior[_pattern((2, 1, 1, 2, 2, 2, 1))] < 0.5
-    rare = {_pattern((1,) * 7): 9000, _pattern((2, 1, 1, 1, 1, 1, 1)): 500, _pattern((1, 1, 1, 2, 2, 2, 1)): 500}
-    posterior, _ = rules.estimate(rare, 7)
-    assert posterior[_pattern((2, 1, 1, 1, 1, 1, 1))] < 0.5 < posterior[_pattern((1,) * 7)]
+    g, x = rules.GOOD, rules.BAD
+    counts = {(noisy, *rest): n * share for noisy, n in ((g, 7), (x, 3)) for rest, share in (((g,) * 6, 880), ((g, g, x, x, x, g), 120))}
+    for belief in (rules.BELIEF / 2, rules.BELIEF, rules.BELIEF * 2):
+        p = _judge(counts, belief)
+        assert p(x, *[g] * 6) > 0.5  # it alone votes bad, on three tenths of all documents
+        assert p(x, g, g, x, x, x, g) < 0.5 and p(g, g, g, x, x, x, g) < 0.5
+
+
+def test_rare_bad_votes_and_common_doubts():
+    g, d, x = rules.GOOD, rules.DOUBTFUL, rules.BAD
+    counts = {(g,) * 7: 9000} | {tuple(x if k in (j, (j + 1) % 7) else g for k in range(7)): 80 for j in range(7)} | {(d, *[g] * 6): 900, (d, d, *[g] * 5): 90}
+    for belief in (rules.BELIEF / 2, rules.BELIEF, rules.BELIEF * 2):
+        p = _judge(counts, belief)
+        assert p(*[g] * 7) > 0.5 > p(g, x, x, *[g] * 4)  # rare bad votes that bear each other out
+        assert p(d, *[g] * 6) > 0.5  # a tenth of all documents is doubtful here, and nothing else ails them
 
 
 def test_boilerplate_leaves_short_pages_too(spark):
@@ -37,10 +40,20 @@ def test_boilerplate_leaves_short_pages_too(spark):
     rows += [(200 + i, copy, f"t{i}") for i in range(11)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     for most in (1000, -1):
-        got = {r["doc_id"]: r["text"] for r in line_dedup.cleaned(docs, most_everywhere=most).collect()}
-        assert [got[i] for i in (100, 101, 102, 103)] == ["short page", "", "twice here", "twice here"]
-        assert not any(line in x for x in got.values())
-        assert all(got[200 + i] == copy for i in range(11))
+        for spare in (True, False):
+            got = {r["doc_id"]: r["text"] for r in line_dedup.cleaned(docs, most_everywhere=most, spare_copies=spare).collect()}
+            assert [got[i] for i in (100, 101, 102, 103)] == ["short page", "", "twice here", "twice here"]
+            assert not any(line in x for x in got.values())
+            assert all(got[200 + i] == (copy if spare else "") for i in range(11))
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    rows = [(i, f"own words {i}\nthe same line everywhere", f"s{i}", i * 10, "w", ["l"], 7) for i in range(12)] + [(99, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, t1 long, whole string, lines array<string>, n_lines long")
+    for most in (1000, -1):
+        got = {r["doc_id"]: r for r in line_dedup.cleaned(docs, most_everywhere=most, spare_copies=True).collect()}
+        assert [(r["t1"], r["whole"], r["lines"]) for i, r in sorted(got.items())] == [(x[3], x[4], x[5]) for x in rows]
+        assert got[3]["text"] == "own words 3" and got[3]["n_lines"] == 2 and got[99]["text"] is None or got[99]["text"] == ""
 
 
 def test_long_items_are_found(spark):
