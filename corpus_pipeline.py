@@ -40,8 +40,9 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def remove_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that ten sites or more share, n_chars follows; a null text stays null, a null source is one site."""
-    cleaned = line_dedup.cleaned(docs.select(*COLUMNS))
+    """Texts without the lines that ten sites or more share, n_chars follows; a null text stays null, a null source is one site,
+    rows that repeat are cleaned each. Texts that as a whole are on ten sites wait for the next stage, which leaves one."""
+    cleaned = line_dedup.cleaned(docs.select(*COLUMNS), spare_copies=True)
     return cleaned.withColumn("n_chars", F.when(F.col("n_removed_lines") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*COLUMNS)
 
 

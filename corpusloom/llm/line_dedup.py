@@ -2,12 +2,14 @@
 
 Each line of `min_words` words or more (1: all lines with a word) has a HyperLogLog sketch of the sites it occurs on; sketches merge by
 aggregation. Lines whose estimate lies near the threshold get an exact distinct count. Lines on `min_sites` sites or
-more are boilerplate and leave every document, whatever share of it they are. Only a text that as a whole, byte for
-byte, is on `min_sites` sites or more stays as it is in each of its copies, for a near-duplicate stage to leave one.
+more are boilerplate and leave every document, whatever share of it they are. With `spare_copies`, a text that as a whole,
+byte for byte, is on `min_sites` sites or more stays as it is in each of its copies, for a near-duplicate stage behind to
+leave one.
 
 A line is what \\n parts, without the white space [\\x20\\x09-\\x0D] at its ends.
 Defined results: a null text or site: no lines, or one site of its own name; repeated rows count one site;
-a document without such lines stays as it is; an empty table gives no rows; other columns pass through untouched.
+a document without such lines stays as it is; an empty table gives no rows; other columns pass through untouched, but
+for those named like the three counts of the result, which are replaced.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm import common
 
 NO_SITE = "\x00none"
+#: Columns of the joins, which are none of the callers'.
+T1, T2, WHOLE, LINES = (f"_line_dedup_{c}" for c in ("t1", "t2", "whole", "lines"))
 
 
 def _lines(data: np.ndarray, offsets: np.ndarray):
@@ -68,8 +72,8 @@ def _small(lines: DataFrame, most: int = 1_000_000) -> DataFrame:
 def _remove(min_words: int, everywhere: np.ndarray | None):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = None if everywhere is not None else batch.column("lines")
-            whole = batch.column("whole").fill_null(False).to_numpy(zero_copy_only=False)
+            own = None if everywhere is not None else batch.column(LINES)
+            whole = batch.column(WHOLE).fill_null(False).to_numpy(zero_copy_only=False)
             for rows, data, offsets in common.steps(batch):
                 doc, first, behind, n, h = _lines(data, offsets)
                 n_docs = len(offsets) - 1
@@ -97,35 +101,35 @@ def _remove(min_words: int, everywhere: np.ndarray | None):
                     dropped = set(places[drop[edges[i] : edges[i + 1]]].tolist())
                     out = [x for k, x in enumerate(lines) if k not in dropped]
                     texts[i] = b"\n".join(out).decode("utf-8", "surrogateescape")
-                rest = [batch.column(c).slice(rows.start, n_docs) for c in batch.schema.names if c not in ("text", "lines", "whole")]
-                names = [c for c in batch.schema.names if c not in ("text", "lines", "whole")]
+                rest = [batch.column(c).slice(rows.start, n_docs) for c in batch.schema.names if c not in ("text", LINES, WHOLE)]
+                names = [c for c in batch.schema.names if c not in ("text", LINES, WHOLE)]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(texts, pa.string()), pa.array(n_lines), pa.array(n_hit), pa.array(n_drop)], names=[*names, "text", "n_lines", "n_boilerplate_lines", "n_removed_lines"])
 
     return remove
 
 
-def cleaned(docs: DataFrame, min_sites: int = 10, min_words: int = 1, near: float = 0.5, most_everywhere: int = 1_000_000) -> DataFrame:
+def cleaned(docs: DataFrame, min_sites: int = 10, min_words: int = 1, near: float = 0.5, most_everywhere: int = 1_000_000, spare_copies: bool = False) -> DataFrame:
     """docs with text cleaned, n_lines, n_boilerplate_lines (found) and n_removed_lines; docs needs doc_id, text, source.
 
     Boilerplate hashes go to every task if there are at most `most_everywhere` (8 MB); else they meet the documents in a join."""
-    docs = docs.withColumn("text", F.col("text").cast("string")).drop("n_lines", "n_boilerplate_lines", "n_removed_lines", "lines", "whole")
+    docs = docs.withColumn("text", F.col("text").cast("string")).drop("n_lines", "n_boilerplate_lines", "n_removed_lines")
     lines = boilerplate(docs, min_sites, min_words, near)
     order = [c for c in docs.columns if c != "text"] + ["text"]
     schema = docs.select(*order).schema.add("n_lines", "long").add("n_boilerplate_lines", "long").add("n_removed_lines", "long")
-    keyed = docs.withColumns(dict(zip(("t1", "t2"), common.text_key(), strict=True)))
-    keyed = keyed.join(_small(_whole_copies(keyed, min_sites)), ["t1", "t2"], "left")
+    keyed = docs.withColumns(dict(zip((T1, T2), common.text_key(), strict=True)))
+    keyed = keyed.join(_small(_whole_copies(keyed, min_sites)), [T1, T2], "left") if spare_copies else keyed.withColumn(WHOLE, F.lit(False))
     if lines.count() <= most_everywhere:
         everywhere = np.sort(lines.toArrow().column("line").to_numpy().view(np.uint64))
-        return keyed.drop("t1", "t2").mapInArrow(_remove(min_words, everywhere), schema)
-    hits = keyed.select("t1", "t2", "text").mapInArrow(_own_lines(min_words), "t1 long, t2 long, line long").join(lines, "line", "left_semi")
-    hits = hits.distinct().groupBy("t1", "t2").agg(F.collect_list("line").alias("lines"))
-    return keyed.join(hits, ["t1", "t2"], "left").drop("t1", "t2").mapInArrow(_remove(min_words, None), schema)
+        return keyed.drop(T1, T2).mapInArrow(_remove(min_words, everywhere), schema)
+    hits = keyed.select(T1, T2, "text").mapInArrow(_own_lines(min_words), f"{T1} long, {T2} long, line long").join(lines, "line", "left_semi")
+    hits = hits.distinct().groupBy(T1, T2).agg(F.collect_list("line").alias(LINES))
+    return keyed.join(hits, [T1, T2], "left").drop(T1, T2).mapInArrow(_remove(min_words, None), schema)
 
 
 def _whole_copies(keyed: DataFrame, min_sites: int) -> DataFrame:
-    """t1, t2, whole: the texts that as a whole are on min_sites sites or more."""
-    seen = keyed.select("t1", "t2", F.coalesce(F.col("source").cast("string"), F.lit(NO_SITE)).alias("site")).distinct()
-    return common.handed_over(seen.groupBy("t1", "t2").agg(F.count("*").alias("n")).filter(F.col("n") >= min_sites).select("t1", "t2", F.lit(True).alias("whole")), "whole-copies")
+    """The keys of the texts that as a whole are on min_sites sites or more."""
+    seen = keyed.select(T1, T2, F.coalesce(F.col("source").cast("string"), F.lit(NO_SITE)).alias("site")).distinct()
+    return common.handed_over(seen.groupBy(T1, T2).agg(F.count("*").alias("n")).filter(F.col("n") >= min_sites).select(T1, T2, F.lit(True).alias(WHOLE)), "whole-copies")
 
 
 def _own_lines(min_words: int):
@@ -135,7 +139,7 @@ def _own_lines(min_words: int):
                 doc, _, _, n, h = _lines(data, offsets)
                 doc, h = doc[n >= min_words], h[n >= min_words]
                 take = pa.array(doc + rows.start)
-                yield pa.RecordBatch.from_arrays([batch.column("t1").take(take), batch.column("t2").take(take), pa.array(h.view(np.int64))], names=["t1", "t2", "line"])
+                yield pa.RecordBatch.from_arrays([batch.column(T1).take(take), batch.column(T2).take(take), pa.array(h.view(np.int64))], names=[T1, T2, "line"])
 
     return scan
 
@@ -151,13 +155,11 @@ WITH lines AS (
   FROM documents, LATERAL (SELECT unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i) u
 ), spread AS (
   SELECT t FROM lines WHERE t <> '' GROUP BY t HAVING count(DISTINCT coalesce(source, chr(0) || 'none')) >= 10
-), whole AS (
-  SELECT text FROM documents GROUP BY text HAVING count(DISTINCT coalesce(source, chr(0) || 'none')) >= 10
 ), marked AS (
-  SELECT l.*, s.t IS NOT NULL AS hit, w.text IS NOT NULL AS whole FROM lines l LEFT JOIN spread s ON l.t = s.t LEFT JOIN whole w ON l.text = w.text
+  SELECT l.*, s.t IS NOT NULL AS hit FROM lines l LEFT JOIN spread s ON l.t = s.t
 ), kept AS (
-  SELECT doc_id, count(*) FILTER (WHERE t <> '') AS n_lines, count(*) FILTER (WHERE hit) AS n_hit, count(*) FILTER (WHERE hit AND NOT whole) AS n_gone,
-         string_agg(l, chr(10) ORDER BY i) FILTER (WHERE NOT hit OR whole) AS text
+  SELECT doc_id, count(*) FILTER (WHERE t <> '') AS n_lines, count(*) FILTER (WHERE hit) AS n_hit, count(*) FILTER (WHERE hit) AS n_gone,
+         string_agg(l, chr(10) ORDER BY i) FILTER (WHERE NOT hit) AS text
   FROM marked GROUP BY doc_id
 )
 SELECT x.doc_id, coalesce(k.n_lines, 0)::BIGINT AS n_lines, coalesce(k.n_hit, 0)::BIGINT AS n_boilerplate_lines, coalesce(k.n_gone, 0)::BIGINT AS n_removed_lines,
