@@ -110,6 +110,11 @@ def verdict(answer: Column) -> Column:
     )
 
 
+def point_uuid(name: Column) -> Column:
+    """The id of a stored vector: the MD5 of its name with four dashes."""
+    return F.regexp_replace(F.md5(name), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+
+
 def summary_of(answer: Column) -> Column:
     return F.coalesce(F.get_json_object(answer, "$.summary"), answer)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as T
 from corpusloom.jobs.base import query
 from corpusloom.sources.tables import shared_folder, table
 from corpusloom.sources.vectors import VectorCollection
@@ -73,3 +74,15 @@ def collection_rebuilt(spark, sf_dir):
     c.delete_where(F.col("label") == 3)
     c.rebuild()
     return c.search(p.filter("id % 50 = 0 AND label != 3"), 10, 0.2).withColumn("score", F.round("score", 6))
+
+
+_UUID = "regexp_replace(md5('1-' || vec_id || '-code'), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5')"
+
+
+@query(f"WITH p AS (SELECT {_UUID} AS id, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT {_UUID} AS id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0)" + _SEARCH)
+def collection_by_uuid(spark, sf_dir):
+    """Points under ids made from their names: the same points again change nothing, whatever batches they come in."""
+    named = table(spark, sf_dir, "embeddings").select("vec_id", T.point_uuid(F.concat(F.lit("1-"), F.col("vec_id").cast("string"), F.lit("-code"))).alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    c = _collection(spark, sf_dir, named.drop("vec_id"))
+    c.upsert(named.filter("vec_id % 5 = 2").drop("vec_id"))
+    return c.search(named.filter("vec_id % 50 = 0").drop("vec_id"), 10, 0.2).withColumn("score", F.round("score", 6))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.jobs.base import query
+from corpusloom.jobs.base import oracle_sql, query
+from corpusloom.sources.snapshots import Snapshots
 from corpusloom.sources.tables import shared_folder, table
 from corpusloom.streaming import claims, jobs
 
@@ -51,3 +52,13 @@ def stream_claims(spark, sf_dir):
     folder = shared_folder(spark, "claims")
     rows = claims.run(claims.changes(log, per_turn=2), f"{folder}/rows", f"{folder}/progress")
     return rows.filter("status = 'running'").select("queue", "job", F.col("at").cast("timestamp_ntz").alias("claimed"), "attempts")
+
+
+@query(oracle_sql()["stream_upsert"])
+def stream_upsert_in_versions(spark, sf_dir):
+    """The upsert stream into a store of versions, where rows of a key are put together from time to time."""
+    e = _events(spark, sf_dir).select("user_id", "event_id", "ts", "event_type", "value")
+    folder = shared_folder(spark, "versions")
+    store = Snapshots(spark, f"{folder}/store")
+    jobs.kept_in(jobs.latest(e, ["user_id"], ["ts", "event_id"]), store, "latest", "user_id", f"{folder}/progress")
+    return jobs.current(store.open().table("latest"), "user_id")

@@ -84,8 +84,7 @@ def clique_cover(edges: DataFrame, most_in_task: int = 200_000) -> DataFrame:
     done = []
     while (n := left.count()) > most_in_task:
         both = left.select("a", "b", "at").union(left.select(F.col("b").alias("a"), F.col("a").alias("b"), "at"))
-        one, two = (both.select(F.col("a").alias(x), F.col("b").alias("c"), F.col("at").alias(f"at_{x}")) for x in ("a", "b"))
-        thirds = handed_over(left.select("a", "b", "at").join(one, "a").join(two, ["b", "c"]).select("a", "b", "at", "c", F.col("at_a").alias("order")), "clique-thirds")
+        thirds = handed_over(_thirds(left, both), "clique-thirds")
         wants = left.select("at", F.explode(F.array("a", "b")).alias("v")).unionByName(thirds.select("at", F.col("c").alias("v")))
         first = wants.groupBy("v").agg(F.min("at").alias("first"))
         blocked = wants.join(first, "v").groupBy("at").agg(F.max((F.col("first") != F.col("at")).cast("int")).alias("waits"))
@@ -114,6 +113,26 @@ def clique_cover(edges: DataFrame, most_in_task: int = 200_000) -> DataFrame:
     return members.join(inner.groupBy(F.col("ga").alias("group_id")).agg(F.avg("score").alias("avg_confidence")), "group_id")
 
 
+def _thirds(edges: DataFrame, both: DataFrame) -> DataFrame:
+    """at, c, order: of each edge (a, b), named by `at`, the nodes c that know both ends, and the `at` of the edge (a, c).
+
+    Triangles are listed from their end of least degree, so that a hub's neighbours are not all paired with each other: the
+    rows grow with edges ** 1.5 at most, whatever the degrees are."""
+    degree = both.groupBy(F.col("a").alias("n")).agg(F.count("*").alias("d"))
+    for end in ("a", "b"):
+        edges = edges.join(degree.select(F.col("n").alias(end), F.col("d").alias(f"d{end}")), end)
+    ends = [F.struct(F.col(f"d{e}").alias("d"), F.col(e).alias("n")) for e in ("a", "b")]
+    up = edges.select(F.least(*ends).alias("u"), F.greatest(*ends).alias("v"), "at")
+    x, y, z = (up.select(*[F.col(c).alias(n) for c, n in zip(("u", "v", "at"), names, strict=True)]) for names in (("u", "v", "uv"), ("u", "w", "uw"), ("v", "w", "vw")))
+    u, v, w = F.col("u.n"), F.col("v.n"), F.col("w.n")
+    corners = [
+        F.struct(F.col("uv").alias("at"), w.alias("c"), F.when(u < v, F.col("uw")).otherwise(F.col("vw")).alias("order")),
+        F.struct(F.col("uw").alias("at"), v.alias("c"), F.when(u < w, F.col("uv")).otherwise(F.col("vw")).alias("order")),
+        F.struct(F.col("vw").alias("at"), u.alias("c"), F.when(v < w, F.col("uv")).otherwise(F.col("uw")).alias("order")),
+    ]
+    return x.join(y, "u").filter(F.col("v") < F.col("w")).join(z, ["v", "w"]).select(F.explode(F.array(*corners)).alias("t")).select("t.*")
+
+
 def related(groups: DataFrame, edges: DataFrame) -> DataFrame:
     """groups of clique_cover with the relationship of the edge that each grew from; edges has a, b and relationship."""
     return groups.join(edges.select(F.col("a").alias("seed_a"), F.col("b").alias("seed_b"), "relationship"), ["seed_a", "seed_b"], "left")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.sources.snapshots import Change, Snapshots
+
 LIMITED = r"(?i)429|rate.?limit|token.?limit|enqueued.+limit"
 KINDS = ("enqueue", "claim", "complete", "fail", "pause", "recover")
 
@@ -56,3 +58,24 @@ def latest(changes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Last write wins: of each key the change that is last by `order`; for batches and, in update mode, streams."""
     rest = [c for c in changes.columns if c not in keys]
     return changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("last")).select(*keys, "last.*")
+
+
+def kept_in(stream: DataFrame, store: Snapshots, name: str, key: str, checkpoint: str, every: int = 10) -> None:
+    """Runs an update-mode stream over what is there into a table of a store: each batch is a version, and each `every`-th
+    one puts all rows of a key together, so that what current() reads stays near one row per key.
+
+    A version says which batch it ends with; a batch that is run again after its commit is left out."""
+
+    def save(batch: DataFrame, number: int) -> None:
+        at = store.open()
+        if at.note.isdigit() and int(at.note) >= number:
+            return
+        rows, there = batch.withColumn("version", F.lit(number).cast("long")), name in at.tables()
+        together = there and number % every == every - 1
+        if together:
+            rows = at.table(name).unionByName(rows)
+            rest = [c for c in rows.columns if c != key]
+            rows = rows.groupBy(key).agg(F.max_by(F.struct(*rest), "version").alias("last")).select(key, "last.*")
+        store.commit(at, {name: Change(store.stage(name, rows), more=there and not together)}, str(number))
+
+    stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(save).start().awaitTermination()

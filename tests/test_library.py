@@ -27,11 +27,12 @@ def test_query_equals_sql(spark, name, tmp_path):
 @pytest.mark.parametrize(
     ("edges", "groups"),
     [
-        ([(1, 2, 0.9), (2, 3, 0.85), (1, 3, 0.88)], [[1, 2, 3]]),
-        ([(1, 2, 0.9), (2, 3, 0.85)], [[1, 2]]),
-        ([(1, 2, 0.9), (2, 3, 0.85), (3, 4, 0.8)], [[1, 2], [3, 4]]),
-        ([(1, 2, 0.7), (3, 4, 0.95)], [[3, 4], [1, 2]]),
-        ([(1, 2, 0.9), (2, 3, 0.85), (1, 3, 0.88), (1, 4, 0.8), (2, 4, 0.82)], [[1, 2, 3]]),
+        ([(5, 7, 0.61), (7, 9, 0.72), (5, 9, 0.55)], [[5, 7, 9]]),
+        ([(5, 7, 0.61), (7, 9, 0.72)], [[7, 9]]),
+        ([(2, 4, 0.4), (4, 6, 0.7), (6, 8, 0.5), (8, 10, 0.6)], [[4, 6], [8, 10]]),
+        ([(30, 31, 0.2), (12, 14, 0.3), (14, 31, 0.1)], [[12, 14], [30, 31]]),
+        ([(1, 5, 0.77), (1, 6, 0.7), (5, 6, 0.71), (5, 9, 0.69), (6, 9, 0.68), (1, 8, 0.66)], [[1, 5, 6]]),
+        ([(1, 2, 0.5), (3, 4, 0.5), (1, 3, 0.5), (2, 3, 0.5)], [[1, 2, 3]]),
         ([], []),
     ],
 )

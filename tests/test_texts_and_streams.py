@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators import knn
 from corpusloom.operators.prompts import rank_prompts
+from corpusloom.sources.snapshots import Snapshots
 from corpusloom.streaming import jobs
 
 
@@ -86,3 +87,23 @@ def test_queue_over_several_batches(spark, tmp_path):
     assert got == {"a": ("done", 1, None), "b": ("queued", 1, at(62)), "c": ("failed", 3, None), "d": ("queued", 1, None)}
     assert {r["job"] for r in jobs.claimable(states, F.lit(at(30))).collect()} == {"d"}
     assert {tuple(r) for r in states.select("job", "status").collect()} == {tuple(r) for r in jobs.job_states(spark.createDataFrame(log, schema)).select("job", "status").collect()}
+
+
+def test_versions_of_a_stream_are_put_together(spark, tmp_path):
+    schema, want = "k long, at long, v string", {}
+    for i in range(7):
+        rows = [(k, i, f"{k}-{i}") for k in range(i % 3, 6)]
+        want |= {k: v for k, _, v in rows}
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    store = Snapshots(spark, f"file://{tmp_path}/store")
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        jobs.kept_in(jobs.latest(stream, ["k"], ["at"]), store, "rows", "k", str(tmp_path / "progress"), every=3)
+
+    run()
+    assert {r["k"]: r["v"] for r in jobs.current(store.open().table("rows"), "k").collect()} == want
+    n = len(store.versions())
+    assert n >= 7 and store.open().table("rows").count() < 20 and len(store.open().folders("rows")) <= 3
+    run()
+    assert len(store.versions()) == n
