@@ -53,6 +53,11 @@ def merged(code: DataFrame, intent: DataFrame, k: int) -> DataFrame:
 
 def greedy_groups(edges: list[tuple[int, int, float]]) -> list[list[int]]:
     """Cliques from the strongest edge on: both ends free, joined by free neighbours of the ends that know all members."""
+    return [members for _, _, members in _seeded(edges)]
+
+
+def _seeded(edges: list[tuple[int, int, float]]) -> list[tuple[int, int, list[int]]]:
+    """The edge that each clique grew from, and its members."""
     order = sorted(edges, key=lambda e: (-e[2], e[0], e[1]))
     near: dict[int, dict[int, None]] = {}
     for a, b, _ in order:
@@ -68,7 +73,7 @@ def greedy_groups(edges: list[tuple[int, int, float]]) -> list[list[int]]:
             if c not in used and c not in members and all(m in near[c] for m in members):
                 members.append(c)
         used.update(members)
-        out.append(sorted(members))
+        out.append((a, b, sorted(members)))
     return out
 
 
@@ -156,5 +161,5 @@ def _walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held = [f for f in frames if len(f)]
     if held:
         rest = pd.concat(held)
-        groups = greedy_groups([(int(a), int(b), float(s)) for a, b, s in zip(rest.a, rest.b, rest.score, strict=True)])
-        yield pd.DataFrame([(g[0], g[1], m) for g in groups for m in g], columns=["seed_a", "seed_b", "member"])
+        groups = _seeded([(int(a), int(b), float(s)) for a, b, s in zip(rest.a, rest.b, rest.score, strict=True)])
+        yield pd.DataFrame([(a, b, m) for a, b, g in groups for m in g], columns=["seed_a", "seed_b", "member"])

@@ -118,7 +118,7 @@ def test_embedding_inputs_are_cut_at_tokens(spark):
 
 
 def test_relationship_and_seed_of_groups(spark):
-    edges = spark.createDataFrame([(1, 2, 0.9, "same"), (2, 3, 0.7, "near"), (1, 3, 0.8, "far"), (4, 5, 0.5, "odd")], "a long, b long, score double, relationship string")
+    edges = spark.createDataFrame([(1, 2, 0.6, "near"), (2, 3, 0.9, "same"), (1, 3, 0.8, "far"), (4, 5, 0.5, "odd")], "a long, b long, score double, relationship string")
     for most in (0, 1000):
         got = knn.related(knn.clique_cover(edges.drop("relationship"), most), edges)
         assert sorted((r["group_id"], r["member"], r["relationship"]) for r in got.collect()) == [(1, 1, "same"), (1, 2, "same"), (1, 3, "same"), (4, 4, "odd"), (4, 5, "odd")]
