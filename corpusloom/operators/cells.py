@@ -3,6 +3,9 @@
 The angle between a query and a vector of a cell is at least that between query and centre less the cell's radius, so that
 a cell whose bound lies below what the query already has is not met. Centres are fitted on a bounded sample; every vector
 is in a cell, and results are exact whatever the centres are.
+
+Cells that lie side by side share a bin, a large cell is several parts of one: what meets a query at once, so that a query
+is sent as often as the rows fill such blocks, however many cells there are.
 """
 
 from __future__ import annotations
@@ -17,10 +20,11 @@ from pyspark.sql.window import Window
 
 from corpusloom.sources.tables import handed_over
 
-#: Numbers in the vectors that centres are fitted on (32 MB), the most centres, scores that a task holds at once.
-FIT_VALUES, MOST_CELLS, CELLS_AT_ONCE = 4_000_000, 4096, 4_000_000
-#: Slack of a bound against rounding.
-SLACK = 1e-6
+#: Numbers in the vectors that centres are fitted on (32 MB), the most centres, scores that a task holds at once, numbers in
+#: the vectors of either side of a block (16 MB), blocks that the rows fill at least, if they have the size for that.
+FIT_VALUES, MOST_CELLS, CELLS_AT_ONCE, BLOCK_VALUES, LEAST_BLOCKS = 4_000_000, 4096, 1_000_000, 2_000_000, 4
+#: Slack of a bound against rounding; of a product of single precision, for each dimension.
+SLACK, SINGLE = 1e-6, 6e-8
 
 
 def unit(vectors: DataFrame) -> DataFrame:
@@ -63,68 +67,113 @@ def placed(units: DataFrame, centres: np.ndarray) -> DataFrame:
     return units.mapInPandas(place, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in units.schema) + ", cell long, angle double")
 
 
-def extents(cells: DataFrame, per_block: int) -> DataFrame:
-    """cell, n, radius and blocks: into how many blocks of about per_block rows it is dealt."""
-    return cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).withColumn("blocks", F.ceil(F.col("n") / per_block).cast("int"))
+def extents(cells: DataFrame) -> DataFrame:
+    """cell, n and radius."""
+    return cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius"))
+
+
+def _bins(known: pd.DataFrame, centres: np.ndarray, per_block: int) -> tuple[np.ndarray, list[int]]:
+    """The bin of each centre (-1: its cell has no rows), and how many parts each bin has. Cells are walked from one to the
+    nearest that is left; a bin has up to per_block rows, or is one cell in parts of about as many."""
+    cell, n = known.cell.to_numpy(), known.n.to_numpy()
+    at, left, here = centres[cell], np.ones(len(cell), bool), 0
+    bins, parts, filled = np.full(len(centres), -1), [], 0
+    while True:
+        left[here] = False
+        if not parts or filled + n[here] > per_block:
+            parts.append(-(-int(n[here]) // per_block))
+            filled = 0
+        filled += n[here]
+        bins[cell[here]] = len(parts) - 1
+        if not left.any():
+            return bins, parts
+        here = int(np.argmax(np.where(left, at @ at[here], -np.inf)))
 
 
-def _reached(centres: np.ndarray, radius: np.ndarray, nearest: bool):
-    """Queries (id, v, least) -> id, v, least, cell: the cell around a query, or all others that may hold a score of least."""
+def _reached(centres: np.ndarray, radius: np.ndarray, bins: np.ndarray, nearest: bool):
+    """Queries (id, v, least) -> id, v, least, bins: that of the cell around a query, or all others that may hold a score of
+    least. A list for each query: its vector is told once, and goes to the bins one by one later on."""
 
     def reach(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        there = radius >= 0
+        there = np.flatnonzero(radius >= 0)
+        there = there[np.argsort(bins[there], kind="stable")]
+        own = bins[there]
+        start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         for frame in frames:
             for at in range(0, len(frame), step := max(1, CELLS_AT_ONCE // len(centres))):
                 part = frame.iloc[at : at + step]
-                angle = np.arccos(np.clip(np.stack(part.v.to_numpy()) @ centres.T, -1, 1))
-                angle[:, ~there] = np.inf
-                first = np.argmin(angle, axis=1)
+                angle = np.arccos(np.clip(np.stack(part.v.to_numpy()) @ centres[there].T, -1, 1))
+                first = own[np.argmin(angle, axis=1)]
                 if nearest:
-                    yield part.assign(cell=first.astype(np.int64))
+                    yield part.assign(bins=list(first[:, None]))
                     continue
-                best = np.cos(np.maximum(0, angle - np.where(there, radius, 0)).clip(0, np.pi))
-                may = there & (best >= part.least.to_numpy()[:, None] - SLACK)
+                best = np.cos(np.maximum(0, angle - radius[there]).clip(0, np.pi))
+                may = np.logical_or.reduceat(best >= part.least.to_numpy()[:, None] - SLACK, start, axis=1)
                 may[np.arange(len(part)), first] = False
-                q, cell = np.nonzero(may)
-                yield part.iloc[q].assign(cell=cell.astype(np.int64))
+                q, met = np.nonzero(may)
+                yield part.assign(bins=np.split(met, np.cumsum(np.bincount(q, minlength=len(part)))[:-1]))
 
     return reach
 
 
 def _scored(k: int):
-    """A block of queries and a block of a cell -> the k best of the block for each query that reach its least score."""
+    """A block of queries and a block of rows -> the k best of the block for each query that reach its least score.
+
+    Products of single precision say which pairs may be among them, sums of double precision which ones are."""
 
     def score(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"q_id": asked.id.iloc[:0], "m_id": rows.rid.iloc[:0], "score": pd.Series(dtype="float64")})
+        out = [pd.DataFrame({"q_id": asked.id.iloc[:0], "m_id": rows.rid.iloc[:0], "score": pd.Series(dtype="float64")})]
         if not len(asked) or not len(rows):
-            return none
+            return out[0]
         rows = rows.sort_values("rid", kind="stable")
-        y, ids, out = np.stack(rows.rv.to_numpy()).T, rows.rid.to_numpy(), []
-        for at in range(0, len(asked), step := max(1, CELLS_AT_ONCE // len(rows))):
-            part = asked.iloc[at : at + step]
-            s = np.stack(part.v.to_numpy()) @ y
-            rounded = s.round(12)
-            top = np.argsort(-rounded, axis=1, kind="stable")[:, :k]
-            value = np.take_along_axis(s, top, 1)
-            fits = value >= part.least.to_numpy()[:, None] - SLACK
-            q = np.broadcast_to(part.id.to_numpy()[:, None], top.shape)
-            out.append(pd.DataFrame({"q_id": q[fits], "m_id": ids[top][fits], "score": value[fits]}))
+        x, y = np.stack(asked.v.to_numpy()), np.stack(rows.rv.to_numpy())
+        few, many = x.astype(np.float32), np.ascontiguousarray(y.T, dtype=np.float32)
+        least, slack = asked.least.to_numpy(), SLACK + (y.shape[1] + 8) * SINGLE
+        q_ids, m_ids = asked.id.to_numpy(), rows.rid.to_numpy()
+        for at in range(0, len(x), step := max(1, CELLS_AT_ONCE // len(rows))):
+            s = few[at : at + step] @ many
+            may = s >= (least[at : at + step] - slack).astype(np.float32)[:, None]
+            full = np.flatnonzero(np.count_nonzero(may, axis=1) > k)
+            if len(full):
+                worst = np.partition(s[full], s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+                may[full] &= s[full] >= (worst - np.float32(2 * slack))[:, None]
+            q, m = np.nonzero(may)
+            q += at
+            value = _products(x, y, q, m)
+            fits = value >= least[q] - SLACK
+            q, m, value = q[fits], m[fits], value[fits]
+            order = np.lexsort((m, -value.round(12), q))
+            q, m, value = q[order], m[order], value[order]
+            n = np.bincount(q - at, minlength=min(step, len(x) - at))
+            top = np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n) < k
+            out.append(pd.DataFrame({"q_id": q_ids[q[top]], "m_id": m_ids[m[top]], "score": value[top]}))
         return pd.concat(out)
 
     return score
 
 
-def _met(asked: DataFrame, cells: DataFrame, about: DataFrame, k: int, per_block: int) -> DataFrame:
-    """Queries (id, v, least, cell) meet the rows of their cells, block by block on either side."""
-    guests = asked
-    many = guests.groupBy("cell").agg(F.ceil(F.count("*") / per_block).cast("int").alias("guest_blocks"))
-    about = handed_over(about.join(many, "cell").select("cell", "blocks", "guest_blocks"), "cell-blocks")
+def _products(x: np.ndarray, y: np.ndarray, q: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The products x[q] and y[m], pair by pair."""
+    out = np.empty(len(q))
+    for at in range(0, len(q), step := max(1, CELLS_AT_ONCE // x.shape[1])):
+        out[at : at + step] = np.einsum("ij,ij->i", x[q[at : at + step]], y[m[at : at + step]])
+    return out
+
+
+def _met(asked: DataFrame, cells: DataFrame, bins: np.ndarray, parts: list[int], k: int, per_block: int) -> DataFrame:
+    """Queries (id, v, least, bins) meet the rows of their bins, block by block on either side."""
+    spark = asked.sparkSession
+    guests = asked.select("id", "v", "least", F.explode("bins").alias("bin"))
+    many = guests.groupBy("bin").agg(F.ceil(F.count("*") / per_block).cast("int").alias("guest_blocks"))
+    sizes = spark.createDataFrame(list(enumerate(parts)), "bin int, parts int")
+    about = F.broadcast(handed_over(sizes.join(many, "bin").select("bin", "parts", "guest_blocks"), "blocks"))
+    own = F.broadcast(spark.createDataFrame([(i, int(b)) for i, b in enumerate(bins) if b >= 0], "cell long, bin int"))
     salt = F.xxhash64("id")
-    left = guests.join(about, "cell").withColumn("j", F.pmod(salt, F.col("guest_blocks"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    right = cells.join(about, "cell").withColumn("i", F.pmod(salt, F.col("blocks"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("guest_blocks") - 1)))
-    keys = [F.col("cell"), F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j")]
-    left, right = left.select(*keys, "id", "v", "least"), right.select(*[c.alias(f"r{n}") for c, n in zip((F.col("cell"), F.col("i").cast("int"), F.col("j").cast("int")), ("cell", "i", "j"), strict=True)], F.col("id").alias("rid"), F.col("v").alias("rv"))
-    return left.groupBy("cell", "i", "j").cogroup(right.groupBy("rcell", "ri", "rj")).applyInPandas(_scored(k), f"q_id {_kind(asked)}, m_id {_kind(cells)}, score double")
+    left = guests.join(about, "bin").withColumn("j", F.pmod(salt, F.col("guest_blocks")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    right = cells.join(own, "cell").join(about, "bin").withColumn("i", F.pmod(salt, F.col("parts")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("guest_blocks") - 1)))
+    left = left.select("bin", "i", "j", "id", "v", "least")
+    right = right.select(*[F.col(c).alias(f"r{c}") for c in ("bin", "i", "j", "id", "v")])
+    return left.groupBy("bin", "i", "j").cogroup(right.groupBy("rbin", "ri", "rj")).applyInPandas(_scored(k), f"q_id {_kind(asked)}, m_id {_kind(cells)}, score double")
 
 
 def _kind(rows: DataFrame) -> str:
@@ -140,19 +189,21 @@ def searched(queries: DataFrame, cells: DataFrame, about: DataFrame, centres: np
     """q_id, m_id, score: the k best rows of cells (id, v, cell) for each query (id, v), the query's own row among them, of
     those with a score of threshold or more. Of equal scores (to 12 digits) the lesser m_id comes first.
 
-    about is extents(cells). First each query meets the cell around it, then those that may hold better than its k-th."""
-    size = about.agg(F.count("*").alias("n"), F.sum("n").alias("rows")).first()
-    if not size["n"]:
+    about is extents(cells). First each query meets the bin of the cell around it, then those that may hold better than its
+    k-th. Blocks have up to per_block rows; more where there are many rows, up to BLOCK_VALUES numbers."""
+    known = about.select("cell", "n", "radius").toPandas()  # a row for each of at most MOST_CELLS cells
+    if not len(known):
         return queries.sparkSession.createDataFrame([], f"q_id {_kind(queries)}, m_id {_kind(cells)}, score double")
+    per_block = min(max(1, BLOCK_VALUES // centres.shape[1]), max(per_block, -(-int(known.n.sum()) // LEAST_BLOCKS)))
     radius = np.full(len(centres), -1.0)
-    known = about.select("cell", "radius").toPandas()  # a row for each of at most MOST_CELLS cells
     radius[known.cell.to_numpy()] = known.radius.to_numpy()
+    bins, parts = _bins(known, centres, per_block)
     asked = queries.select("id", "v", F.lit(float(threshold)).alias("least"))
-    columns = f"id {_kind(queries)}, v array<double>, least double, cell long"
-    if size["n"] == 1:
-        return _best(_met(asked.withColumn("cell", F.lit(int(known.cell.iloc[0])).cast("long")), cells, about, k, per_block), k).filter(F.col("score") >= threshold)
-    near = handed_over(_best(_met(asked.mapInPandas(_reached(centres, radius, True), columns), cells, about, k, per_block), k), "cell-nearest")
+    if len(parts) == 1:
+        return _best(_met(asked.withColumn("bins", F.array(F.lit(0))), cells, bins, parts, k, per_block), k).filter(F.col("score") >= threshold)
+    columns = f"id {_kind(queries)}, v array<double>, least double, bins array<int>"
+    near = handed_over(_best(_met(asked.mapInPandas(_reached(centres, radius, bins, True), columns), cells, bins, parts, k, per_block), k), "cell-nearest")
     full = near.groupBy("q_id").agg(F.count("*").alias("n"), F.min("score").alias("worst")).filter(F.col("n") >= k)
     asked = queries.join(full, queries["id"] == full["q_id"], "left").select("id", "v", F.greatest(F.lit(float(threshold)), F.coalesce("worst", F.lit(float(threshold)))).alias("least"))
-    far = _met(asked.mapInPandas(_reached(centres, radius, False), columns), cells, about, k, per_block)
+    far = _met(asked.mapInPandas(_reached(centres, radius, bins, False), columns), cells, bins, parts, k, per_block)
     return _best(near.unionByName(far), k).filter(F.col("score") >= threshold)

@@ -21,8 +21,8 @@ def knn_join(vectors: DataFrame, k: int = 10, threshold: float = 0.65, rows_per_
     are an error, raised before any work. Ties fall to the least m_id. asks, over id, says which rows are searched for; all
     by default.
 
-    Rows lie in cells around centres, dealt into blocks of bounded size, and meet the cells whose bound on the cosine leaves
-    a chance (see operators.cells); up to rows_per_block of them are one cell."""
+    Rows lie in cells around centres, and meet in blocks of bounded size the cells whose bound on the cosine leaves a chance
+    (see operators.cells); up to rows_per_block of them are one cell."""
     rows = cells.unit(vectors.select(F.col("id").cast("long").alias("id"), "vector"))
     about = rows.agg(F.count("*").alias("n"), F.min(F.size("v")).alias("least"), F.max(F.size("v")).alias("most")).first()
     if about["n"] and about["least"] != about["most"]:
@@ -33,7 +33,7 @@ def knn_join(vectors: DataFrame, k: int = 10, threshold: float = 0.65, rows_per_
         centres = cells.fitted(rows, about["n"], about["most"], rows_per_block)
         dealt = handed_over(cells.placed(rows, centres), "knn-cells")
     asked = dealt if asks is None else dealt.filter(asks)
-    hits = cells.searched(asked, dealt, cells.extents(dealt, rows_per_block), centres, k, threshold, rows_per_block)
+    hits = cells.searched(asked, dealt, cells.extents(dealt), centres, k, threshold, rows_per_block)
     return hits.filter("q_id != m_id")
 
 

@@ -77,7 +77,7 @@ class Neighbours:
         others = cells.unit(points.join(again, "id", "left_anti").select("id", "vector"))
         few = cells.unit(points.join(ids, "id", "left_semi").select("id", "vector", "cell", "angle"))
         few = handed_over(few, "changed-units")
-        met = cells.searched(others, few, cells.extents(few, self.points.per_cell), self.points._centres(at), self.k, self.threshold, self.points.per_cell)
+        met = cells.searched(others, few, cells.extents(few), self.points._centres(at), self.k, self.threshold, max(4000, self.points.per_cell))
         worst = rest.groupBy("q_id").agg(F.count("*").alias("n"), F.min("score").alias("worst"))
         better = met.join(worst, "q_id", "left").filter((F.coalesce("n", F.lit(0)) < self.k) | (F.round("score", 12) >= F.round("worst", 12))).select("q_id", "m_id", "score")
         better = handed_over(better, "better-hits")

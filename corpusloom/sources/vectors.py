@@ -54,7 +54,7 @@ class VectorCollection:
         return points.join(where, "id", "left").withColumn("cell", F.coalesce("cell", F.lit(NOWHERE).cast("long")))
 
     def _about(self, rows: DataFrame) -> DataFrame:
-        return cells.extents(rows.filter(F.col("cell") != NOWHERE), self.per_cell)
+        return cells.extents(rows.filter(F.col("cell") != NOWHERE))
 
     def _part(self) -> Column:
         return F.pmod(F.xxhash64("id"), F.lit(self.place_parts)).cast("long")
