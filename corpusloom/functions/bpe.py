@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Bytes of text that are handed on at once.
+STEP_BYTES = 1 << 22
 _loaded: dict = {}
 
 
@@ -25,19 +27,38 @@ def _encoding(ranks: str):
     return _loaded[ranks]
 
 
-def counted(texts: DataFrame, ranks: str, most: int = 8191) -> DataFrame:
-    """id, n_tokens, kept: the text of its first `most` tokens, without the bytes of a character that the cut parts.
-
-    texts has id (long) and text; a null text has no tokens."""
+def _counts(ranks: str, most: int):
+    """Batches of id and text -> id, n_tokens, kept, in batches of STEP_BYTES or one text."""
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = _encoding(ranks)
-        for frame in frames:
-            ids = [encoding.encode_ordinary(t or "") for t in frame.text]
-            kept = [(t or "") if len(i) <= most else encoding.decode_bytes(i[:most]).decode("utf-8", "ignore") for t, i in zip(frame.text, ids, strict=True)]
-            yield pd.DataFrame({"id": frame.id, "n_tokens": [len(i) for i in ids], "kept": kept})
+        for batch in batches:
+            out, size = [], 0
+            for id_, text in zip(batch.column("id"), batch.column("text"), strict=True):
+                text = text.as_py() or ""
+                ids = encoding.encode_ordinary(text)
+                kept = text if len(ids) <= most else encoding.decode_bytes(ids[:most]).decode("utf-8", "ignore")
+                out.append((id_.as_py(), len(ids), kept))
+                size += len(kept)
+                if size >= STEP_BYTES:
+                    yield _rows(out)
+                    out, size = [], 0
+            if out:
+                yield _rows(out)
+
+    return count
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"id": pa.int64(), "n_tokens": pa.int64(), "kept": pa.string()}
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
+
+
+def counted(texts: DataFrame, ranks: str, most: int = 8191) -> DataFrame:
+    """id, n_tokens, kept: the text of its first `most` tokens, without the bytes of a character that the cut parts.
 
-    return texts.select("id", "text").mapInPandas(count, "id long, n_tokens long, kept string")
+    texts has id (long) and text; a null text has no tokens. A worker holds the tokens of one text at a time."""
+    return texts.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(_counts(ranks, most), "id long, n_tokens long, kept string")
 
 
 def embeddable(texts: DataFrame, ranks: str, most: int = 8191) -> DataFrame:
