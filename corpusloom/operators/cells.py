@@ -21,8 +21,11 @@ from pyspark.sql.window import Window
 from corpusloom.sources.tables import handed_over
 
 #: Numbers in the vectors that centres are fitted on (32 MB), the most centres, scores that a task holds at once, numbers in
-#: the vectors of either side of a block (16 MB), blocks that the rows fill at least, if they have the size for that.
-FIT_VALUES, MOST_CELLS, CELLS_AT_ONCE, BLOCK_VALUES, LEAST_BLOCKS = 4_000_000, 4096, 1_000_000, 2_000_000, 4
+#: the vectors of either side of a block (32 MB), blocks that the rows fill at least, if they have the size for that, and the
+#: most rows of a block, however short its vectors are.
+FIT_VALUES, MOST_CELLS, CELLS_AT_ONCE, BLOCK_VALUES, LEAST_BLOCKS, BLOCK_ROWS = 4_000_000, 4096, 1_000_000, 4_000_000, 6, 62_500
+#: Queries and rows of a tile: its product and what is compared there stay in a core's cache.
+TILE = 512
 #: Slack of a bound against rounding; of a product of single precision, for each dimension.
 SLACK, SINGLE = 1e-6, 6e-8
 
@@ -31,7 +34,8 @@ def unit(vectors: DataFrame) -> DataFrame:
     """vectors with v, of length one, instead of vector; rows without an id, and null and zero vectors, are left out."""
     rows = vectors.withColumn("v", F.col("vector").cast("array<double>")).drop("vector").filter("id IS NOT NULL AND v IS NOT NULL AND exists(v, x -> x != 0)")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    return rows.withColumn("v", F.transform("v", lambda x: x / norm))
+    # Inside a lambda over v, norm would be summed anew for each component.
+    return rows.withColumn("v", F.transform(F.array(norm), lambda n: F.transform("v", lambda x: x / n))[0])
 
 
 def fitted(units: DataFrame, n: int, dim: int, per_cell: int) -> np.ndarray:
@@ -40,10 +44,10 @@ def fitted(units: DataFrame, n: int, dim: int, per_cell: int) -> np.ndarray:
     cells, rows = int(min(MOST_CELLS, max(1, -(-n // per_cell)))), max(1, FIT_VALUES // max(dim, 1))
     share = min(1.0, 1.2 * rows / max(n, 1))
     sample = units if share == 1.0 else units.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < max(1, int(share * (1 << 20))))
-    x = sample.orderBy(F.xxhash64("id")).limit(rows).select("v").toPandas()["v"]
+    x = sample.orderBy(F.xxhash64("id")).limit(rows).select("v").toArrow().column("v")
     if not len(x):
         return np.zeros((0, 0))
-    x = np.unique(np.stack(x.to_numpy()), axis=0)
+    x = np.unique(x.combine_chunks().flatten().to_numpy().reshape(len(x), -1), axis=0)
     centres = x[np.random.default_rng(0).permutation(len(x))[:cells]]
     for _ in range(5 if len(centres) > 1 else 0):
         own = np.concatenate([np.argmax(x[i : i + 1000] @ centres.T, axis=1) for i in range(0, len(x), 1000)])
@@ -127,31 +131,57 @@ def _scored(k: int):
             return out[0]
         rows = rows.sort_values("rid", kind="stable")
         x, y = np.stack(asked.v.to_numpy()), np.stack(rows.rv.to_numpy())
-        few, many = x.astype(np.float32), np.ascontiguousarray(y.T, dtype=np.float32)
-        least, slack = asked.least.to_numpy(), SLACK + (y.shape[1] + 8) * SINGLE
-        q_ids, m_ids = asked.id.to_numpy(), rows.rid.to_numpy()
-        for at in range(0, len(x), step := max(1, CELLS_AT_ONCE // len(rows))):
-            s = few[at : at + step] @ many
-            may = s >= (least[at : at + step] - slack).astype(np.float32)[:, None]
-            full = np.flatnonzero(np.count_nonzero(may, axis=1) > k)
-            if len(full):
-                worst = np.partition(s[full], s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-                may[full] &= s[full] >= (worst - np.float32(2 * slack))[:, None]
-            q, m = np.nonzero(may)
-            q += at
-            value = _products(x, y, q, m)
-            fits = value >= least[q] - SLACK
-            q, m, value = q[fits], m[fits], value[fits]
-            order = np.lexsort((m, -value.round(12), q))
-            q, m, value = q[order], m[order], value[order]
-            n = np.bincount(q - at, minlength=min(step, len(x) - at))
-            top = np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n) < k
-            out.append(pd.DataFrame({"q_id": q_ids[q[top]], "m_id": m_ids[m[top]], "score": value[top]}))
+        least, q_ids, m_ids = asked.least.to_numpy(), asked.id.to_numpy(), rows.rid.to_numpy()
+        few, many = x.astype(np.float32), y.astype(np.float32)
+        for at in range(0, len(x), TILE):
+            q, m, value = _nearest(few[at : at + TILE], many, x[at : at + TILE], y, least[at : at + TILE], k)
+            out.append(pd.DataFrame({"q_id": q_ids[q + at], "m_id": m_ids[m], "score": value}))
         return pd.concat(out)
 
     return score
 
 
+def _nearest(few: np.ndarray, many: np.ndarray, x: np.ndarray, y: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of the k best rows y of each query x that reach its least score; few and many are x and y in single
+    precision. Rows are met tile by tile; the score from which on a row may be among the k best rises with what is found."""
+    slack = SLACK + (y.shape[1] + 8) * SINGLE
+    floor = (least - slack).astype(np.float32)
+    none = np.zeros(0, np.int64)
+    best, new, n = (none, none, np.zeros(0)), [], 0
+    for at in range(0, len(y), TILE):
+        s = few @ many[at : at + TILE].T
+        may = s >= floor[:, None]
+        hit = np.flatnonzero(may)
+        if len(hit) > 4 * k * len(x) and k < s.shape[1]:
+            floor = np.maximum(floor, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] - np.float32(2 * slack))
+            hit = np.flatnonzero(s >= floor[:, None])
+        if len(hit):
+            new.append((hit // s.shape[1], hit % s.shape[1] + at))
+            n += len(hit)
+        if n > CELLS_AT_ONCE // 4:
+            best, new, n = _kept(best, new, x, y, least, k), [], 0
+            full = np.flatnonzero(np.bincount(best[0], minlength=len(x)) == k)
+            worst = np.full(len(x), np.inf)
+            np.minimum.at(worst, best[0], best[2])
+            floor[full] = np.maximum(floor[full], (worst[full] - slack).astype(np.float32))
+    return _kept(best, new, x, y, least, k)
+
+
+def _kept(best: tuple[np.ndarray, np.ndarray, np.ndarray], new: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray, y: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of the k best of each query, in order, among `best` and the pairs `new`."""
+    if not new:
+        return best
+    q, m = (np.concatenate(c) for c in zip(*new, strict=True))
+    value = _products(x, y, q, m)
+    fits = value >= least[q] - SLACK
+    q, m, value = (np.concatenate([old, c[fits]]) for old, c in zip(best, (q, m, value), strict=True))
+    order = np.lexsort((m, -value.round(12), q))
+    q, m, value = q[order], m[order], value[order]
+    n = np.bincount(q, minlength=len(x))
+    top = np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n) < k
+    return q[top], m[top], value[top]
+
+
 def _products(x: np.ndarray, y: np.ndarray, q: np.ndarray, m: np.ndarray) -> np.ndarray:
     """The products x[q] and y[m], pair by pair."""
     out = np.empty(len(q))
@@ -194,7 +224,7 @@ def searched(queries: DataFrame, cells: DataFrame, about: DataFrame, centres: np
     known = about.select("cell", "n", "radius").toPandas()  # a row for each of at most MOST_CELLS cells
     if not len(known):
         return queries.sparkSession.createDataFrame([], f"q_id {_kind(queries)}, m_id {_kind(cells)}, score double")
-    per_block = min(max(1, BLOCK_VALUES // centres.shape[1]), max(per_block, -(-int(known.n.sum()) // LEAST_BLOCKS)))
+    per_block = min(BLOCK_ROWS, max(1, BLOCK_VALUES // centres.shape[1]), max(per_block, -(-int(known.n.sum()) // LEAST_BLOCKS)))
     radius = np.full(len(centres), -1.0)
     radius[known.cell.to_numpy()] = known.radius.to_numpy()
     bins, parts = _bins(known, centres, per_block)

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from corpusloom.operators import cells, knn
 
@@ -42,3 +43,43 @@ def test_single_precision_leaves_out_no_neighbour(spark):
     for i, own in want.items():
         # Rounded scores next to a rounding step may fall either way.
         assert len(got[i]) == len(own) and np.allclose(np.sort(s[i, got[i]]), np.sort(s[i, own]), rtol=0, atol=2e-12)
+
+
+@pytest.mark.parametrize("held", [1_000_000, 40])
+def test_tiles_give_the_best_of_the_block_whatever_is_held_at_once(monkeypatch, held):
+    monkeypatch.setattr(cells, "TILE", 7)
+    monkeypatch.setattr(cells, "CELLS_AT_ONCE", held)
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(20, 6)), rng.normal(size=(90, 6))
+    y[40:70] = y[3]  # ties, across tiles
+    x, y = (v / np.linalg.norm(v, axis=1)[:, None] for v in (x, y))
+    least = np.where(np.arange(20) % 2, -1.0, 0.6)
+    q, m, value = cells._nearest(x.astype(np.float32), y.astype(np.float32), x, y, least, 4)
+    want = []
+    for i, s in enumerate(x @ y.T):
+        best = sorted((j for j in range(90) if s[j] >= least[i]), key=lambda j: (-round(s[j], 12), j))[:4]
+        want += [(i, j) for j in best]
+    assert list(zip(q.tolist(), m.tolist(), strict=True)) == want
+    assert np.allclose(value, (x @ y.T)[q, m])
+
+
+def test_a_block_has_no_more_rows_for_shorter_vectors(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(cells, "BLOCK_ROWS", 30)
+    monkeypatch.setattr(cells, "_bins", lambda known, centres, per_block, f=cells._bins: sizes.append(per_block) or f(known, centres, per_block))
+    x = np.random.default_rng(6).normal(size=(200, 2))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    got = {(r["q_id"], r["m_id"]) for r in knn.knn_join(df, 3, 0.5, 50).collect()}
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    s = x @ x.T
+    assert got == {(i, j) for i in range(200) for j in sorted(range(200), key=lambda j: (-round(s[i, j], 12), j))[:3] if i != j and s[i, j] >= 0.5}
+    assert sizes == [30]
+
+
+def test_the_norm_is_summed_once_a_vector(spark):
+    df = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None)], "id long, vector array<double>")
+    units = cells.unit(df)
+    assert [(r["id"], r["v"]) for r in units.collect()] == [(1, [0.6, 0.8])]
+    plan = units._jdf.queryExecution().optimizedPlan().toString()
+    at = plan.index("transform(array(SQRT(aggregate(")
+    assert plan.count("aggregate(", at) == 1
