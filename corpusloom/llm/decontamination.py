@@ -3,10 +3,9 @@
 1. Statistics: one census of the terms of all passages, `window` words each, of corpus and benchmark. The most
    frequent ones, without those in more than `common_share` of the passages, are the vocabulary, and all that the
    benchmark has; `terms` of them, by default 16384 and twice as many for each fourfold of 256 MB of text, up to 131072.
-2. Basis: a distributed randomised SVD of the TF-IDF passages of corpus and benchmark, each of the same weight, of rank
-   `rank`, as a rule far below the number of items. Each partition sums its part of (A'A)Q, twice; Spark adds the parts by
-   blocks of terms. The basis is fitted on `fit_documents` documents or so, chosen by hash, and all items; statistics,
-   windows and search cover every document.
+2. Basis: a distributed randomised SVD of the TF-IDF passages of the whole corpus and benchmark, each of the same weight,
+   of rank `rank`, as a rule far below the number of items. Passages are written once as places in the vocabulary; each
+   partition sums its part of (A'A)Q, twice; Spark adds the parts by blocks of terms.
 3. Candidates: windows of every whole text, half overlapping, and items, long ones in passages of up to 1.5 windows, are
    vectors of that space; every window meets every passage in one matrix product, and those whose cosine is `near` or more
    are a candidate, whatever words they share. An inverted index of each passage's `keys` rarest terms adds the windows
@@ -36,6 +35,8 @@ from corpusloom.llm import common
 
 #: Terms of which the sums are one row; cosines that a task holds at once.
 SUM_TERMS, SCORES_AT_ONCE = 256, 2_000_000
+#: Passages whose sums a task makes at once; places of one term that are added one after the other there.
+PASSAGES_AT_ONCE, IN_TURN = 8192, 64
 #: Words of an item up to which regions are checked side by side; words of a region beyond which its stretches are, at once.
 MOST_BITS, LONG_REGION = 63, 256
 #: Masks that are a table of 32 MB at most; beyond, they are searched.
@@ -63,13 +64,30 @@ def _places(doc: np.ndarray, n_docs: int) -> np.ndarray:
     return np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
 
 
-def _looked_up(h: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """The place of each hash in the vocabulary, or its length."""
-    if not len(vocabulary):
-        return np.zeros(len(h), np.int64)
-    at = np.searchsorted(vocabulary, h)
-    at[at == len(vocabulary)] = 0
-    return np.where(vocabulary[at] == h, at, len(vocabulary))
+class Places:
+    """Where hashes lie among rising ones, by a table of their leading bits."""
+
+    def __init__(self, values: np.ndarray):
+        self.n = len(values)
+        bits = min(22, self.n.bit_length() + 4)
+        self.down = np.uint64(TERM_BITS - bits)
+        n = np.bincount((values >> self.down).astype(np.int64), minlength=1 << bits)
+        self.first = np.where(n > 0, np.cumsum(n) - n, self.n).astype(np.int32)
+        self.values = np.append(values, np.uint64(2**64 - 1))
+
+    def __reduce__(self):
+        return Places, (self.values[:-1],)  # the table is made anew where it is needed
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash, or the number of values."""
+        out = self.first[(h >> self.down).astype(np.int64)].astype(np.int64)
+        left = np.flatnonzero(out < self.n)
+        while len(left):
+            found = self.values[out[left]]
+            out[left[found > h[left]]] = self.n
+            left = left[found < h[left]]
+            out[left] += 1
+        return out
 
 
 def _passage_numbers(doc: np.ndarray, place: np.ndarray, window: int) -> np.ndarray:
@@ -80,43 +98,84 @@ def _terms_of_passages(window: int):
     """The distinct terms of every passage, and a mark for the passage."""
 
     def values_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        up = np.uint64(64 - TERM_BITS)
+        up = 64 - TERM_BITS
         for _, data, offsets in common.steps(batch, limit=1 << 18):
             h, doc = _hashes(data, offsets)
             passage = _passage_numbers(doc, _places(doc, len(offsets) - 1), window)
-            order = np.lexsort((h, passage))
-            h, p = h[order], passage[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (p[1:] != p[:-1])
-            yield np.concatenate([h[new] << up, np.full(int(passage[-1]) + 1 if len(passage) else 0, PASSAGE)])
+            for first in range(0, int(passage[-1]) + 1 if len(passage) else 0, 1 << up):
+                own = slice(*np.searchsorted(passage, [first, first + (1 << up)]))
+                value = np.sort(((passage[own] - first).astype(np.uint64) << np.uint64(TERM_BITS)) | h[own])
+                new = np.concatenate([[True], value[1:] != value[:-1]])
+                yield np.concatenate([value[new] << np.uint64(up), np.full(int(passage[own][-1]) - first + 1, PASSAGE)])
 
     return values_of
 
 
-def _covariance(vocabulary: np.ndarray, idf: np.ndarray, q: np.ndarray, window: int):
-    """(A'A)q of a partition's passages, in blocks of terms."""
+def _known_passages(vocabulary: np.ndarray, idf: np.ndarray, window: int):
+    """The passages that have terms of the vocabulary, some thousand a row: the places of those terms, passage by passage,
+    how many each has, and the inverse square of its length as a vector."""
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(q.shape, np.float32)
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, size = Places(vocabulary), len(vocabulary)
         for batch in batches:
-            for _, data, offsets in common.steps(batch, limit=1 << 15):
+            for _, data, offsets in common.steps(batch, limit=1 << 20):
                 h, doc = _hashes(data, offsets)
-                passage = _passage_numbers(doc, _places(doc, len(offsets) - 1), window)
-                term = _looked_up(h, vocabulary)
-                known = term < len(vocabulary)
-                cell, n = np.unique(passage[known] * len(vocabulary) + term[known], return_counts=True)
+                term = known.of(h)
+                at = np.flatnonzero(term < size)
+                cell = np.sort(_passage_numbers(doc, _places(doc, len(offsets) - 1), window)[at] * size + term[at])
                 if not len(cell):
                     continue
-                passage, term = cell // len(vocabulary), cell % len(vocabulary)
-                w = (n * idf[term]).astype(np.float32)
+                passage, term = cell // size, cell % size
                 first = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
-                size = np.diff(np.append(first, len(w)))
-                w = w / np.repeat(np.sqrt(np.add.reduceat(w * w, first)), size)
-                p = np.add.reduceat(w[:, None] * q[term], first, axis=0)
-                back = w[:, None] * np.repeat(p, size, axis=0)
-                order = np.argsort(term, kind="stable")
-                start = np.flatnonzero(np.concatenate([[True], term[order][1:] != term[order][:-1]]))
-                total[term[order][start]] += np.add.reduceat(back[order], start, axis=0)
+                new = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+                n = np.diff(np.append(new, len(cell)))
+                scale = 1 / np.add.reduceat((n * idf[term[new]]) ** 2, np.searchsorted(new, first))
+                ends = np.append(first, len(cell))
+                for a in range(0, len(first), PASSAGES_AT_ONCE):
+                    b = min(a + PASSAGES_AT_ONCE, len(first))
+                    cols = (term[ends[a] : ends[b]].astype("<i4"), np.diff(ends[a : b + 1]).astype("<i4"), scale[a:b].astype("<f4"))
+                    yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cols], names=["terms", "sizes", "scales"])
+
+    return rows
+
+
+def _group_sums(rows: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(groups by falling size, sums of the rows of each) of groups of `size` places in `at`, one after the other; the j-th
+    places of all groups are added at once."""
+    order = np.argsort(-size, kind="stable")
+    first, n = (np.cumsum(size) - size)[order], -size[order]
+    out = np.take(rows, at[first], axis=0)
+    for j in range(1, -int(n[0])):
+        k = int(np.searchsorted(n, -j, "left"))  # those that have more than j
+        out[:k] += np.take(rows, at[first[:k] + j], axis=0)
+    return order, out
+
+
+def _covariance(weighted: np.ndarray):
+    """A'(A q) of a partition's passages without the weights of the terms on the left, in blocks of terms; weighted: q with
+    those on the right."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(weighted.shape, np.float32)
+        for batch in batches:
+            for terms, sizes, scales in zip(*(batch.column(c) for c in ("terms", "sizes", "scales")), strict=True):
+                term, size = np.frombuffer(terms.as_buffer(), "<i4"), np.frombuffer(sizes.as_buffer(), "<i4").astype(np.int64)
+                order, p = _group_sums(weighted, term, size)
+                p *= np.frombuffer(scales.as_buffer(), "<f4")[order][:, None]
+                place = np.empty(len(size), np.int64)
+                place[order] = np.arange(len(size))
+                by_term = np.argsort(term, kind="stable")
+                term = term[by_term]
+                new = np.concatenate([[True], term[1:] != term[:-1]])
+                first = np.flatnonzero(new)
+                n = np.diff(np.append(first, len(term)))
+                # A term that is met very often here is several groups.
+                turns = -(-n // IN_TURN)
+                part = np.repeat(first, turns) + IN_TURN * (np.arange(turns.sum()) - np.repeat(np.cumsum(turns) - turns, turns))
+                order, added = _group_sums(p, np.repeat(place, size)[by_term], np.diff(np.append(part, len(term))))
+                own, once = term[part][order], np.repeat(turns == 1, turns)[order]
+                total[own[once]] += added[once]
+                np.add.at(total, own[~once], added[~once])
         blocks = np.arange(0, len(total), SUM_TERMS)
         sums = [total[i : i + SUM_TERMS].tobytes() for i in blocks]
         part = np.full(len(blocks), TaskContext.get().partitionId(), np.int64)
@@ -141,19 +200,20 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([held]), pa.array([total.tobytes()], pa.binary())], names=["block", "sums"])
 
 
-def basis(fitted: DataFrame, vocabulary: np.ndarray, idf: np.ndarray, window: int, rank: int, n_sums: int = 8, seed: int = 3) -> np.ndarray:
-    """Leading right singular vectors of the TF-IDF passages of fitted (text), by a randomised range finder."""
+def basis(texts: DataFrame, vocabulary: np.ndarray, idf: np.ndarray, window: int, rank: int, n_sums: int = 12, seed: int = 3) -> np.ndarray:
+    """Leading right singular vectors of the TF-IDF passages of texts (text), by a randomised range finder."""
+    passages = common.handed_over(texts.mapInArrow(_known_passages(vocabulary, idf, window), "terms binary, sizes binary, scales binary"), "known-passages")
     size = len(vocabulary)
     rank = min(rank, size)
     q, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, min(size, rank + 8))))
 
     def covariance(x: np.ndarray) -> np.ndarray:
-        parts = fitted.coalesce(n_sums).mapInArrow(_covariance(vocabulary, idf, x.astype(np.float32), window), "block long, part long, sums binary")
+        parts = passages.coalesce(n_sums).mapInArrow(_covariance((idf[:, None] * x).astype(np.float32)), "block long, part long, sums binary")
         sums = parts.repartition(n_sums, "block").sortWithinPartitions("block", "part").mapInArrow(_added, "block long, sums binary").toArrow()
         out = np.zeros(x.shape)
         for block, rows in zip(sums.column("block").to_pylist(), sums.column("sums"), strict=True):
             out[block : block + SUM_TERMS] = np.frombuffer(rows.as_buffer(), np.float32).reshape(-1, x.shape[1])
-        return out
+        return idf[:, None] * out
 
     q, _ = np.linalg.qr(covariance(q))
     values, vectors = np.linalg.eigh(q.T @ covariance(q))
@@ -278,15 +338,16 @@ class Index:
         flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         unit = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
         order = np.argsort(flat, kind="stable")
-        self.key, first = np.unique(flat[order], return_index=True)
+        key, first = np.unique(flat[order], return_index=True)
         self.units, self.first = unit[order], np.append(first, len(flat))
         self.owner, self.latent = owner, latent
+        self.places = Places(key)
 
     def met(self, h: np.ndarray, where: np.ndarray, follows: np.ndarray, shared: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(window, passage, first and last word among its keys) where a window, blocks w and w + 1, has `shared` different
         keys of the passage; follows[b]: block b has the same text as b - 1."""
-        key = _looked_up(h, self.key)
-        hit = np.flatnonzero(key < len(self.key))
+        key = self.places.of(h)
+        hit = np.flatnonzero(key < self.places.n)
         key, block = key[hit], where[hit]
         n = self.first[key + 1] - self.first[key]
         row = np.repeat(np.arange(len(key)), n)
@@ -308,15 +369,17 @@ class Index:
 
 def _search(items: Items, index: Index, words: np.ndarray, vocabulary: np.ndarray, vectors: np.ndarray, window: int, near: float, shared: int, verbatim: float, paraphrase: float, least_common: int):
     half = window // 2
+    known_terms, item_words = Places(vocabulary), Places(words)
 
     def latent(term: np.ndarray, block: np.ndarray, follows: np.ndarray) -> np.ndarray:
         """Windows (blocks w and w + 1 of one text) as vectors of length 1, or 0 where no term is known."""
-        known = np.flatnonzero(term < len(vocabulary))
+        known = np.flatnonzero(term < known_terms.n)
         sums = np.zeros((len(follows), vectors.shape[1]), np.float32)
         if len(known):
             own = block[known]
             first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            sums[own[first]] = np.add.reduceat(vectors[term[known]], first, axis=0)
+            order, added = _group_sums(vectors, term[known], np.diff(np.append(first, len(own))))
+            sums[own[first][order]] = added
         on = np.flatnonzero(follows)
         out = sums.copy()
         out[on - 1] += sums[on]
@@ -326,7 +389,7 @@ def _search(items: Items, index: Index, words: np.ndarray, vocabulary: np.ndarra
     def candidates(h: np.ndarray, block: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window, passage, cosine) of those that lie near each other in the latent space; the index adds those that share
         key terms, for words that the vocabulary doesn't have."""
-        w = latent(_looked_up(h, vocabulary), block, follows)
+        w = latent(known_terms.of(h), block, follows)
         win, unit, _, _ = index.met(h, block, follows, shared)
         found = [(win, unit, np.einsum("ij,ij->i", w[win], index.latent[unit]))]
         for at in range(0, len(w), step := max(1, SCORES_AT_ONCE // len(index.latent))):
@@ -365,7 +428,7 @@ def _search(items: Items, index: Index, words: np.ndarray, vocabulary: np.ndarra
                 best: dict[tuple, tuple] = {}
                 if len(h):
                     text, item, lo, hi, cosine = regions(h, doc, len(ids))
-                    for r, said in items.verdicts(item, lo, hi, _looked_up(h, words), verbatim, paraphrase, least_common):
+                    for r, said in items.verdicts(item, lo, hi, item_words.of(h), verbatim, paraphrase, least_common):
                         d, i = int(text[r]), int(item[r])
                         if (d, i) not in best or best[d, i][1] < said[0]:
                             best[d, i] = (float(cosine[r]), *said)
@@ -399,7 +462,8 @@ def _asked(rows: pa.Table, frequency: dict[int, int], vocabulary: np.ndarray, ve
         told = [int(np.searchsorted(words, x)) if x in words else -1 for x in said]
         answers.append((set(told), 2 / 3) if told else (set(np.searchsorted(words, rarest(h, n_answer)).tolist()), 1 / 3))
     parts = [(i, x) for i, h in enumerate(hashes) for x in np.array_split(h, -(-2 * len(h) // (3 * window)))]
-    latent = np.stack([vectors[_looked_up(x, vocabulary)].sum(axis=0) for _, x in parts])
+    known = Places(vocabulary)
+    latent = np.stack([vectors[known.of(x)].sum(axis=0) for _, x in parts])
     norm = np.sqrt((latent**2).sum(axis=1, keepdims=True))
     latent = np.where(norm > 0, latent / np.where(norm == 0, 1, norm), 0).astype(np.float32)
     items = Items([int(x) for x in rows.column("item_id").to_pylist()], [np.searchsorted(words, h) for h in hashes], answers)
@@ -408,7 +472,7 @@ def _asked(rows: pa.Table, frequency: dict[int, int], vocabulary: np.ndarray, ve
 
 def leaks(
     docs: DataFrame, benchmark: DataFrame, window: int = 24, rank: int = 96, terms: int | None = None, near: float = 0.5, common_share: float = 0.01, keys: int = 10, shared: int = 2,
-    verbatim: float = 0.8, paraphrase: float = 0.45, least_common: int = 8, n_answer: int = 6, fit_documents: int = 20_000, items_at_once: int = 20_000,
+    verbatim: float = 0.8, paraphrase: float = 0.45, least_common: int = 8, n_answer: int = 6, items_at_once: int = 20_000,
 ) -> DataFrame:
     """doc_id, item_id, cosine, common_words, item_words, kind of each document and benchmark item that it leaks.
 
@@ -419,15 +483,15 @@ def leaks(
     asked = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"), answer.alias("answer"))
     asked = asked.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     blocks = -(-asked.count() // items_at_once)
-    about = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    if not blocks or not about["bytes"]:
+    n_bytes = common.text_bytes(docs)
+    if not blocks or not n_bytes:
         return spark.createDataFrame([], DDL)
     both = docs.select("text").unionByName(asked.select("text"))
-    found = common.handed_over(common.census(both, _terms_of_passages(window), about["bytes"] // 6, TERM_BITS, 2), "term-frequency")
+    found = common.handed_over(common.census(both, _terms_of_passages(window), n_bytes // 6, TERM_BITS, 2), "term-frequency")
     passages = PASSAGE >> np.uint64(64 - TERM_BITS)
     n_passages = (found.filter(F.col("value") == int(passages)).agg(F.sum("n")).first()[0] or 1) if blocks else 1
     if terms is None:
-        terms = 1 << min(17, 14 + max(0, (int(about["bytes"]) >> 28).bit_length() // 2))
+        terms = 1 << min(17, 14 + max(0, (n_bytes >> 28).bit_length() // 2))
     telling = found.filter((F.col("n") <= max(2, common_share * n_passages)) & (F.col("value") != int(passages)))
     asked_terms = common.handed_over(asked.select("text").mapInArrow(_own_terms, "value long").distinct(), "item-terms")
     first = telling.join(asked_terms.withColumn("own", F.lit(0)), "value", "left").orderBy(F.coalesce("own", F.lit(1)), F.desc("n"), "value")
@@ -435,10 +499,8 @@ def leaks(
     value, n = (frequent.column(c).to_numpy() for c in ("value", "n"))
     order = np.argsort(value)
     vocabulary, idf = value[order].astype(np.uint64), np.log((n_passages + 1) / (n[order] + 1)) + 1e-3
-    share = max(1, round(about["n"] / fit_documents))
-    fitted = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text").unionByName(asked.select("text"))
     if len(vocabulary):
-        v = basis(common.handed_over(fitted, "fitted"), vocabulary, idf, window, rank)
+        v = basis(both, vocabulary, idf, window, rank, max(12, n_bytes >> 29))
         vectors = np.concatenate([idf[:, None] * v, np.zeros((1, v.shape[1]))]).astype(np.float32)
     else:
         vectors = np.zeros((1, 1), np.float32)

@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from corpusloom.llm import decontamination
+from corpusloom.llm import common, decontamination
 
 
 def _planted(rng, words, share, sizes):
@@ -86,6 +87,53 @@ def test_the_latent_search_finds_synonyms_that_the_index_does_not(spark):
     assert len(by_index & own) < 0.7 * len(own)
 
 
+def test_every_document_forms_the_basis(spark):
+    """Which forms belong together is told only by documents that one half of all ids, by hash, doesn't have."""
+    rows, bench = _synonyms(3)
+    ids = [r["id"] for r in spark.range(4000).filter("pmod(xxhash64(id), 2) = 1").limit(len(rows)).collect()]
+    named = dict(zip((doc_id for doc_id, _ in rows), ids, strict=True))
+    docs = spark.createDataFrame([(named[doc_id], text) for doc_id, text in rows], "doc_id long, text string").repartition(4)
+    others = spark.range(10_000, 44_000).selectExpr("id AS doc_id", "concat_ws(' ', 'q', id % 997, id % 991) AS text")
+    items = spark.createDataFrame(bench, "item_id long, text string, answer string")
+
+    def own(**options):
+        got = decontamination.leaks(docs.unionByName(others), items, **options).collect()
+        return {(r["doc_id"], r["item_id"]) for r in got if r["doc_id"] == named.get(5000 + r["item_id"])}
+
+    accepted = own(near=-2.0)
+    assert len(accepted) > 20
+    assert len(own() & accepted) >= 0.9 * len(accepted)
+
+
+def test_sums_of_passages_equal_plain_products(monkeypatch):
+    monkeypatch.setattr(decontamination, "PASSAGES_AT_ONCE", 7)
+    monkeypatch.setattr(decontamination, "IN_TURN", 3)
+    monkeypatch.setattr(decontamination.TaskContext, "get", classmethod(lambda cls: type("Task", (), {"partitionId": lambda self: 0})()))
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 90, n) ** 2 // 90) for n in (0, 1, 24, 25, 700, 3)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    every = np.unique(decontamination._hashes(*next(common.steps(batch))[1:])[0])
+    vocabulary = every[::2]
+    for h in (vocabulary, vocabulary[:1], vocabulary[:0]):
+        want = [int(np.flatnonzero(h == x)[0]) if x in h else len(h) for x in every]
+        assert decontamination.Places(h).of(every).tolist() == want
+    idf, q, place = rng.random(len(vocabulary)) + 0.1, rng.normal(size=(len(vocabulary), 5)), {int(x): i for i, x in enumerate(vocabulary)}
+    a = []
+    for text in texts:
+        said = (text or "").split()
+        for at in range(0, len(said), 24):
+            row = np.zeros(len(vocabulary))
+            for x in decontamination._hashes(*next(common.steps(pa.RecordBatch.from_arrays([pa.array([" ".join(said[at : at + 24])])], names=["text"])))[1:])[0]:
+                if int(x) in place:
+                    row[place[int(x)]] += idf[place[int(x)]]
+            a.append(row / (np.linalg.norm(row) or 1))
+    rows = list(decontamination._known_passages(vocabulary, idf, 24)(iter([batch])))
+    (sums,) = decontamination._covariance((idf[:, None] * q).astype(np.float32))(iter(rows))
+    got = np.concatenate([np.frombuffer(x.as_buffer(), np.float32) for x in sums.column("sums")]).reshape(q.shape) * idf[:, None]
+    assert len(rows) > 3
+    np.testing.assert_allclose(got, np.array(a).T @ (np.array(a) @ q), atol=1e-4)
+
+
 def test_clashing_columns_and_texts_over_a_step(spark):
     rng = random.Random(8)
     item = [f"x{rng.randrange(900)}" for _ in range(40)]
