@@ -202,12 +202,11 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def basis(texts: DataFrame, vocabulary: np.ndarray, idf: np.ndarray, window: int, rank: int, n_sums: int = 12, seed: int = 3) -> np.ndarray:
     """Leading right singular vectors of the TF-IDF passages of texts (text), by a randomised range finder."""
-    passages = common.handed_over(texts.mapInArrow(_known_passages(vocabulary, idf, window), "terms binary, sizes binary, scales binary"), "known-passages")
     size = len(vocabulary)
     rank = min(rank, size)
     q, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, min(size, rank + 8))))
 
-    def covariance(x: np.ndarray) -> np.ndarray:
+    def covariance(passages: DataFrame, x: np.ndarray) -> np.ndarray:
         parts = passages.coalesce(n_sums).mapInArrow(_covariance((idf[:, None] * x).astype(np.float32)), "block long, part long, sums binary")
         sums = parts.repartition(n_sums, "block").sortWithinPartitions("block", "part").mapInArrow(_added, "block long, sums binary").toArrow()
         out = np.zeros(x.shape)
@@ -215,8 +214,10 @@ def basis(texts: DataFrame, vocabulary: np.ndarray, idf: np.ndarray, window: int
             out[block : block + SUM_TERMS] = np.frombuffer(rows.as_buffer(), np.float32).reshape(-1, x.shape[1])
         return idf[:, None] * out
 
-    q, _ = np.linalg.qr(covariance(q))
-    values, vectors = np.linalg.eigh(q.T @ covariance(q))
+    with common.Scratch(texts.sparkSession) as own:
+        passages = own.handed_over(texts.mapInArrow(_known_passages(vocabulary, idf, window), "terms binary, sizes binary, scales binary"), "known-passages")
+        q, _ = np.linalg.qr(covariance(passages, q))
+        values, vectors = np.linalg.eigh(q.T @ covariance(passages, q))
     return q @ vectors[:, np.argsort(-values)[:rank]]
 
 
@@ -486,34 +487,35 @@ def leaks(
     n_bytes = common.text_bytes(docs)
     if not blocks or not n_bytes:
         return spark.createDataFrame([], DDL)
-    both = docs.select("text").unionByName(asked.select("text"))
-    found = common.handed_over(common.census(both, _terms_of_passages(window), n_bytes // 6, TERM_BITS, 2), "term-frequency")
-    passages = PASSAGE >> np.uint64(64 - TERM_BITS)
-    n_passages = (found.filter(F.col("value") == int(passages)).agg(F.sum("n")).first()[0] or 1) if blocks else 1
-    if terms is None:
-        terms = 1 << min(17, 14 + max(0, (n_bytes >> 28).bit_length() // 2))
-    telling = found.filter((F.col("n") <= max(2, common_share * n_passages)) & (F.col("value") != int(passages)))
-    asked_terms = common.handed_over(asked.select("text").mapInArrow(_own_terms, "value long").distinct(), "item-terms")
-    first = telling.join(asked_terms.withColumn("own", F.lit(0)), "value", "left").orderBy(F.coalesce("own", F.lit(1)), F.desc("n"), "value")
-    frequent = first.limit(terms).select("value", "n").toArrow()
-    value, n = (frequent.column(c).to_numpy() for c in ("value", "n"))
-    order = np.argsort(value)
-    vocabulary, idf = value[order].astype(np.uint64), np.log((n_passages + 1) / (n[order] + 1)) + 1e-3
-    if len(vocabulary):
-        v = basis(both, vocabulary, idf, window, rank, max(12, n_bytes >> 29))
-        vectors = np.concatenate([idf[:, None] * v, np.zeros((1, v.shape[1]))]).astype(np.float32)
-    else:
-        vectors = np.zeros((1, 1), np.float32)
     parts = []
-    for block in range(blocks):
-        block_items = asked.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        rows = block_items.orderBy("item_id", "text").toArrow()
-        if not rows.num_rows:
-            continue
-        known = block_items.select("text").mapInArrow(_own_terms, "value long").distinct().join(found, "value").toArrow()
-        frequency = dict(zip(known.column("value").to_pylist(), known.column("n").to_pylist(), strict=True))
-        items, index, words = _asked(rows, frequency, vocabulary, vectors, window, keys, n_answer)
-        parts.append(docs.mapInArrow(_search(items, index, words, vocabulary, vectors, window, near, shared, verbatim, paraphrase, least_common), DDL))
+    with common.Scratch(spark) as own:
+        both = docs.select("text").unionByName(asked.select("text"))
+        found = own.handed_over(common.census(both, _terms_of_passages(window), n_bytes // 6, TERM_BITS, 2), "term-frequency")
+        passages = PASSAGE >> np.uint64(64 - TERM_BITS)
+        n_passages = (found.filter(F.col("value") == int(passages)).agg(F.sum("n")).first()[0] or 1) if blocks else 1
+        if terms is None:
+            terms = 1 << min(17, 14 + max(0, (n_bytes >> 28).bit_length() // 2))
+        telling = found.filter((F.col("n") <= max(2, common_share * n_passages)) & (F.col("value") != int(passages)))
+        asked_terms = own.handed_over(asked.select("text").mapInArrow(_own_terms, "value long").distinct(), "item-terms")
+        first = telling.join(asked_terms.withColumn("own", F.lit(0)), "value", "left").orderBy(F.coalesce("own", F.lit(1)), F.desc("n"), "value")
+        frequent = first.limit(terms).select("value", "n").toArrow()
+        value, n = (frequent.column(c).to_numpy() for c in ("value", "n"))
+        order = np.argsort(value)
+        vocabulary, idf = value[order].astype(np.uint64), np.log((n_passages + 1) / (n[order] + 1)) + 1e-3
+        if len(vocabulary):
+            v = basis(both, vocabulary, idf, window, rank, max(12, n_bytes >> 29))
+            vectors = np.concatenate([idf[:, None] * v, np.zeros((1, v.shape[1]))]).astype(np.float32)
+        else:
+            vectors = np.zeros((1, 1), np.float32)
+        for block in range(blocks):
+            block_items = asked.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+            rows = block_items.orderBy("item_id", "text").toArrow()
+            if not rows.num_rows:
+                continue
+            known = block_items.select("text").mapInArrow(_own_terms, "value long").distinct().join(found, "value").toArrow()
+            frequency = dict(zip(known.column("value").to_pylist(), known.column("n").to_pylist(), strict=True))
+            items, index, words = _asked(rows, frequency, vocabulary, vectors, window, keys, n_answer)
+            parts.append(docs.mapInArrow(_search(items, index, words, vocabulary, vectors, window, near, shared, verbatim, paraphrase, least_common), DDL))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

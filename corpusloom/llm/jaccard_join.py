@@ -362,26 +362,33 @@ def _linked(percent: int):
     return verify
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, fine: DataFrame, percent: int, width: int) -> DataFrame:
-    """The links among pairs; of large sets only the pairs that their fine points let pass move whole sets."""
-    pairs = common.handed_over(pairs.distinct(), "pairs")
+def _verified(docs: DataFrame, pairs: DataFrame, fine: DataFrame, percent: int, width: int, to: common.Scratch) -> DataFrame:
+    """The links among pairs, written among the tables of `to`; of large sets only the pairs that their fine points let pass move whole sets."""
+    with common.Scratch(docs.sparkSession) as own:
+        both = _with_sets(docs, own.handed_over(pairs.distinct(), "pairs"), fine, percent, width, own)
+        return to.handed_over(both.mapInArrow(_linked(percent), "a long, b long"), "links")
+
+
+def _with_sets(docs: DataFrame, pairs: DataFrame, fine: DataFrame, percent: int, width: int, own: common.Scratch) -> DataFrame:
+    """a, b, sa, sb: pairs that are worth it, with the whole sets of both."""
     sides = [fine.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"f{x}")) for x in "ab"]
     large = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "na", "nb", "fa", "fb").mapInArrow(_still_near(percent), "a long, b long")
     ids = fine.select("cid")
     small = pairs.join(ids, pairs["a"] == ids["cid"], "left_anti").unionByName(pairs.join(ids, pairs["a"] == ids["cid"], "left_semi").join(ids, pairs["b"] == ids["cid"], "left_anti"))
-    pairs = common.handed_over(small.unionByName(large), "pairs-left")
-    needed = common.handed_over(pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct(), "needed")
+    pairs = own.handed_over(small.unionByName(large), "pairs-left")
+    needed = own.handed_over(pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct(), "needed")
     sets = docs.select("text").mapInArrow(_sets(common.bitmap_of(needed, "cid", needed.count()), width), "cid long, s binary").join(needed, "cid", "left_semi").dropDuplicates(["cid"])
-    sets = common.handed_over(sets, "sets")
+    sets = own.handed_over(sets, "sets")
     both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b")
-    return common.handed_over(both.select("a", "b", "sa", "sb").mapInArrow(_linked(percent), "a long, b long"), "links")
+    return both.select("a", "b", "sa", "sb")
 
 
 def _common_shingles(docs: DataFrame, width: int, common_in: int, most_common: int) -> tuple[np.ndarray, np.ndarray]:
     """Leading bits, rising, and rank of the shingles of more than common_in documents, of the most common ones if they are many."""
     many = common.census(docs.select("text"), _each_class_once(width), common.text_bytes(docs) // 6, CENSUS_BITS, common_in + 1)
-    many = common.handed_over(many, "common-shingles")
-    rows = (many if many.count() <= most_common else many.orderBy(F.desc("n"), "value").limit(most_common)).toArrow()
+    with common.Scratch(docs.sparkSession) as own:
+        many = own.handed_over(many, "common-shingles")
+        rows = (many if many.count() <= most_common else many.orderBy(F.desc("n"), "value").limit(most_common)).toArrow()
     value, n = (rows.column(c).to_numpy() for c in ("value", "n"))
     order = np.argsort(value)
     return value[order].astype(np.uint64), np.frexp(n[order].astype(float))[1].astype(np.uint8)
@@ -390,22 +397,33 @@ def _common_shingles(docs: DataFrame, width: int, common_in: int, most_common: i
 def linked(docs: DataFrame, percent: int = 80, width: int = 5, most_in_bucket: int = 2000, common_in: int = 50, most_common: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every document; docs needs doc_id and text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    with common.Scratch(docs.sparkSession) as own:
+        return common.handed_over(_components(docs, percent, width, most_in_bucket, common_in, most_common, own), "components")
+
+
+def _in_buckets(classes: DataFrame, percent: int, most_in_bucket: int, to: common.Scratch) -> DataFrame:
+    """key, cid, rest, blocks, own, large: the classes in buckets of two or more, written among the tables of `to`."""
+    with common.Scratch(classes.sparkSession) as own:
+        n_keys = classes.agg(F.sum(F.size("keys"))).first()[0] or 0
+        shared = own.handed_over(common.census(classes.select("n", "keys"), _marked_keys(percent), n_keys, KEY_BITS, 2, flagged=True), "shared")
+        shared = common.bitmap_of(shared.withColumn("key", F.shiftleft("value", 65 - KEY_BITS)), "key", shared.count())
+        members = own.handed_over(classes.select("cid", "n", "keys").mapInArrow(_hits(shared), "key long, cid long, n long, rest long"), "members")
+        # Of buckets with the same members the first in the order stays: in it the most is left of each set.
+        same = members.groupBy("key").agg(
+            F.count("*").alias("c"), F.expr("sum(cast(cid AS decimal(20,0)))").alias("s1"), F.bit_xor(F.xxhash64("cid")).alias("s2"), F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.sum("rest").alias("left")
+        )
+        kept = own.handed_over(same.filter("lo != hi").groupBy("c", "s1", "s2", "lo", "hi").agg(F.max_by("key", "left").alias("key")).select("key", "c"), "buckets")
+        blocks = F.greatest(F.ceil(F.col("c") / F.lit(most_in_bucket)), F.lit(1)).cast("int")
+        rows = members.join(kept.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+        return to.handed_over(rows.select("key", "cid", "rest", "blocks", "own", (F.col("n") > FINE_FROM).alias("large")), "in-buckets")
+
+
+def _components(docs: DataFrame, percent: int, width: int, most_in_bucket: int, common_in: int, most_common: int, own: common.Scratch) -> DataFrame:
     common_ones = _common_shingles(docs, width, common_in, most_common)
-    points = common.handed_over(docs.mapInArrow(_points(percent, width, common_ones), "doc_id long, cid long, n long, point binary, fine binary, keys array<long>"), "points")
-    classes = common.handed_over(points.filter("n > 0").drop("doc_id").dropDuplicates(["cid"]), "classes")
+    points = own.handed_over(docs.mapInArrow(_points(percent, width, common_ones), "doc_id long, cid long, n long, point binary, fine binary, keys array<long>"), "points")
+    classes = own.handed_over(points.filter("n > 0").drop("doc_id").dropDuplicates(["cid"]), "classes")
     fine = classes.filter("fine IS NOT NULL").select("cid", "n", "fine")
-    n_keys = classes.agg(F.sum(F.size("keys"))).first()[0] or 0
-    shared = common.handed_over(common.census(classes.select("n", "keys"), _marked_keys(percent), n_keys, KEY_BITS, 2, flagged=True), "shared")
-    shared = common.bitmap_of(shared.withColumn("key", F.shiftleft("value", 65 - KEY_BITS)), "key", shared.count())
-    members = common.handed_over(classes.select("cid", "n", "keys").mapInArrow(_hits(shared), "key long, cid long, n long, rest long"), "members")
-    # Of buckets with the same members the first in the order stays: in it the most is left of each set.
-    same = members.groupBy("key").agg(
-        F.count("*").alias("c"), F.expr("sum(cast(cid AS decimal(20,0)))").alias("s1"), F.bit_xor(F.xxhash64("cid")).alias("s2"), F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.sum("rest").alias("left")
-    )
-    kept = common.handed_over(same.filter("lo != hi").groupBy("c", "s1", "s2", "lo", "hi").agg(F.max_by("key", "left").alias("key")).select("key", "c"), "buckets")
-    blocks = F.greatest(F.ceil(F.col("c") / F.lit(most_in_bucket)), F.lit(1)).cast("int")
-    in_buckets = members.join(kept.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    in_buckets = common.handed_over(in_buckets.select("key", "cid", "rest", "blocks", "own", (F.col("n") > FINE_FROM).alias("large")), "in-buckets")
+    in_buckets = _in_buckets(classes, percent, most_in_bucket, own)
 
     def search(rows: DataFrame, full: bool) -> DataFrame:
         """Rows carry ids only until they are dealt out; points join them there, fine ones where two of them can meet."""
@@ -414,10 +432,10 @@ def linked(docs: DataFrame, percent: int = 80, width: int = 5, most_in_bucket: i
         rows = rows.select("key", "bi", "bj", "cid", "rest", "n", "point", *more, *([F.when(F.col("fines"), F.col("fine")).alias("fine")] if full else []))
         return rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "cid").mapInArrow(_bucket_pairs(percent, full), "a long, b long")
 
-    first = _verified(docs, search(in_buckets.select("key", F.col("own").alias("bi"), F.lit(0).alias("bj"), "cid", "rest"), False), fine, percent, width)
+    first = _verified(docs, search(in_buckets.select("key", F.col("own").alias("bi"), F.lit(0).alias("bj"), "cid", "rest"), False), fine, percent, width, own)
     labels = graph.components(first)
     labelled = in_buckets.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    labelled = common.handed_over(labelled, "labelled")
+    labelled = own.handed_over(labelled, "labelled")
     by_label = labelled.groupBy("key", "label").agg(F.count("*").alias("k"), F.max("large").alias("large"))
     apart = by_label.groupBy("key").agg(F.count("*").alias("labels"), (F.count_if("large") > 1).alias("fines"), F.max_by("label", "k").alias("top"), (F.sum("k") - F.max("k")).alias("others")).filter("labels > 1")
     dealt = labelled.join(apart, "key").withColumn("other", F.col("label") != F.col("top"))
@@ -427,12 +445,12 @@ def linked(docs: DataFrame, percent: int = 80, width: int = 5, most_in_bucket: i
     stays = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.col("own").alias("bi"), j.alias("bj"), F.lit(False).alias("visits")))
     visits = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(i.alias("bi"), F.col("part").alias("bj"), F.lit(True).alias("visits")))
     dealt = dealt.withColumn("at", F.explode(F.when((F.col("blocks") > 1) & F.col("other"), F.concat(stays, visits)).otherwise(stays))).select("key", "at.*", "cid", "rest", "label", "fines")
-    second = _verified(docs, search(dealt, True), fine, percent, width)
+    second = _verified(docs, search(dealt, True), fine, percent, width, own)
     if second.limit(1).count():
         labels = graph.components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(second))
     slim = points.select("doc_id", "cid", "n")
     least = slim.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("m")).join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    least = common.handed_over(least, "class-labels")
+    least = own.handed_over(least, "class-labels")
     heads = least.select("cid", "label").join(least.groupBy("label").agg(F.min("m").alias("component_id")), "label").select("cid", "component_id")
     return slim.join(heads, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 

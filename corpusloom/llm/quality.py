@@ -13,6 +13,7 @@ gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -88,7 +89,9 @@ class Kernel:
         self.b = rng.uniform(0, 2 * np.pi, n_features)
 
     def __call__(self, batch: pa.RecordBatch) -> np.ndarray:
-        x = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in STATISTICS], axis=1)
+        return self.features(np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in STATISTICS], axis=1))
+
+    def features(self, x: np.ndarray) -> np.ndarray:
         x = np.clip((x - self.mean) / self.std, -8, 8)
         return np.concatenate([np.sqrt(2 / len(self.b)) * np.cos(x @ self.w + self.b), np.ones((len(x), 1))], axis=1)
 
@@ -106,17 +109,47 @@ def _normal_equations(kernel: Kernel):
     return sums
 
 
-def _scored(kernel: Kernel, beta: np.ndarray, steps_x: np.ndarray | None, steps_y: np.ndarray | None, keep: list[str]):
+def _raw(kernel: Kernel, beta: np.ndarray):
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(kernel(batch) @ beta)], names=["label", "score"])
+
+    return score
+
+
+def _scored(model: Model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = kernel(batch) @ beta
-            if steps_x is not None:
-                raw = 0.98 * np.interp(raw, steps_x, steps_y) + 0.02 * np.clip(raw, 0, 1)  # raw parts ties of the calibrated steps
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(raw)], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("fold"), pa.array(model.score(model.kernel(batch)))], names=["doc_id", "fold", "score"])
 
     return score
 
 
+def _kept(model: Model, threshold: float):
+    """The rows, as they are, whose text has a score of threshold or more."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [model.score(model.kernel.features(statistics(data, offsets))) for _, data, offsets in common.steps(batch)]
+            yield batch.filter(pa.array(np.concatenate([*scores, np.zeros(0)]) >= threshold))
+
+    return keep
+
+
+class Model(NamedTuple):
+    """Kernel, weights of its features, and the steps of the calibration."""
+
+    kernel: Kernel
+    beta: np.ndarray
+    x: np.ndarray
+    y: np.ndarray
+
+    def score(self, features: np.ndarray) -> np.ndarray:
+        raw = features @ self.beta
+        raw = 0.98 * np.interp(raw, self.x, self.y) + 0.02 * np.clip(raw, 0, 1)  # raw parts ties of the calibrated steps
+        return np.clip(raw, 0, 1)
+
+
 def isotonic(x: np.ndarray, total: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Monotone means of total / weight over rising x: adjacent violators are pooled."""
     blocks: list[list[float]] = []
@@ -128,36 +161,54 @@ def isotonic(x: np.ndarray, total: np.ndarray, weight: np.ndarray) -> np.ndarray
     return np.repeat([t / w for t, w, _ in blocks], [int(k) for *_, k in blocks])
 
 
-def scored(docs: DataFrame, labels: DataFrame, n_features: int = 256, ridge: float = 1e-3, seed: int = 7, n_sums: int = 32, folds: int = 5, row_key: str | None = None) -> DataFrame:
-    """doc_id, held_out, score (0 to 1). Rows of fold 0 are never learned from; the last fold calibrates.
-
-    docs needs doc_id and text; labels doc_id and quality (0 or 1). row_key, a long column of docs, comes back with each row."""
-    key = [F.col(row_key).cast("long").alias("row_key")] if row_key else []
-    ddl = "row_key long, " if row_key else ""
+def _statistics_of(docs: DataFrame, folds: int, from_fold: int = 0) -> DataFrame:
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(folds)).cast("int")
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), fold.alias("fold"), *key)
-    slim = slim.select("doc_id", "fold", *[c for c in slim.columns if c == "row_key"], "text")
-    stats = common.handed_over(slim.mapInArrow(_statistics, f"doc_id long, fold int, {ddl}" + ", ".join(f"{c} double" for c in STATISTICS)), "statistics")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fold.alias("fold"), F.col("text").cast("string").alias("text"))
+    return slim.filter(F.col("fold") >= from_fold).mapInArrow(_statistics, "doc_id long, fold int, " + ", ".join(f"{c} double" for c in STATISTICS))
+
+
+def fitted(stats: DataFrame, labels: DataFrame, n_features: int = 256, ridge: float = 1e-3, seed: int = 7, n_sums: int = 32, folds: int = 5) -> Model | None:
+    """A model of the labelled rows but those of fold 0; None where there are none. stats: doc_id, fold and STATISTICS."""
     marks = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").cast("double").alias("label"))
-    learn = common.handed_over(stats.filter("fold != 0").join(marks, "doc_id").select("fold", "label", *STATISTICS), "labelled")
-    about = learn.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m_{c}") for c in STATISTICS], *[F.stddev_pop(c).alias(f"s_{c}") for c in STATISTICS]).head()
-    held, own = F.col("fold") == 0, ["row_key"] if row_key else []
-    if not about["n"]:
-        return stats.select("doc_id", held.alias("held_out"), F.lit(0.5).alias("score"), *own)
-    kernel = Kernel([about[f"m_{c}"] for c in STATISTICS], [max(about[f"s_{c}"], 1e-6) for c in STATISTICS], n_features, seed)
-    fit, check = learn.filter(F.col("fold") != folds - 1), learn.filter(F.col("fold") == folds - 1)
-    if not fit.limit(1).count():
-        fit = learn
-    size = n_features + 1
-    parts = fit.coalesce(n_sums).mapInArrow(_normal_equations(kernel), "sums binary").collect()
-    total = sum(np.frombuffer(r["sums"]).reshape(size, size + 1) for r in parts)
-    beta = np.linalg.solve(total[:, :size] + ridge * total[size - 1, size - 1] * np.eye(size) / size, total[:, size])
-    bins = check.mapInArrow(_scored(kernel, beta, None, None, ["label"]), "label double, score double")
-    bins = bins.groupBy(F.round(F.least(F.greatest("score", F.lit(-0.5)), F.lit(1.5)), 3).alias("x")).agg(F.sum("label").alias("t"), F.count("*").alias("w")).orderBy("x").collect()
+    with common.Scratch(stats.sparkSession) as own:
+        learn = own.handed_over(stats.filter("fold != 0").join(marks, "doc_id").select("fold", "label", *STATISTICS), "labelled")
+        about = learn.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m_{c}") for c in STATISTICS], *[F.stddev_pop(c).alias(f"s_{c}") for c in STATISTICS]).head()
+        if not about["n"]:
+            return None
+        kernel = Kernel([about[f"m_{c}"] for c in STATISTICS], [max(about[f"s_{c}"], 1e-6) for c in STATISTICS], n_features, seed)
+        fit, check = learn.filter(F.col("fold") != folds - 1), learn.filter(F.col("fold") == folds - 1)
+        if not fit.limit(1).count():
+            fit = learn
+        size = n_features + 1
+        parts = fit.coalesce(n_sums).mapInArrow(_normal_equations(kernel), "sums binary").collect()
+        total = sum(np.frombuffer(r["sums"]).reshape(size, size + 1) for r in parts)
+        beta = np.linalg.solve(total[:, :size] + ridge * total[size - 1, size - 1] * np.eye(size) / size, total[:, size])
+        bins = check.mapInArrow(_raw(kernel, beta), "label double, score double")
+        bins = bins.groupBy(F.round(F.least(F.greatest("score", F.lit(-0.5)), F.lit(1.5)), 3).alias("x")).agg(F.sum("label").alias("t"), F.count("*").alias("w")).orderBy("x").collect()
     x = np.array([r["x"] for r in bins] or [0.0, 1.0])
     y = isotonic(x, np.array([r["t"] for r in bins], float), np.array([r["w"] for r in bins], float)) if bins else x
-    out = stats.mapInArrow(_scored(kernel, beta, x, np.clip(y, 0, 1), ["doc_id", "fold", *own]), f"doc_id long, fold int, {ddl}score double")
-    return out.select("doc_id", held.alias("held_out"), F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)).alias("score"), *own)
+    return Model(kernel, beta, x, np.clip(y, 0, 1))
+
+
+def scored(docs: DataFrame, labels: DataFrame, folds: int = 5, **options) -> DataFrame:
+    """doc_id, held_out, score (0 to 1). Rows of fold 0 are never learned from; the last fold calibrates.
+
+    docs needs doc_id and text; labels doc_id and quality (0 or 1). The options are those of fitted."""
+    stats = common.handed_over(_statistics_of(docs, folds), "statistics")
+    model = fitted(stats, labels, folds=folds, **options)
+    held = (F.col("fold") == 0).alias("held_out")
+    if model is None:
+        return stats.select("doc_id", held, F.lit(0.5).alias("score"))
+    return stats.mapInArrow(_scored(model), "doc_id long, fold int, score double").select("doc_id", held, "score")
+
+
+def kept(docs: DataFrame, labels: DataFrame, threshold: float, folds: int = 5, **options) -> DataFrame:
+    """The rows of docs with a score of threshold or more, which scored gives; each is judged where it lies, so that no text moves."""
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    model = fitted(_statistics_of(docs, folds, 1), labels, folds=folds, **options)
+    if model is None:
+        return docs if threshold <= 0.5 else docs.limit(0)
+    return docs.mapInArrow(_kept(model, threshold), docs.schema)
 
 
 def op4_quality_scores(spark, sf_dir: str, threshold: float = 0.3) -> DataFrame:

@@ -1,7 +1,9 @@
 import random
+import re
+from pathlib import Path
 
 import corpus_pipeline
-from corpusloom.llm import packing
+from corpusloom.llm import common, decontamination, packing, quality
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,3 +55,29 @@ def test_nulls_repeated_ids_and_other_columns(spark, tmp_path):
 def test_empty_tables(spark, tmp_path):
     _written(spark, tmp_path, [])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def _hand_over_tables(spark):
+    return {x.name for x in Path(common.shared_dir(spark).removeprefix("file://")).glob("corpusloom-*")}
+
+
+def test_tables_of_a_stage_go_with_it(spark):
+    before = _hand_over_tables(spark)
+    out = corpus_pipeline.run(spark, SF)
+    left = {re.fullmatch(r"corpusloom-(.*)-[0-9a-f]{32}", x)[1] for x in _hand_over_tables(spark) - before}
+    assert {"benchmark-decontamination", "packing-0"} <= left  # what the result is made from
+    assert not left & {"quality-classifier", "line-dedup", "n-gram-Jaccard-join", "statistics", "labelled", "common-shingles", "points", "classes", "shared", "members", "buckets", "in-buckets"}
+    assert not left & {"pairs", "pairs-left", "needed", "sets", "links", "class-labels", "term-frequency", "item-terms", "known-passages"}
+    assert out.count() == out.count() > 0
+
+
+def test_quality_verdicts_move_no_text(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{x}.parquet") for x in ("documents", "labels"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = corpus_pipeline.reject_low_quality(spark, docs, SF)
+        assert "Exchange" not in kept._jdf.queryExecution().toString()
+        want = {r["doc_id"] for r in quality.scored(docs, labels).collect() if r["score"] >= 0.3}
+        assert {r["doc_id"] for r in kept.collect()} == want and 0 < len(want) < docs.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
