@@ -81,3 +81,20 @@ def test_quality_verdicts_move_no_text(spark):
         assert {r["doc_id"] for r in kept.collect()} == want and 0 < len(want) < docs.count()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_leaks_are_fitted_on_every_document(spark, tmp_path, monkeypatch):
+    """The basis of the stage's search reads all documents and items: of 34,000 documents and more, a sample was fitted once."""
+    seen = []
+
+    def basis(texts, *args, fit=decontamination.basis):
+        seen.append(texts.count())
+        return fit(texts, *args)
+
+    monkeypatch.setattr(decontamination, "basis", basis)
+    item = " ".join(f"w{i}" for i in range(30))
+    _written(spark, tmp_path, [], benchmark=[(1, item)])
+    docs = spark.range(34_000).selectExpr("id AS doc_id", f"IF(id = 7, '{item}', concat_ws(' ', 'q', id % 997, id % 991)) AS text", "'en' AS lang", "'s' AS source", "1L AS n_chars")
+    kept = corpus_pipeline.remove_leaks(spark, docs, str(tmp_path))
+    assert kept.count() == 33_999 and kept.filter("doc_id = 7").count() == 0
+    assert seen == [34_001]
